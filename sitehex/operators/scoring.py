@@ -193,7 +193,9 @@ def scale(cells: DataFrame, cities: Sequence[City] = CITIES, axes: Sequence[str]
 
 
 def _share(value: str, p95: str) -> Column:
-    return F.least(F.lit(100.0), F.col(value) * 100.0 / F.col(p95))
+    # least() skips NULLs, so an absent value has to be kept absent explicitly.
+    share = F.col(value) * 100.0 / F.col(p95)
+    return F.when(share.isNotNull(), F.least(F.lit(100.0), share))
 
 
 def score(cells: DataFrame, scales: DataFrame, cities: Sequence[City] = CITIES) -> DataFrame:

@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sitehex.operators.atscale import new_folder
+from sitehex.operators.scoring import scored
 from sitehex.plans import surrogates as S
+from sitehex.reference_data import resolve_categories
 from sitehex.sources.publish import path_exists
 from sitehex.tables import Tables
 
@@ -48,6 +50,15 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def surface(spark: SparkSession, sf_dir: str, word: str) -> DataFrame:
+    """The scored surface of one trade word, computed once and stored by city."""
+    name = "surface_" + word.replace(" ", "_")
+    if name not in BUILDERS:
+        cats = resolve_categories(word)
+        BUILDERS[name] = (lambda s, d: scored(market(s, d), cats), "city")
+    return stored(spark, sf_dir, name)
+
+
 def market(spark: SparkSession, sf_dir: str) -> Tables:
     """The tables a scored surface reads."""
     names = ("places", "population", "cell_capacity", "addr_density", "isochrone_cells")
