@@ -374,4 +374,5 @@ def compose(body: str) -> str:
     if not needed:
         return body
     # A relation must not see itself: names equal to base tables would otherwise recurse.
-    return "with " + ",\n".join(f"{n} as ({CTES[n]})" for n in CTES if n in needed) + "\n" + body
+    head = "with " + ",\n".join(f"{n} as ({CTES[n]})" for n in CTES if n in needed)
+    return head + (",\n" + body[len("with "):] if body.startswith("with ") else "\n" + body)

@@ -250,6 +250,16 @@ def rank_one_city(spark, sf):
     return page.withColumn("dem", F.round("dem", 6))
 
 
+@query("flagship",
+       "select city, cast(rk as integer) as rank, cell, round_even(round(gap,9),1) as gap, pop, sup, round_even(acc_pop,0) as acc, area, locality from "
+       "(select s.*, d.area, d.locality, row_number() over (partition by s.city order by gap desc, pop desc, s.cell) as rk from scored_bakery s left join districts d on d.city=s.city and d.h3_8=s.cell where acc_pop is not null) where rk<=3")
+def flagship(spark, sf):
+    """End to end in one go: score every cell of every city for a trade and rank the best."""
+    s = scoring.scored(W.market(spark, sf), ["bakery"])
+    top = ranking.rank_sites(s, W.stored(spark, sf, "districts"))
+    return top.select("city", "rank", "cell", "gap", "pop", "sup", "acc", "area", "locality")
+
+
 _AVAILABLE = (
     "select city, cast(row_number() over (partition by city order by n desc, locality) as integer) as position, locality, n as cells from "
     "(select city, locality, count(*) as n from districts where locality<>'' group by 1,2) qualify position<=12"

@@ -1 +1,154 @@
-"""Placeholder."""
+"""Queries that run a stream over the given tables to completion and read its result."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sitehex.operators import saved as sv
+from sitehex.operators.atscale import new_folder
+from sitehex.plans import refresh as RF
+from sitehex.plans import surrogates as S
+from sitehex.plans import warehouse as W
+from sitehex.plans.registry import query
+from sitehex.streaming import rollups, updates
+
+
+def stream_table(spark, sf: str, table: str):
+    """One input table as a file stream."""
+    schema = S.read(spark, sf, table).schema
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", f"{table}.parquet")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(sf)
+    )
+
+
+def stream_folder(spark, sf: str, name: str):
+    """A stored table as a file stream, several files per run so there are several batches."""
+    stored = W.stored(spark, sf, name)
+    root = new_folder(spark, "incoming")
+    stored.repartition(3).write.parquet(root)
+    return spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
+@query("stream_capacity_rollup", "select city, h3_8, floor_area_m2, buildings from cell_capacity")
+def stream_capacity_rollup(spark, sf):
+    out, ck = new_folder(spark, "rollup"), new_folder(spark, "progress")
+    rollups.maintain_capacity(stream_folder(spark, sf, "buildings"), out, ck).awaitTermination()
+    return rollups.read_capacity(spark, out)
+
+
+@query("stream_capacity_replay", "select city, h3_8, floor_area_m2, buildings from cell_capacity")
+def stream_capacity_replay(spark, sf):
+    """Replaying a batch and compacting the parts leave the rollup as it was."""
+    from sitehex.sources.demand import merge_capacity
+
+    out, ck, folded = new_folder(spark, "rollup"), new_folder(spark, "progress"), new_folder(spark, "rollup")
+    rollups.maintain_capacity(stream_folder(spark, sf, "buildings"), out, ck).awaitTermination()
+    again = spark.read.parquet(out).where(F.col("batch_id") == 0).drop("batch_id")
+    replayed = again.withColumn("batch_id", F.lit(0).cast("bigint"))
+    copy = new_folder(spark, "replay")
+    replayed.write.parquet(copy)
+    rollups.part_writer(lambda df: df.drop("batch_id"), out)(spark.read.parquet(copy), 0)
+    rollups.compact(spark, out, folded, merge_capacity)
+    return rollups.read_capacity(spark, folded)
+
+
+@query("stream_momentum_rollup", "select city, category, first_count, last_count, first_month, last_month from momentum")
+def stream_momentum_rollup(spark, sf):
+    out, ck = new_folder(spark, "rollup"), new_folder(spark, "progress")
+    rollups.maintain_momentum(stream_folder(spark, sf, "poi_history"), out, ck).awaitTermination()
+    return rollups.read_momentum(spark, out)
+
+
+@query("stream_saved_versions",
+       "select user_id, city, business_type, id, label, h3_8, score, status from saved_latest")
+def stream_saved_versions(spark, sf):
+    out, ck = new_folder(spark, "saved"), new_folder(spark, "progress")
+    updates.append_versions(S.saved_events(stream_table(spark, sf, "events")), out, ck).awaitTermination()
+    return sv.latest_versions(spark.read.parquet(out)).select(
+        "user_id", "city", "business_type", "id", "label", "h3_8", "score", "status"
+    )
+
+
+_WRITES = (
+    "(select user_id%50 as session, event_type as layer, event_id as seq, md5(cast(event_id as varchar)) as rev, 'top '||(event_id%7) as label, "
+    "event_id%7 as row_count, case when value>50 then 'handle' else 'inline' end as route from events)"
+)
+
+
+def _writes(events):
+    return events.select(
+        (F.col("user_id") % 50).alias("session"),
+        F.col("event_type").alias("layer"),
+        F.col("event_id").alias("seq"),
+        F.md5(F.col("event_id").cast("string")).alias("rev"),
+        F.concat(F.lit("top "), (F.col("event_id") % 7).cast("string")).alias("label"),
+        (F.col("event_id") % 7).alias("row_count"),
+        F.when(F.col("value") > 50, "handle").otherwise("inline").alias("route"),
+    )
+
+
+@query("stream_layer_updates",
+       f"select session, layer, rev, label, row_count, route from {_WRITES} qualify row_number() over (partition by session, layer order by seq desc)=1")
+def stream_layer_updates(spark, sf):
+    """The same layer id replaces its content; the newest write per layer remains."""
+    out, ck = new_folder(spark, "layers"), new_folder(spark, "progress")
+    stream = _writes(stream_table(spark, sf, "events"))
+    updates.upsert_parts(stream, ["session", "layer"], "seq", out, ck).awaitTermination()
+    merged = sv.latest_versions(spark.read.parquet(out).drop("batch_id"), ["session", "layer"], "seq")
+    return merged.select("session", "layer", "rev", "label", "row_count", "route")
+
+
+@query("layer_updates",
+       f"select session, layer, arg_max(rev, seq) as rev, arg_max(label, seq) as label, arg_max(row_count, seq) as row_count, arg_max(route, seq) as route, count(*) as writes from {_WRITES} group by 1,2")
+def layer_updates(spark, sf):
+    return updates.latest_layer_parts(_writes(S.read(spark, sf, "events")))
+
+
+@query("stream_commands_once",
+       "select event_type as action, count(*) as applied from events group by 1")
+def stream_commands_once(spark, sf):
+    """Every command is delivered twice and applied once."""
+    out, ck = new_folder(spark, "commands"), new_folder(spark, "progress")
+    events = stream_table(spark, sf, "events").select(
+        F.col("event_id").alias("command_id"), F.col("event_type").alias("action"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    twice = events.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
+    once = updates.once_per_command(twice, "1 hour")
+    (
+        once.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+        .outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    )
+    return spark.read.parquet(out).groupBy("action").agg(F.count("*").alias("applied"))
+
+
+@query("refresh_chain",
+       "select 'places' as table_name, city as part, count(*) as rows from places group by city union all "
+       "select 'population', country, count(*) from population group by country union all "
+       "select 'districts', city, count(*) from districts group by city union all "
+       "select 'buildings', city, count(*) from buildings group by city union all "
+       "select 'addr_density', city, count(*) from addr_density group by city union all "
+       "select 'cell_capacity', city, count(*) from cell_capacity group by city")
+def refresh_chain(spark, sf):
+    """The scheduled reload: population before districts, each table checked before it shows."""
+    root = new_folder(spark, "warehouse")
+    raw = RF.RawInputs(
+        places=S.raw_places(spark, sf), population=S.raw_population(spark, sf), divisions=S.raw_divisions(spark, sf),
+        addresses=S.raw_addresses(spark, sf), segments=S.raw_segments(spark, sf),
+    )
+    RF.refresh(spark, raw, root, floors=RF.NO_FLOORS, buildings=W.stored(spark, sf, "buildings"))
+    parts = [
+        spark.read.parquet(f"{root}/{t}").groupBy(F.col(by).alias("part")).agg(F.count("*").alias("rows")).select(
+            F.lit(t).alias("table_name"), "part", "rows"
+        )
+        for t, by in (
+            ("places", "city"), ("population", "country"), ("districts", "city"), ("buildings", "city"),
+            ("addr_density", "city"), ("cell_capacity", "city"),
+        )
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
