@@ -191,6 +191,22 @@ def cell_center_lat(cell, res=None, cities: Sequence[City] = CITIES) -> Column:
     return cell_center(cell, res, cities)["lat"]
 
 
+def with_center(
+    df: DataFrame, cell: str, res: int, lon: str = "lon", lat: str = "lat", cities: Sequence[City] = CITIES
+) -> DataFrame:
+    """Add a cell's centre as two plain columns.
+
+    Distances and containment tests mention a centre many times; as columns of their own they are
+    computed once per row and the generated code stays small.
+    """
+    axial = df.withColumns(
+        {"_g_q": cell_q(cell).cast("double"), "_g_r": cell_r(cell).cast("double"), "_g_i": cell_city_idx(cell)}
+    )
+    at = _to_lonlat(F.col("_g_q"), F.col("_g_r"), res, F.col("_g_i"), cities)
+    # Extracting from a struct that is built on the spot leaves only the arithmetic in the plan.
+    return axial.withColumns({lon: at["lon"], lat: at["lat"]}).drop("_g_q", "_g_r", "_g_i")
+
+
 def cell_boundary(cell, res=None, cities: Sequence[City] = CITIES) -> Column:
     """Closed ring of six corners plus the first one repeated."""
     cell = _c(cell)

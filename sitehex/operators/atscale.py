@@ -24,6 +24,15 @@ def broadcast_bounded(df: DataFrame, rows_bound: int | None) -> DataFrame:
     return df
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Fix computed columns as values before a filter that mentions them many times.
+
+    Catalyst moves a filter below the projection it reads from and copies the expressions into
+    every mention; inside a per-vertex polygon test that repeats them for each vertex.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -45,7 +54,7 @@ def exact_quantiles(
     for name in names:
         probs += [max(0.0, quantiles[name] - margin), min(1.0, quantiles[name] + margin)]
 
-    vals = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    vals = settle(df.select(*keys, F.col(value).cast("double").alias("_v"))).where(F.col("_v").isNotNull())
     sketch = vals.groupBy(*keys).agg(
         F.count("_v").alias("_n"),
         F.min("_v").alias("_min"),

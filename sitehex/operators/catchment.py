@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sitehex.cities import CITIES, City, country_of, idx_of
 from sitehex.functions import geometry as geo
 from sitehex.functions import grid as G
+from sitehex.operators.atscale import settle
 from sitehex.operators.scoring import in_cities
 
 WEB_CORE_SECONDS = 300
@@ -23,13 +24,12 @@ def candidate_origins(population: DataFrame, cities: Sequence[City] = CITIES) ->
     """Distinct res-9 children of populated cells in a city's box, with their centroids."""
     from sitehex.operators.scoring import city_cells
 
-    return (
+    children = (
         city_cells(population.where(F.col("population") > 0), cities)
         .select("city", F.explode(G.cell_to_children("cell", 9)).alias("h3_9"))
         .distinct()
-        .withColumn("_at", G.cell_center("h3_9", 9, cities))
-        .select("city", "h3_9", F.col("_at.lon").alias("lon"), F.col("_at.lat").alias("lat"))
     )
+    return G.with_center(children, "h3_9", 9, cities=cities).select("city", "h3_9", "lon", "lat")
 
 
 def polygon_to_cells(
@@ -52,18 +52,20 @@ def polygon_to_cells(
         (F.least(*qs) - 1).alias("_q0"), (F.greatest(*qs) + 1).alias("_q1"),
         (F.least(*rs) - 1).alias("_r0"), (F.greatest(*rs) + 1).alias("_r1"),
     )
-    return (
+    candidates = (
         ranged.withColumn("_q", F.explode(F.sequence("_q0", "_q1")))
         .withColumn("_r", F.explode(F.sequence("_r0", "_r1")))
         .withColumn(out, G.pack(F.col(idx), res, F.col("_q"), F.col("_r")))
-        .withColumn("_at", G.cell_center(out, res, cities))
-        .where(
-            geo.bbox_contains(
-                F.col("_at.lon"), F.col("_at.lat"),
-                F.col("_box.xmin"), F.col("_box.xmax"), F.col("_box.ymin"), F.col("_box.ymax"),
-            )
-        )
-        .where(geo.point_in_polygon(F.col("_at.lon"), F.col("_at.lat"), F.col(polygon)))
+    )
+    placed = G.with_center(candidates, out, res, "_lon", "_lat", cities).select(
+        *names, out, "_lon", "_lat",
+        F.col("_box.xmin").alias("_x0"), F.col("_box.xmax").alias("_x1"),
+        F.col("_box.ymin").alias("_y0"), F.col("_box.ymax").alias("_y1"),
+    )
+    return (
+        settle(placed)
+        .where(geo.bbox_contains("_lon", "_lat", "_x0", "_x1", "_y0", "_y1"))
+        .where(geo.point_in_polygon("_lon", "_lat", polygon))
         .select(*names, out)
     )
 

@@ -64,12 +64,7 @@ def district_resolution(
     the exact polygon test only sees what passes them. A tier without a hit is an empty string:
     an unnamed cell never borrows its neighbour's name.
     """
-    at = G.cell_center("cell", G.BASE_RES, cities)
-    cells = (
-        city_cells(population, cities)
-        .withColumn("_at", at)
-        .select("city", "cell", F.col("_at.lon").alias("lon"), F.col("_at.lat").alias("lat"))
-    )
+    cells = G.with_center(city_cells(population, cities), "cell", G.BASE_RES, cities=cities)
     hits = (
         _cell_tiles(cells)
         .join(_division_tiles(divisions), ["_level", "_tx", "_ty", "_salt"])

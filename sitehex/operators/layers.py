@@ -37,14 +37,14 @@ def capacity_layer(cell_capacity: DataFrame, cities: Sequence[City] = CITIES) ->
 def capacity_stats(cell_capacity: DataFrame, cities: Sequence[City] = CITIES) -> DataFrame:
     cells = in_cities(cell_capacity, cities).select("city", F.col("h3_8").alias("cell")).distinct()
     return (
-        cells.withColumn("_at", G.cell_center("cell", G.BASE_RES, cities))
+        G.with_center(cells, "cell", G.BASE_RES, cities=cities)
         .groupBy("city")
         .agg(
             F.count("*").alias("cell_count"),
-            F.bround(F.min("_at.lon"), 5).alias("min_lon"),
-            F.bround(F.min("_at.lat"), 5).alias("min_lat"),
-            F.bround(F.max("_at.lon"), 5).alias("max_lon"),
-            F.bround(F.max("_at.lat"), 5).alias("max_lat"),
+            F.bround(F.min("lon"), 5).alias("min_lon"),
+            F.bround(F.min("lat"), 5).alias("min_lat"),
+            F.bround(F.max("lon"), 5).alias("max_lon"),
+            F.bround(F.max("lat"), 5).alias("max_lat"),
         )
     )
 

@@ -73,21 +73,19 @@ def _outside(lon: Column, lat: Column, cities: Sequence[City]) -> Column:
 
 
 def reach_inside_box(reach: DataFrame, cities: Sequence[City] = CITIES) -> DataFrame:
-    at = G.cell_center("reachable_h3_9", 9, cities)
-    df = reach.withColumn("_at", at)
-    bad = F.count_if(_outside(F.col("_at.lon"), F.col("_at.lat"), cities))
+    df = G.with_center(reach, "reachable_h3_9", 9, cities=cities)
+    bad = F.count_if(_outside(F.col("lon"), F.col("lat"), cities))
     return _none(df.groupBy("city").agg(bad.alias("bad")), "reach cells inside the padded box")
 
 
 def centroid_probe(reach: DataFrame, cities: Sequence[City] = CITIES) -> DataFrame:
     """Average coordinates per city at four decimals; a swap is visible at a glance."""
-    at = G.cell_center("reachable_h3_9", 9, cities)
     return (
-        reach.withColumn("_at", at)
+        G.with_center(reach, "reachable_h3_9", 9, cities=cities)
         .groupBy("city")
         .agg(
-            F.bround(F.avg("_at.lat"), 4).alias("avg_lat"),
-            F.bround(F.avg("_at.lon"), 4).alias("avg_lon"),
+            F.bround(F.avg("lat"), 4).alias("avg_lat"),
+            F.bround(F.avg("lon"), 4).alias("avg_lon"),
             F.count("*").alias("n"),
         )
     )
@@ -130,9 +128,10 @@ def origin_in_own_reach(reach: DataFrame) -> DataFrame:
 
 
 def with_reach_distance(reach: DataFrame, cities: Sequence[City] = CITIES) -> DataFrame:
-    a, b = G.cell_center("origin_h3_9", 9, cities), G.cell_center("reachable_h3_9", 9, cities)
-    return reach.withColumn("_a", a).withColumn("_b", b).withColumn(
-        "dist_m", geo.geo_distance_m(F.col("_a.lon"), F.col("_a.lat"), F.col("_b.lon"), F.col("_b.lat"))
+    both = G.with_center(reach, "origin_h3_9", 9, "_alon", "_alat", cities)
+    both = G.with_center(both, "reachable_h3_9", 9, "_blon", "_blat", cities)
+    return both.withColumn("dist_m", geo.geo_distance_m("_alon", "_alat", "_blon", "_blat")).drop(
+        "_alon", "_alat", "_blon", "_blat"
     )
 
 
@@ -164,12 +163,9 @@ def reach_shape(reach: DataFrame) -> DataFrame:
 def far_origins_disjoint(reach: DataFrame, cities: Sequence[City] = CITIES) -> DataFrame:
     """The southernmost and northernmost origins of a city share no 15-minute cell."""
     reach15 = reach.where(F.col("minutes") == 15)
-    at = G.cell_center("origin_h3_9", 9, cities)
-    placed = reach15.select("city", "origin_h3_9").distinct().withColumn("_at", at)
-    ends = placed.groupBy("city").agg(
-        F.min(F.struct(F.col("_at.lat").alias("lat"), "origin_h3_9", F.col("_at.lon").alias("lon"))).alias("s"),
-        F.max(F.struct(F.col("_at.lat").alias("lat"), "origin_h3_9", F.col("_at.lon").alias("lon"))).alias("n"),
-    )
+    placed = G.with_center(reach15.select("city", "origin_h3_9").distinct(), "origin_h3_9", 9, cities=cities)
+    at = F.struct("lat", "origin_h3_9", "lon")
+    ends = placed.groupBy("city").agg(F.min(at).alias("s"), F.max(at).alias("n"))
     n = len(cities)
     shared = (
         reach15.join(broadcast_bounded(ends, n), "city")
@@ -239,15 +235,14 @@ def edge_centroid_probe(edges: DataFrame) -> DataFrame:
 
 
 def web_touches_origin(edges: DataFrame, cities: Sequence[City] = CITIES) -> DataFrame:
-    at = G.cell_center("origin_h3_9", 9, cities)
     nearest = F.array_min(
         F.transform(
             F.from_json("geom", _VERTICES),
-            lambda v: geo.geo_distance_m(F.col("_at.lon"), F.col("_at.lat"), F.get(v, F.lit(0)), F.get(v, F.lit(1))),
+            lambda v: geo.geo_distance_m("lon", "lat", F.get(v, F.lit(0)), F.get(v, F.lit(1))),
         )
     )
     per = (
-        edges.withColumn("_at", at)
+        G.with_center(edges, "origin_h3_9", 9, cities=cities)
         .select("city", "origin_h3_9", nearest.alias("_d"))
         .groupBy("city", "origin_h3_9")
         .agg(F.min("_d").alias("min_d"))

@@ -87,15 +87,14 @@ def candidates(surface: DataFrame, districts: DataFrame | None, request: RankReq
 
 
 def _describe(ranked: DataFrame, cities: Sequence[City]) -> DataFrame:
-    at = G.cell_center("cell", G.BASE_RES, cities)
     return (
-        ranked.withColumn("_at", at)
+        G.with_center(ranked, "cell", G.BASE_RES, "_lon", "_lat", cities)
         .select(
             "city", "rank", "cell", G.cell_to_string("cell").alias("h3"),
             F.bround("gap", 1).alias("gap"), "dem", F.bround("pop").alias("pop"), "sup",
             F.bround("acc_pop").alias("acc"), F.bround("cap_area").alias("cap_m2"),
             F.col("addr_cnt").alias("addr"),
-            F.bround(F.col("_at.lon"), 5).alias("lon"), F.bround(F.col("_at.lat"), 5).alias("lat"),
+            F.bround(F.col("_lon"), 5).alias("lon"), F.bround(F.col("_lat"), 5).alias("lat"),
             "area", "locality",
         )
     )

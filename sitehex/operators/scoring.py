@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitehex.cities import CITIES, City, any_city, country_of, matching_cities
+from sitehex.cities import CITIES, City, country_of, matching_cities
 from sitehex.functions import grid as G
 from sitehex.functions.text import half_up_1dp
 from sitehex.operators.atscale import broadcast_bounded, cut_lineage, exact_quantiles
@@ -25,20 +25,15 @@ NEUTRAL: dict[str, float] = {"demand": 50, "low_competition": 50, "accessibility
 
 def city_cells(population: DataFrame, cities: Sequence[City] = CITIES) -> DataFrame:
     """Populated cells whose centre lies in a city's box, one row per (city, cell)."""
-    centre = G.cell_center("h3_8", G.BASE_RES, cities)
-
     def inside(c: City) -> Column:
-        return (F.col("country") == c.country) & c.contains(F.col("_at.lon"), F.col("_at.lat"))
-
-    return (
-        population.where(F.col("country").isin(sorted({c.country for c in cities})))
-        .withColumn("_at", centre)
-        .where(any_city(inside, cities))
-        .select(
-            F.explode(matching_cities(inside, cities)).alias("city"),
-            F.col("h3_8").alias("cell"),
-            F.col("population").cast("double").alias("pop"),
-        )
+        return (F.col("country") == c.country) & c.contains(F.col("_lon"), F.col("_lat"))
+
+    # A cell outside every box matches no city and so explodes to no row.
+    wanted = population.where(F.col("country").isin(sorted({c.country for c in cities})))
+    return G.with_center(wanted, "h3_8", G.BASE_RES, "_lon", "_lat", cities).select(
+        F.explode(matching_cities(inside, cities)).alias("city"),
+        F.col("h3_8").alias("cell"),
+        F.col("population").cast("double").alias("pop"),
     )
 
 

@@ -144,17 +144,13 @@ def reveal_order(points: DataFrame, groups_bound: int | None = None) -> DataFram
 def sample_per_city(places: DataFrame, n: int = 5, cities: Sequence[City] = CITIES) -> DataFrame:
     """First ``n`` named places per city by id, with the drift between point and cell centre."""
     first = Window.partitionBy("city").orderBy("id")
-    at = G.cell_center("h3_8", G.BASE_RES, cities)
-    return (
+    kept = (
         in_cities(places, cities)
         .where(F.col("name") != "")
         .withColumn("_rn", F.row_number().over(first))
         .where(F.col("_rn") <= n)
-        .withColumn("_at", at)
-        .select(
-            "city", "id", "name", "lon", "lat",
-            F.col("_at.lon").alias("cell_lon"),
-            F.col("_at.lat").alias("cell_lat"),
-            geo.geo_distance_m("lon", "lat", F.col("_at.lon"), F.col("_at.lat")).alias("drift_m"),
-        )
+    )
+    return G.with_center(kept, "h3_8", G.BASE_RES, "cell_lon", "cell_lat", cities).select(
+        "city", "id", "name", "lon", "lat", "cell_lon", "cell_lat",
+        geo.geo_distance_m("lon", "lat", "cell_lon", "cell_lat").alias("drift_m"),
     )

@@ -39,7 +39,6 @@ def tag_cities(raw: DataFrame, cities: Sequence[City] = CITIES) -> DataFrame:
     """One row per (record, city whose box holds its corner)."""
     return (
         raw.where(_float_bounds(cities))
-        .where(any_city(corner_inside, cities))
         .withColumn("city", F.explode(matching_cities(corner_inside, cities)))
     )
 
