@@ -115,32 +115,38 @@ def exact_quantiles(
 def bucketed_running_sum(
     df: DataFrame,
     keys: Sequence[str],
-    bucket: Column,
+    buckets: Sequence[Column],
     order: Sequence[Column],
     value: Column,
     out: str,
 ) -> DataFrame:
-    """Running sum of ``value`` per key in ``order``, computed per bucket plus a bucket offset.
+    """Running sum of ``value`` per key in ``order``, from bucket offsets.
 
-    ``bucket`` must be monotone in ``order``. Only bucket totals meet in one window per key, so a
-    key holding a third of the data is still spread over many tasks.
+    Each bucket expression must be monotone in ``order`` among rows that share the buckets before
+    it. Only bucket totals meet in a window, level by level, and rows meet only inside the finest
+    bucket: a key, or a bucket of ties, that holds a third of the data still spreads over many
+    tasks.
     """
     keys = list(keys)
-    tagged = df.withColumn("_bucket", bucket).withColumn("_value", value)
-    totals = tagged.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_total"))
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "_bucket", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset")
-    )
-    within = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
+    names = [f"_bucket{i}" for i in range(len(buckets))]
+    tagged = df.withColumns(dict(zip(names, buckets))).withColumn("_value", value)
+    totals = tagged.groupBy(*keys, *names).agg(F.sum("_value").alias("_total"))
+    out_so_far = F.lit(0)
+    offsets = totals.select(*keys, *names, "_total")
+    for level, name in enumerate(names):
+        # Totals of this level's buckets within the enclosing bucket, then those before each one.
+        scope = keys + names[:level]
+        level_totals = totals.groupBy(*scope, name).agg(F.sum("_total").alias("_t"))
+        earlier = Window.partitionBy(*scope).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+        before = level_totals.select(*scope, name, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias(f"_o{level}"))
+        offsets = offsets.join(before, [*scope, name])
+        out_so_far = out_so_far + F.col(f"_o{level}")
+    offsets = offsets.select(*keys, *names, out_so_far.alias("_offset"))
+    within = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        tagged.join(offsets, [*keys, "_bucket"])
+        tagged.join(offsets, [*keys, *names])
         .withColumn(out, F.col("_offset") + F.sum("_value").over(within))
-        .drop("_bucket", "_value", "_offset")
+        .drop(*names, "_value", "_offset")
     )
 
 

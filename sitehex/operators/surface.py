@@ -103,6 +103,7 @@ def kpi_strip(
 
 
 REVEAL_BUCKETS = 1024
+TIE_PREFIX = 4
 
 
 def reveal_order(points: DataFrame, groups_bound: int | None = None) -> DataFrame:
@@ -113,7 +114,7 @@ def reveal_order(points: DataFrame, groups_bound: int | None = None) -> DataFram
     not depend on how rows are spread over tasks. Ranks come from distance buckets.
     """
     fixed = points.select(
-        "layer", "id", "lon", "lat",
+        "layer", F.col("id").cast("string").alias("id"), "lon", "lat",
         F.floor(F.col("lon") * 100000 + 0.5).alias("_x"),
         F.floor(F.col("lat") * 100000 + 0.5).alias("_y"),
     )
@@ -133,7 +134,11 @@ def reveal_order(points: DataFrame, groups_bound: int | None = None) -> DataFram
     ranked = bucketed_running_sum(
         ready,
         ["layer"],
-        F.least(F.floor(F.col("dist") * REVEAL_BUCKETS), F.lit(REVEAL_BUCKETS - 1)),
+        [
+            F.least(F.floor(F.col("dist") * REVEAL_BUCKETS), F.lit(REVEAL_BUCKETS - 1)),
+            # Many features on one spot tie on the distance; the id then splits them further.
+            F.struct("_d", F.substring(F.col("id").cast("string"), 1, TIE_PREFIX)),
+        ],
         [F.col("_d").asc(), F.col("id").asc()],
         F.lit(1).cast("bigint"),
         "_n",

@@ -65,12 +65,13 @@ def refresh(
 
     if raw.places is not None:
         places = ingest_places(raw.places, cities)
-        done["places"] = load_verified(places, path("places"), "city", names, [floor("places", "city", names)])
+        done["places"] = load_verified(places, path("places"), "city", names, [floor("places", "city", names)], ["h3_8"])
     if raw.population is not None:
         people = ingest_population(raw.population)
         same = lambda staged: qc.same_row_count(people, staged, "country")
         done["population"] = load_verified(
-            people, path("population"), "country", countries, [floor("population", "country", countries), same]
+            people, path("population"), "country", countries, [floor("population", "country", countries), same],
+            ["h3_8"],
         )
     if raw.divisions is not None:
         named = district_resolution(
@@ -79,23 +80,23 @@ def refresh(
         checks = [floor("districts", "city", names)]
         if ground_truth:
             checks.append(lambda staged: qc.ground_truth_names(staged, ground_truth))
-        done["districts"] = load_verified(named, path("districts"), "city", names, checks)
+        done["districts"] = load_verified(named, path("districts"), "city", names, checks, ["h3_8"])
     if buildings is None and raw.buildings is not None:
         buildings = ingest_buildings(raw.buildings, cities)
     if buildings is not None:
         done["buildings"] = load_verified(
-            buildings, path("buildings"), "city", names, [floor("buildings", "city", names)]
+            buildings, path("buildings"), "city", names, [floor("buildings", "city", names)], ["h3_8"]
         )
         # Sums are not idempotent, so the rollup is rebuilt from the table it must agree with.
         stored = spark.read.parquet(path("buildings"))
         done["cell_capacity"] = load_verified(
             capacity_rollup(stored), path("cell_capacity"), "city", names,
-            [lambda staged: qc.rollup_matches_raw(stored, staged)],
+            [lambda staged: qc.rollup_matches_raw(stored, staged)], ["h3_8"],
         )
     if raw.addresses is not None:
-        done["addr_density"] = replace_partition(address_density(raw.addresses, cities), path("addr_density"), "city", names)
+        done["addr_density"] = replace_partition(address_density(raw.addresses, cities), path("addr_density"), "city", names, ["h3_8"])
     if raw.segments is not None:
-        done["road_density"] = replace_partition(road_density(raw.segments, cities), path("road_density"), "city", names)
+        done["road_density"] = replace_partition(road_density(raw.segments, cities), path("road_density"), "city", names, ["h3_8"])
     if raw.history is not None:
         done["poi_history"] = replace_partition(ingest_history(raw.history), path("poi_history"), "city", names)
         # Rebuilt as a whole: a category that vanished from the history must not keep old momentum.

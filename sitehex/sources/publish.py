@@ -40,17 +40,24 @@ def list_folders(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
 
 
-def replace_partition(df: DataFrame, path: str, by: str, keys: Sequence[str]) -> int:
+def replace_partition(
+    df: DataFrame, path: str, by: str, keys: Sequence[str], cluster_by: Sequence[str] = ()
+) -> int:
     """Overwrite the partitions ``keys`` of a table and nothing else; returns rows written.
 
-    A key without rows ends up as an empty partition instead of keeping its old rows.
+    A key without rows ends up as an empty partition instead of keeping its old rows. With
+    ``cluster_by`` the rows are range-split on (key, columns) and sorted: a large key is written by
+    many tasks, a small one by few, so files stay few and their column ranges narrow.
     """
     spark = df.sparkSession
     seen = Observation()
     flags = [F.max((F.col(by) == k).cast("int")).alias(f"k{i}") for i, k in enumerate(keys)]
+    chosen = df.where(F.col(by).isin(list(keys)))
+    if cluster_by:
+        chosen = chosen.repartitionByRange(by, *cluster_by).sortWithinPartitions(by, *cluster_by)
+    # Observed last: the sampling pass of the range split would be counted too.
     (
-        df.where(F.col(by).isin(list(keys)))
-        .observe(seen, F.count(F.lit(1)).alias("rows"), *flags)
+        chosen.observe(seen, F.count(F.lit(1)).alias("rows"), *flags)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(by)
@@ -74,20 +81,27 @@ def failing(checks: Sequence[Check], staged: DataFrame) -> list:
     return out
 
 
-def load_verified(df: DataFrame, path: str, by: str, keys: Sequence[str], checks: Sequence[Check]) -> int:
+def load_verified(
+    df: DataFrame,
+    path: str,
+    by: str,
+    keys: Sequence[str],
+    checks: Sequence[Check],
+    cluster_by: Sequence[str] = (),
+) -> int:
     """Write to a staging folder, run the checks there, publish only when all of them pass.
 
     Readers never see rejected rows, not even for a moment.
     """
     spark = df.sparkSession
     staging = new_folder(spark, "staging")
-    df.write.partitionBy(by).parquet(staging)
+    df.write.parquet(staging)
     staged = spark.read.schema(df.schema).parquet(staging)
     try:
         bad = failing(checks, staged)
         if bad:
             raise CheckFailed(bad)
-        return replace_partition(staged, path, by, keys)
+        return replace_partition(staged, path, by, keys, cluster_by)
     finally:
         delete_path(spark, staging)
 
@@ -99,6 +113,6 @@ def delete_rows(spark: SparkSession, path: str, by: str, keys: Sequence[str], wh
     """
     staging = new_folder(spark, "staging")
     kept = spark.read.parquet(path).where(F.col(by).isin(list(keys))).where(~F.coalesce(where, F.lit(False)))
-    kept.write.partitionBy(by).parquet(staging)
+    kept.write.parquet(staging)
     replace_partition(spark.read.schema(kept.schema).parquet(staging), path, by, keys)
     delete_path(spark, staging)

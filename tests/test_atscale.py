@@ -40,10 +40,12 @@ def test_constant_group(spark):
     assert atscale.exact_quantiles(df, ["k"], "v", {"m": 0.95}).first().m == 4.0
 
 
-def test_bucketed_running_sum(spark):
+@pytest.mark.parametrize("levels", [1, 2])
+def test_bucketed_running_sum(spark, levels):
     pdf = pd.DataFrame({"k": ["x"] * 1000 + ["y"] * 10, "o": list(range(1000)) + list(range(10)), "f": [1, 0, 0, 1, 1] * 202})
+    buckets = [F.floor(F.col("o") / 64), F.floor(F.col("o") / 8)][:levels]
     df = atscale.bucketed_running_sum(
-        spark.createDataFrame(pdf).repartition(7), ["k"], F.floor(F.col("o") / 64), [F.col("o").asc()], F.col("f"), "run"
+        spark.createDataFrame(pdf).repartition(7), ["k"], buckets, [F.col("o").asc()], F.col("f"), "run"
     )
     got = df.toPandas().sort_values(["k", "o"])
     want = pdf.sort_values(["k", "o"]).groupby("k").f.cumsum()
