@@ -107,6 +107,8 @@ def exact_quantiles(
     x0 = F.coalesce("_x0", missed)
     x1 = F.when(k + 1 >= F.col("_rows"), x0).otherwise(F.coalesce("_x1", missed))
     exact = located.withColumn("_value", x0 + (x1 - x0) * (F.col("_pos") - k))
+    if len(names) == 1:
+        return exact.select(*keys, F.col("_value").alias(names[0]))
     return exact.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name in names]
     )

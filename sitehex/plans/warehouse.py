@@ -34,6 +34,7 @@ BUILDERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 }
 
 _ROOTS: dict[tuple[str, str], str] = {}
+_OPENED: dict[str, DataFrame] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +43,16 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if key not in _ROOTS:
         _ROOTS[key] = new_folder(spark, "warehouse")
     path = f"{_ROOTS[key]}/{name}"
+    if path in _OPENED:
+        return _OPENED[path]
     if not path_exists(spark, f"{path}/_SUCCESS"):
         build, by = BUILDERS[name]
         df = build(spark, sf_dir)
         writer = df.write.mode("overwrite")
         (writer.partitionBy(by) if by else writer).parquet(path)
-    return spark.read.parquet(path)
+    # Tables do not change once written, so listing and footers are read once per session.
+    _OPENED[path] = spark.read.parquet(path)
+    return _OPENED[path]
 
 
 def surface(spark: SparkSession, sf_dir: str, word: str) -> DataFrame:
