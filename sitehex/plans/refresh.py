@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sitehex.cities import CITIES, City
 from sitehex.operators import quality as qc
+from sitehex.operators.atscale import new_folder
+from sitehex.operators.catchment import derive_reach_cells
 from sitehex.operators.districts import district_resolution
 from sitehex.operators.trend import momentum_rollup
 from sitehex.sources.demand import address_density, capacity_rollup, ingest_buildings, road_density
@@ -20,7 +22,8 @@ from sitehex.sources.divisions import ingest_divisions
 from sitehex.sources.history import ingest_history
 from sitehex.sources.places import ingest_places
 from sitehex.sources.population import ingest_population
-from sitehex.sources.publish import CheckFailed, failing, load_verified, replace_partition
+from sitehex.sources.publish import delete_path, load_verified, replace_partition
+from sitehex.sources.reach import ingest_contours, ingest_edges
 
 
 @dataclass
@@ -34,6 +37,8 @@ class RawInputs:
     addresses: DataFrame | None = None
     segments: DataFrame | None = None
     history: DataFrame | None = None
+    contours: DataFrame | None = None
+    edges: DataFrame | None = None
 
 
 DEFAULT_FLOORS: dict[str, int | Mapping[str, int]] = {**qc.FLOORS, "buildings": qc.BUILDING_FLOORS}
@@ -103,11 +108,41 @@ def refresh(
         momentum_rollup(spark.read.parquet(path("poi_history"))).write.mode("overwrite").parquet(
             path("category_momentum")
         )
+    if raw.contours is not None:
+        done.update(_load_reach(spark, raw.contours, path, names, cities))
+    if raw.edges is not None:
+        checks = [
+            lambda staged: qc.edges_inside_box(staged, cities),
+            lambda staged: qc.web_touches_origin(staged, cities),
+            lambda staged: qc.edge_distance_p999(staged, cities),
+            lambda staged: qc.duration_gradient(staged, cities),
+            lambda staged: qc.edge_origins_have_contours(staged, spark.read.parquet(path("isochrones"))),
+        ]
+        done["isochrone_edges"] = load_verified(
+            ingest_edges(raw.edges), path("isochrone_edges"), "city", names, checks, ["origin_h3_9", "duration_s"]
+        )
     return done
 
 
-def verify_loaded(checks: Sequence[DataFrame]) -> None:
-    """Raise when any row of the given check results did not pass."""
-    bad = failing([lambda _df, c=c: c for c in checks], None)
-    if bad:
-        raise CheckFailed(bad)
+def _load_reach(spark: SparkSession, contours: DataFrame, path, names: Sequence[str], cities: Sequence[City]) -> dict[str, int]:
+    """Contours and the cells derived from them: both are published, or neither."""
+    drawn = new_folder(spark, "staging")
+    ingest_contours(contours).write.parquet(drawn)
+    lobes = spark.read.parquet(drawn)
+    checks = [
+        lambda staged: qc.reach_inside_box(staged, cities),
+        qc.reach_grows,
+        qc.reach_nested,
+        qc.origin_in_own_reach,
+        lambda staged: qc.reach_ceiling(staged, cities),
+        lambda staged: qc.reach_p999(staged, cities),
+    ]
+    try:
+        cells = load_verified(
+            derive_reach_cells(lobes, cities), path("isochrone_cells"), "city", names, checks, ["origin_h3_9", "minutes"]
+        )
+        shapes = replace_partition(lobes, path("isochrones"), "city", names, ["origin_h3_9"])
+    finally:
+        delete_path(spark, drawn)
+    return {"isochrones": shapes, "isochrone_cells": cells}
+
