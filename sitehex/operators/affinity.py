@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitehex.cities import CITIES, City
 from sitehex.functions import grid as G
+from sitehex.operators.atscale import broadcast_bounded
 from sitehex.operators.scoring import in_cities
 from sitehex.reference_data import affinity_table
 
@@ -35,24 +36,31 @@ def affinity_fit(
     target: str,
     affinity: DataFrame | None = None,
     cities: Sequence[City] = CITIES,
+    picks_bound: int | None = None,
 ) -> DataFrame:
     """Weighted count of complementary places around each pick and its three strongest trades.
 
     ``picks`` has ``(city, cell)``. A pick without any stays in the result with fit 0 and an empty
-    list. Places are filtered to weighted trades and collapsed per (cell, trade) before the join.
+    list. Places are filtered to weighted trades and to the picks' rings, then collapsed per
+    (cell, trade). ``picks_bound`` is a proven limit on the number of picks, such as the page size of
+    a ranking; with it the places are never shuffled before they are filtered.
     """
     table = affinity_table(picks.sparkSession) if affinity is None else affinity
     w = F.broadcast(weights_for(table, target))
     chosen = picks.select("city", F.col("cell").alias("pick")).distinct()
     ring = chosen.select("city", "pick", F.explode(G.cell_ring("pick")).alias("h3_8"))
+    rings_bound = None if picks_bound is None else 7 * picks_bound
+    cells = broadcast_bounded(ring.select("city", "h3_8").distinct(), rings_bound)
     trades = (
         in_cities(places, cities)
         .join(w, "category")
+        .join(cells, ["city", "h3_8"], "left_semi")
         .groupBy("city", "h3_8", "category", "weight")
         .agg(F.count("*").alias("n"))
     )
     per_cat = (
-        ring.join(trades, ["city", "h3_8"])
+        broadcast_bounded(ring, rings_bound)
+        .join(trades, ["city", "h3_8"])
         .groupBy("city", "pick", "category", "weight")
         .agg(F.sum("n").alias("n"))
     )

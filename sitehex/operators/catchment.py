@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sitehex.cities import CITIES, City, country_of, idx_of
 from sitehex.functions import geometry as geo
 from sitehex.functions import grid as G
-from sitehex.operators.atscale import settle
+from sitehex.operators.atscale import broadcast_bounded, settle
 from sitehex.operators.scoring import in_cities
 
 WEB_CORE_SECONDS = 300
@@ -83,29 +83,49 @@ def derive_reach_cells(isochrones: DataFrame, cities: Sequence[City] = CITIES) -
     )
 
 
+def at_origins(df: DataFrame, city: str, origins: Sequence[int]) -> DataFrame:
+    """Rows of a few known origins of one city, as literal predicates.
+
+    Reach and edge tables are partitioned by city and clustered by origin, so this reads a handful
+    of row groups instead of the table.
+    """
+    return df.where((F.col("city") == city) & F.col("origin_h3_9").isin([int(o) for o in origins]))
+
+
 def catchment_polygons(
-    picks: DataFrame, isochrones: DataFrame, minutes: int = 10, grid: str = "lattice"
+    picks: DataFrame,
+    isochrones: DataFrame,
+    minutes: int = 10,
+    grid: str = "lattice",
+    picks_bound: int | None = None,
 ) -> DataFrame:
     """All lobes drawn around each pick's centre child; coordinates stay exactly as stored."""
     origins = picks.select("city", "cell", G.cell_to_center_child("cell", 9, grid=grid).alias("origin_h3_9"))
     props = F.struct("minutes", G.cell_to_string("cell").alias("h3"))
     return (
         isochrones.where(F.col("minutes") == minutes)
-        .join(origins, ["city", "origin_h3_9"])
+        .join(broadcast_bounded(origins, picks_bound), ["city", "origin_h3_9"])
         .select("city", "cell", "origin_h3_9", geo.feature_json_verbatim("Polygon", "geojson", props).alias("feature"))
     )
 
 
 def catchment_edges(
-    picks: DataFrame, isochrone_edges: DataFrame, max_seconds: int | None = None, grid: str = "lattice"
+    picks: DataFrame,
+    isochrone_edges: DataFrame,
+    max_seconds: int | None = None,
+    grid: str = "lattice",
+    picks_bound: int | None = None,
 ) -> DataFrame:
-    """Street edges explored from each pick; ``max_seconds`` keeps the core of the web."""
+    """Street edges explored from each pick; ``max_seconds`` keeps the core of the web.
+
+    With ``picks_bound`` (a proven limit on the picks) the edge table is filtered where it lies.
+    """
     origins = picks.select("city", "cell", G.cell_to_center_child("cell", 9, grid=grid).alias("origin_h3_9"))
     edges = isochrone_edges
     if max_seconds is not None:
         edges = edges.where(F.col("duration_s") <= max_seconds)
     props = F.struct(F.col("duration_s").alias("t"))
-    return edges.join(origins, ["city", "origin_h3_9"]).select(
+    return edges.join(broadcast_bounded(origins, picks_bound), ["city", "origin_h3_9"]).select(
         "city", "cell", "origin_h3_9", "duration_s", "dist_m",
         geo.feature_json_verbatim("LineString", "geom", props).alias("feature"),
     )

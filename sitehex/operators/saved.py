@@ -148,7 +148,9 @@ def radius_join(
         "site_id", "city", F.col("lon").alias("_slon"), F.col("lat").alias("_slat"),
         F.explode(G.cell_ring("_here", k)).alias("h3_9"),
     )
-    spots = places.groupBy("city", "h3_9", "category", "lon", "lat").agg(F.count("*").alias("_n"))
+    # Only places in some site's ring are shuffled at all.
+    near = places.join(ring.select("city", "h3_9").distinct(), ["city", "h3_9"], "left_semi")
+    spots = near.groupBy("city", "h3_9", "category", "lon", "lat").agg(F.count("*").alias("_n"))
     return (
         ring.join(spots, ["city", "h3_9"])
         .withColumn("_d", geo.geo_distance_m("_slon", "_slat", "lon", "lat"))

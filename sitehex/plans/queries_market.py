@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sitehex.cities import CITIES
 from sitehex.functions import geometry as geo
 from sitehex.functions import grid as G
 from sitehex.functions.text import place_name
@@ -296,7 +297,9 @@ _PER_CAT = (
 @query("affinity_fit",
        f"select p.city, p.cell as pick, round_even(coalesce(sum(c.n*c.w),0),2) as fit from {_PICKS} p left join ({_PER_CAT}) c on c.city=p.city and c.cell=p.cell group by 1,2")
 def affinity_fit(spark, sf):
-    return aff.affinity_fit(_picks(spark, sf), W.stored(spark, sf, "places"), "restaurant").drop("top_neighbours")
+    return aff.affinity_fit(
+        _picks(spark, sf), W.stored(spark, sf, "places"), "restaurant", picks_bound=6 * len(CITIES)
+    ).drop("top_neighbours")
 
 
 def _picks(spark, sf, n: int = 6):
@@ -306,7 +309,9 @@ def _picks(spark, sf, n: int = 6):
 @query("top_neighbours",
        f"select city, cell as pick, cast(row_number() over (partition by city, cell order by n*w desc, category)-1 as integer) as pos, category, n, w from ({_PER_CAT}) qualify pos<3")
 def top_neighbours(spark, sf):
-    fit = aff.affinity_fit(_picks(spark, sf), W.stored(spark, sf, "places"), "restaurant")
+    fit = aff.affinity_fit(
+        _picks(spark, sf), W.stored(spark, sf, "places"), "restaurant", picks_bound=6 * len(CITIES)
+    )
     return fit.select("city", "pick", F.posexplode("top_neighbours").alias("pos", "e")).select("city", "pick", "pos", "e.*")
 
 
@@ -321,7 +326,7 @@ def affinity_surface(spark, sf):
 def pick_features(spark, sf):
     request = RankRequest(strategy="demand")
     picks = ranking.rank_sites(W.surface(spark, sf, "food and drink"), W.stored(spark, sf, "districts"), request)
-    fit = aff.affinity_fit(picks, W.stored(spark, sf, "places"), "restaurant")
+    fit = aff.affinity_fit(picks, W.stored(spark, sf, "places"), "restaurant", picks_bound=3 * len(CITIES))
     return ranking.pick_features(picks, fit, request).select("city", "rank", "cell", "place", "lens", "fit", "feature")
 
 
@@ -378,7 +383,9 @@ _TOP3 = _PICKS.replace("<=6", "<=3")
 @query("catchment_polygons",
        f"select p.city, p.cell, o.origin_h3_9, case when {_LOBED} then 2 else 1 end::bigint as lobes from {_TOP3} p join origins o on o.city=p.city and o.cell=p.cell and o.is_center")
 def catchment_polygons(spark, sf):
-    drawn = cat.catchment_polygons(_picks(spark, sf, 3), W.stored(spark, sf, "isochrones"))
+    drawn = cat.catchment_polygons(
+        _picks(spark, sf, 3), W.stored(spark, sf, "isochrones"), picks_bound=3 * len(CITIES)
+    )
     return drawn.groupBy("city", "cell", "origin_h3_9").agg(F.count("feature").alias("lobes"))
 
 
@@ -389,14 +396,18 @@ _EDGE = "cast(round_even(((((oq*13+orr*7)%10)+10)%10)/cast(4 as double)+{m}*grea
        f"select p.city, p.cell, o.origin_h3_9, {_EDGE.format(m=170)} as duration_s, {_EDGE.format(m=230)} as dist_m from {_TOP3} p join reach o on o.city=p.city and o.cell=p.cell "
        "and o.is_center and o.minutes=15 and not (o.rq=o.oq and o.rr=o.orr)")
 def catchment_edges(spark, sf):
-    return cat.catchment_edges(_picks(spark, sf, 3), W.stored(spark, sf, "isochrone_edges")).drop("feature")
+    return cat.catchment_edges(
+        _picks(spark, sf, 3), W.stored(spark, sf, "isochrone_edges"), picks_bound=3 * len(CITIES)
+    ).drop("feature")
 
 
 @query("catchment_sub_web",
        f"select p.city, p.cell, count(*) as edges from {_TOP3} p join reach o on o.city=p.city and o.cell=p.cell and o.is_center and o.minutes=15 and not (o.rq=o.oq and o.rr=o.orr) "
        f"where {_EDGE.format(m=170)}<=300 group by 1,2")
 def catchment_sub_web(spark, sf):
-    web = cat.catchment_edges(_picks(spark, sf, 3), W.stored(spark, sf, "isochrone_edges"), cat.WEB_CORE_SECONDS)
+    web = cat.catchment_edges(
+        _picks(spark, sf, 3), W.stored(spark, sf, "isochrone_edges"), cat.WEB_CORE_SECONDS, picks_bound=3 * len(CITIES)
+    )
     return web.groupBy("city", "cell").agg(F.count("*").alias("edges"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitehex.cities import check_city
+from sitehex.functions import grid as G
 from sitehex.operators import affinity, catchment, layers, ranking, saved, scoring, surface, trend
 from sitehex.operators.atscale import cut_lineage
 from sitehex.operators.ranking import RankRequest
@@ -76,7 +77,7 @@ def rank_sites(
     if "error" in answer:
         return answer
     # A group of trades has no weights of its own; its first trade stands for it.
-    fit = affinity.affinity_fit(page, tables.places, cats[0], cities=[c])
+    fit = affinity.affinity_fit(page, tables.places, cats[0], cities=[c], picks_bound=request.count)
     return {"picks": page, "features": ranking.pick_features(page, fit, request)}
 
 
@@ -91,16 +92,23 @@ def show_catchment(
     c = check_city(city)
     first = RankRequest(request.strategy, request.order, request.district, 1, 1)
     pick = cut_lineage(ranking.rank_city(_surface(tables, city, trade, market), c.name, tables.districts, first, [c]))
-    stats = catchment.catchment_stats(pick, tables.isochrones, tables.isochrone_cells, tables.population, [c])
-    row = stats.first()
+    row = pick.select("cell", G.cell_to_center_child("cell", 9).alias("origin")).first()
     if row is None:
         return {"error": "no populated cells for that city", "city": c.name}
-    if not row.measured:
+
+    # The pick is one row, so its origin is a literal and the large tables are read by key.
+    def here(df: DataFrame) -> DataFrame:
+        return catchment.at_origins(df, c.name, [row.origin])
+
+    stats = catchment.catchment_stats(
+        pick, here(tables.isochrones), here(tables.isochrone_cells), tables.population, [c]
+    )
+    if not stats.first().measured:
         return {"catchment": "not measured", "reason": "no walkable edge near the cell centre"}
     return {
         "stats": stats,
-        "polygons": catchment.catchment_polygons(pick, tables.isochrones),
-        "edges": catchment.catchment_edges(pick, tables.isochrone_edges),
+        "polygons": catchment.catchment_polygons(pick, here(tables.isochrones), picks_bound=1),
+        "edges": catchment.catchment_edges(pick, here(tables.isochrone_edges), picks_bound=1),
     }
 
 
