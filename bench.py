@@ -20,6 +20,7 @@ from sitehex.session import local_session  # noqa: E402
 LOAD = ("places", "population", "buildings", "cell_capacity", "addr_density", "isochrone_cells", "districts", "poi_history", "saved_sites")
 
 HEADLINE = (
+    "flagship",
     "scored_surface", "opportunity_features", "opportunity_stats", "competitor_features", "rank_balanced", "rank_in_district",
     "accessibility", "ring_supply", "affinity_surface", "affinity_fit", "point_catchment", "catchment_profile",
     "raw_category_histogram", "raw_cell_density", "ingest_places", "capacity_rollup", "district_resolution",

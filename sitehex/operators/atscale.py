@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 # A relation is hinted for broadcast only when the caller can prove at most this many short rows.
@@ -16,6 +16,9 @@ BROADCAST_ROWS = 50_000
 
 SKETCH_ACCURACY = 10_000
 
+# Inputs with at most this many values in total may be ranked in one aggregate per group.
+SMALL_INPUT_ROWS = 1_000_000
+
 
 def broadcast_bounded(df: DataFrame, rows_bound: int | None) -> DataFrame:
     """Broadcast hint behind a proven row bound; otherwise leave the choice to AQE."""
@@ -39,6 +42,7 @@ def exact_quantiles(
     value: str,
     quantiles: Mapping[str, float],
     groups_bound: int | None = None,
+    rows_bound: int | None = None,
 ) -> DataFrame:
     """Interpolated quantiles per group, one column per entry of ``quantiles``.
 
@@ -46,8 +50,16 @@ def exact_quantiles(
     bracket map-side and keeps individual values only inside it (about 0.1 % of the group), and
     the rank is then located exactly. Groups of up to ``2 * SKETCH_ACCURACY`` rows are their own
     bracket. NULL values are ignored; a group without values is absent from the result.
+
+    ``rows_bound`` is a measured limit on the rows of ``df``; below ``SMALL_INPUT_ROWS`` the built-in
+    exact percentile is within memory and saves the second pass.
     """
     keys = list(keys)
+    if rows_bound is not None and rows_bound <= SMALL_INPUT_ROWS:
+        small = df.groupBy(*keys).agg(
+            F.count(value).alias("_n"), *[F.percentile(value, F.lit(p)).alias(n) for n, p in quantiles.items()]
+        )
+        return small.where(F.col("_n") > 0).drop("_n")
     margin = 4.0 / SKETCH_ACCURACY
     names = list(quantiles)
     probs: list[float] = []
@@ -165,6 +177,13 @@ def checkpoint_dir(spark) -> str:
     return context.getCheckpointDir()
 
 
+def cut_lineage_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut_lineage`` and the number of rows, measured by the same job."""
+    seen = Observation()
+    out = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return out, seen.get["rows"]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive the loss of any executor."""
     spark = df.sparkSession

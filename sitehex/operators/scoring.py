@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sitehex.cities import CITIES, City, country_of, matching_cities
 from sitehex.functions import grid as G
 from sitehex.functions.text import half_up_1dp
-from sitehex.operators.atscale import broadcast_bounded, cut_lineage, exact_quantiles
+from sitehex.operators.atscale import broadcast_bounded, cut_lineage_counted, exact_quantiles
 from sitehex.tables import Tables
 
 KEY = ["city", "cell"]
@@ -162,10 +162,16 @@ def joined(
     )
 
 
-def scale(cells: DataFrame, cities: Sequence[City] = CITIES, axes: Sequence[str] = P95_AXES) -> DataFrame:
+def scale(
+    cells: DataFrame,
+    cities: Sequence[City] = CITIES,
+    axes: Sequence[str] = P95_AXES,
+    rows: int | None = None,
+) -> DataFrame:
     """95th percentile of every axis over the cells that have it, one row per city.
 
     All but the population scale are floored at 1 so a nearly empty axis cannot divide by zero.
+    ``rows`` is the measured number of cells, when it is known.
     """
     long = cells.select(
         "city",
@@ -178,7 +184,7 @@ def scale(cells: DataFrame, cities: Sequence[City] = CITIES, axes: Sequence[str]
             )
         ),
     )
-    p95 = exact_quantiles(long, ["city", "axis"], "x", {"p95": 0.95}, len(cities) * len(axes))
+    p95 = exact_quantiles(long, ["city", "axis"], "x", {"p95": 0.95}, len(cities) * len(axes), None if rows is None else rows * len(axes))
     out = []
     for a in axes:
         v = F.max(F.when(F.col("axis") == a, F.col("p95")))
@@ -228,8 +234,8 @@ def scored(
     The joined signals feed the scales twice and the score once. They are checkpointed first: one
     row per populated cell, far smaller than the inputs, and safe against executor loss.
     """
-    cells = cut_lineage(joined(tables, categories, cities, grid))
-    return score(cells, scale(cells, cities), cities)
+    cells, rows = cut_lineage_counted(joined(tables, categories, cities, grid))
+    return score(cells, scale(cells, cities, rows=rows), cities)
 
 
 def scored_two_factor(

@@ -29,12 +29,18 @@ def test_exact_quantiles_match_linear_interpolation(spark, skewed, accuracy, mon
             assert got[k][name] == pytest.approx(np.quantile(g.v, p), abs=1e-12), (k, name)
 
 
-def test_quantiles_ignore_null_and_skip_empty_groups(spark):
+@pytest.mark.parametrize("rows_bound", [None, 4])
+def test_quantiles_ignore_null_and_skip_empty_groups(spark, rows_bound):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 3.0), ("b", None)], "k string, v double")
-    rows = atscale.exact_quantiles(df, ["k"], "v", {"m": 0.5}).collect()
+    rows = atscale.exact_quantiles(df, ["k"], "v", {"m": 0.5}, rows_bound=rows_bound).collect()
     assert [(r.k, r.m) for r in rows] == [("a", 2.0)]
 
 
+def test_checkpoint_counts_its_rows(spark):
+    df, n = atscale.cut_lineage_counted(spark.range(1234).where("id % 2 = 0"))
+    assert n == 617 == df.count()
+
+
 def test_constant_group(spark):
     df = spark.range(50_000).select(F.lit("a").alias("k"), F.lit(4.0).alias("v"))
     assert atscale.exact_quantiles(df, ["k"], "v", {"m": 0.95}).first().m == 4.0
