@@ -183,14 +183,6 @@ def cell_center(cell, res=None, cities: Sequence[City] = CITIES) -> Column:
     )
 
 
-def cell_center_lon(cell, res=None, cities: Sequence[City] = CITIES) -> Column:
-    return cell_center(cell, res, cities)["lon"]
-
-
-def cell_center_lat(cell, res=None, cities: Sequence[City] = CITIES) -> Column:
-    return cell_center(cell, res, cities)["lat"]
-
-
 def with_center(
     df: DataFrame, cell: str, res: int, lon: str = "lon", lat: str = "lat", cities: Sequence[City] = CITIES
 ) -> DataFrame:
@@ -258,10 +250,6 @@ def _lattice_parent_once(cell: Column) -> Column:
 # ---- both families --------------------------------------------------------------------------
 
 
-def h3_resolution(cell) -> Column:
-    return F.shiftright(_c(cell), 52).bitwiseAND(F.lit(15).cast("bigint"))
-
-
 def _h3_with_res(cell: Column, res: int) -> Column:
     keep = ~(15 << 52) & ((1 << 63) - 1)
     return cell.bitwiseAND(F.lit(keep)).bitwiseOR(F.lit(res << 52))

@@ -11,7 +11,7 @@ import re
 
 from sitehex.cities import CITIES
 from sitehex.plans.surrogates import BUSINESS, HISTORY_TAG_OF, TRADES
-from sitehex.reference_data import AFFINITY, CATEGORY_SYNONYMS, HISTORY_TAGS, ROAD_CLASSES, WALK_CLASSES
+from sitehex.reference_data import AFFINITY, CATEGORY_SYNONYMS, HISTORY_TAGS
 
 
 def d(x: float) -> str:

@@ -6,19 +6,18 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from sitehex.cities import CITIES, idx_of
+from sitehex.cities import CITIES
 from sitehex.functions import geometry as geo
 from sitehex.functions import grid as G
 from sitehex.operators import affinity as aff
 from sitehex.operators import catchment as cat
-from sitehex.operators import layers
 from sitehex.operators import quality as qc
-from sitehex.operators.atscale import new_folder
+from sitehex.operators.atscale import cut_lineage, new_folder
 from sitehex.plans import surrogates as S
 from sitehex.plans import warehouse as W
 from sitehex.plans.oracle import centre, d, geo_distance, pack, parent_q, parent_r, pick, q_of, quoted, r_of, with_cell
 from sitehex.plans.registry import query
-from sitehex.reference_data import CATEGORY_SYNONYMS, ROAD_CLASSES, WALK_CLASSES
+from sitehex.reference_data import ROAD_CLASSES, WALK_CLASSES
 from sitehex.sources import demand, layer_store, parameters, publish, saved
 from sitehex.sources import places as src_places
 
@@ -410,8 +409,6 @@ _feature = (
 
 
 def _layer_features(spark, sf):
-    from sitehex.sources.layer_store import route_by_bytes  # noqa: F401
-
     feature = geo.feature_json(geo.point_geometry("lon", "lat"), F.struct(F.col("name").alias("n")))
     return W.stored(spark, sf, "places").select(
         F.concat_ws("/", "city", "category").alias("layer"), "id", feature.alias("feature")
@@ -452,8 +449,6 @@ def layer_store_query(spark, sf):
     counted = fresh.agg(F.count("*").alias("features")).select(F.lit("fresh").alias("age"), "features").unionAll(
         late.agg(F.count("*").alias("features")).select(F.lit("expired").alias("age"), "features")
     )
-    from sitehex.operators.atscale import cut_lineage
-
     out = cut_lineage(counted)
     gone = layer_store.expire_layers(spark, root, now + dt.timedelta(hours=3))
     return out.unionAll(spark.range(1).select(F.lit("cleaned").alias("age"), F.lit(len(gone)).cast("bigint").alias("features")))

@@ -179,3 +179,16 @@ def test_radius_join_against_brute_force(spark, sf):
         for r in pairs.groupBy("site_id", "city", "category").agg(F.count("*").alias("n"), F.min("dd").alias("m")).collect()
     }
     assert got == want and want
+
+
+def test_one_crowded_cell_adds_up(spark):
+    """A third of all places on one spot: the ring counts stay exact."""
+    cell = (0 * 16 + 8) * G.RES_UNIT + G.OFFSET * G.Q_UNIT + G.OFFSET
+    crowd = spark.range(30_000).select(F.lit("berlin").alias("city"), F.lit("cafe").alias("category"), F.lit(cell).alias("h3_8"))
+    rest = spark.range(60_000).select(
+        F.lit("berlin").alias("city"), F.lit("cafe").alias("category"), (F.lit(cell) + (F.col("id") % 300 + 2) * G.Q_UNIT).alias("h3_8")
+    )
+    got = {r.cell: r.sup for r in scoring.ring_supply(crowd.unionAll(rest), ["cafe"]).collect()}
+    assert got[cell] == 30_000
+    assert got[cell + G.Q_UNIT] == 30_000 + 200
+    assert sum(got.values()) == 7 * 90_000

@@ -73,3 +73,21 @@ def test_places_layout_is_clustered(spark, sf):
     back = spark.read.parquet(root)
     assert back.count() == places.count()
     assert set(back.columns) == set(places.columns)
+
+
+def test_known_origins_are_read_by_key(spark, sf):
+    from sitehex.operators.catchment import at_origins
+
+    edges = W.stored(spark, sf, "isochrone_edges")
+    one = edges.first()
+    plan = plan_of(at_origins(edges, one.city, [one.origin_h3_9]))
+    assert f"EqualTo(origin_h3_9,{one.origin_h3_9})" in plan or f"In(origin_h3_9, [{one.origin_h3_9}])" in plan
+    assert "city#" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+
+
+def test_large_tables_are_not_shuffled_for_a_few_picks(spark, sf):
+    from sitehex.operators.catchment import catchment_edges
+
+    picks = W.surface(spark, sf, "bakery").select("city", "cell").limit(6)
+    plan = plan_of(catchment_edges(picks, W.stored(spark, sf, "isochrone_edges"), picks_bound=6))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
