@@ -256,16 +256,19 @@ def raw_divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 MINUTES = {5: 1, 10: 2, 15: 3}
 
 
-def measured_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centre children of the measured cells, and one more child for a third of them."""
+def measured_origins(spark: SparkSession, sf_dir: str, people: DataFrame | None = None) -> DataFrame:
+    """Centre children of the measured cells, and one more child for a third of them.
+
+    ``people`` is the stored population when it is already loaded (as for all reach inputs below).
+    """
+    people = population(spark, sf_dir) if people is None else people
     q, r = G.cell_q("h3_8"), G.cell_r("h3_8")
     measured = F.pmod((q + 5000) * 31 + (r + 5000) * 17, F.lit(100).cast("bigint")) >= 37
     centre = G.cell_to_center_child("h3_8", 9)
     extra = F.when(F.pmod(q + r, F.lit(3).cast("bigint")) == 0, centre + F.lit(G.Q_UNIT))
     return sealed(
         (
-            population(spark, sf_dir)
-            .where(measured)
+            people.where(measured)
             .select(
                 F.explode(F.array_compact(F.array(centre, extra))).alias("origin_h3_9"),
                 _pick([c.name for c in CITIES], G.cell_city_idx("h3_8")).alias("city"),
@@ -274,14 +277,14 @@ def measured_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def isochrone_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def isochrone_cells(spark: SparkSession, sf_dir: str, people: DataFrame | None = None) -> DataFrame:
     steps = [
         F.struct(F.lit(m).alias("minutes"), F.lit(dq * G.Q_UNIT + dr).cast("bigint").alias("delta"))
         for m, k in MINUTES.items()
         for dq, dr in G.disk_offsets(k)
     ]
     return (
-        measured_origins(spark, sf_dir)
+        measured_origins(spark, sf_dir, people)
         .select("origin_h3_9", "city", F.inline(F.array(*steps)))
         .select("origin_h3_9", "minutes", (F.col("origin_h3_9") + F.col("delta")).alias("reachable_h3_9"), "city")
     )
@@ -298,7 +301,7 @@ def _json_point(p: Column) -> Column:
     return F.concat(F.lit("["), p["lon"].cast("string"), F.lit(","), p["lat"].cast("string"), F.lit("]"))
 
 
-def raw_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_contours(spark: SparkSession, sf_dir: str, people: DataFrame | None = None) -> DataFrame:
     """One document per origin: a hexagon outline per contour, two lobes for some origins."""
     q, r = G.cell_q("origin_h3_9").cast("double"), G.cell_r("origin_h3_9").cast("double")
     idx = G.cell_city_idx("origin_h3_9")
@@ -331,7 +334,7 @@ def raw_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("]}"),
     )
     return sealed(
-        measured_origins(spark, sf_dir).select("origin_h3_9", "city", body.alias("body"))
+        measured_origins(spark, sf_dir, people).select("origin_h3_9", "city", body.alias("body"))
     )
 
 
@@ -340,11 +343,11 @@ def two_lobes() -> Column:
     return F.pmod(q * 7 + r * 3, F.lit(40).cast("bigint")) == 0
 
 
-def isochrones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest_contours(raw_contours(spark, sf_dir))
+def isochrones(spark: SparkSession, sf_dir: str, people: DataFrame | None = None) -> DataFrame:
+    return ingest_contours(raw_contours(spark, sf_dir, people))
 
 
-def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_edges(spark: SparkSession, sf_dir: str, people: DataFrame | None = None) -> DataFrame:
     """One document per origin with a line to every cell up to three steps away."""
     q, r = G.cell_q("origin_h3_9"), G.cell_r("origin_h3_9")
     idx = G.cell_city_idx("origin_h3_9")
@@ -375,12 +378,12 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     body = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", lines, extras), F.lit("]}"))
     return sealed(
-        measured_origins(spark, sf_dir).select("origin_h3_9", "city", body.alias("body"))
+        measured_origins(spark, sf_dir, people).select("origin_h3_9", "city", body.alias("body"))
     )
 
 
-def isochrone_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest_edges(raw_edges(spark, sf_dir))
+def isochrone_edges(spark: SparkSession, sf_dir: str, people: DataFrame | None = None) -> DataFrame:
+    return ingest_edges(raw_edges(spark, sf_dir, people))
 
 
 HISTORY_TAG_OF = {

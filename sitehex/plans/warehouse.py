@@ -6,53 +6,83 @@ and input folder, below the cluster's shared folder, and then read back as Parqu
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sitehex.operators.atscale import new_folder
+from sitehex.operators.districts import district_resolution
 from sitehex.operators.scoring import scored
+from sitehex.operators.trend import momentum_rollup
 from sitehex.plans import surrogates as S
 from sitehex.reference_data import resolve_categories
-from sitehex.sources.publish import path_exists
+from sitehex.sources.demand import capacity_rollup
 from sitehex.tables import Tables
 
-# How each stored table is laid out: by city where the readers filter on it.
-BUILDERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+Builder = Callable[[SparkSession, str], DataFrame]
+
+
+def _from(name: str, then: Callable[..., DataFrame]) -> Builder:
+    """A table derived from another stored table."""
+    return lambda spark, sf_dir: then(stored(spark, sf_dir, name))
+
+
+def _reach(build: Callable[..., DataFrame]) -> Builder:
+    return lambda spark, sf_dir: build(spark, sf_dir, stored(spark, sf_dir, "population"))
+
+
+# How each stored table is made and laid out: by city where the readers filter on it.
+BUILDERS: dict[str, tuple[Builder, str | None]] = {
     "places": (S.places, "city"),
     "population": (S.population, "country"),
     "buildings": (S.buildings, "city"),
-    "cell_capacity": (S.cell_capacity, "city"),
+    "cell_capacity": (_from("buildings", capacity_rollup), "city"),
     "addr_density": (S.addr_density, "city"),
-    "isochrone_cells": (S.isochrone_cells, "city"),
-    "isochrones": (S.isochrones, "city"),
-    "isochrone_edges": (S.isochrone_edges, "city"),
-    "districts": (S.districts, "city"),
+    "isochrone_cells": (_reach(S.isochrone_cells), "city"),
+    "isochrones": (_reach(S.isochrones), "city"),
+    "isochrone_edges": (_reach(S.isochrone_edges), "city"),
+    "districts": (lambda s, d: district_resolution(stored(s, d, "population"), S.divisions(s, d)), "city"),
     "poi_history": (S.poi_history, "city"),
-    "category_momentum": (S.momentum, None),
+    "category_momentum": (_from("poi_history", momentum_rollup), None),
     "saved_sites": (S.saved_sites, "city"),
 }
 
 _ROOTS: dict[tuple[str, str], str] = {}
 _OPENED: dict[str, DataFrame] = {}
+_LOCK = Lock()
+_LOADING: dict[str, Lock] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One stored table, loading it on first use."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _ROOTS:
-        _ROOTS[key] = new_folder(spark, "warehouse")
-    path = f"{_ROOTS[key]}/{name}"
-    if path in _OPENED:
-        return _OPENED[path]
-    if not path_exists(spark, f"{path}/_SUCCESS"):
+    with _LOCK:
+        if key not in _ROOTS:
+            _ROOTS[key] = new_folder(spark, "warehouse")
+        path = f"{_ROOTS[key]}/{name}"
+        loading = _LOADING.setdefault(path, Lock())
+    with loading:
+        if path in _OPENED:
+            return _OPENED[path]
         build, by = BUILDERS[name]
-        df = build(spark, sf_dir)
-        writer = df.write.mode("overwrite")
+        writer = build(spark, sf_dir).write.mode("overwrite")
         (writer.partitionBy(by) if by else writer).parquet(path)
-    # Tables do not change once written, so listing and footers are read once per session.
-    _OPENED[path] = spark.read.parquet(path)
-    return _OPENED[path]
+        # Tables do not change once written, so listing and footers are read once per session.
+        _OPENED[path] = spark.read.parquet(path)
+        return _OPENED[path]
+
+
+def load(spark: SparkSession, sf_dir: str, names: Sequence[str], at_once: int = 4) -> None:
+    """Load several tables with a few jobs in flight, so small ones do not wait for large ones.
+
+    The tables other tables are derived from go first.
+    """
+    first = [n for n in ("population", "buildings", "poi_history") if n in names]
+    for wave in (first, [n for n in names if n not in first]):
+        with ThreadPoolExecutor(at_once) as pool:
+            list(pool.map(lambda n: stored(spark, sf_dir, n), wave))
 
 
 def surface(spark: SparkSession, sf_dir: str, word: str) -> DataFrame:
