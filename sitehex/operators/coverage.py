@@ -58,7 +58,7 @@ def run_history(turns: DataFrame) -> DataFrame:
     numbered = bucketed_running_sum(
         turns.where(F.col("role").isin("user", "assistant")),
         ["conv_id"],
-        [F.floor(F.col("turn") / RUN_BUCKET)],
+        [F.floor(F.col("turn") / RUN_BUCKET**2), F.floor(F.col("turn") / RUN_BUCKET)],
         [F.col("turn").asc()],
         (F.col("role") == "user").cast("bigint"),
         "run",
