@@ -165,12 +165,18 @@ def bucketed_running_sum(
 
 
 def checkpoint_dir(spark) -> str:
-    """The cluster's shared folder; a private one is made only where none is configured."""
+    """The shared folder of the cluster, from ``spark.checkpoint.dir``.
+
+    Where the setting is absent a private folder is made, but only in local mode, where driver and
+    tasks share one disk. On a cluster that would scatter the files, so it is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
         import tempfile
 
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
@@ -198,3 +204,9 @@ def new_folder(spark, purpose: str) -> str:
     import uuid
 
     return f"{checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark, path: str) -> None:
+    """Delete a staging folder through the file system that holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
