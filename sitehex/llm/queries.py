@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitehex.llm import fingerprint, langid
+from sitehex.llm import fingerprint, langid, packing, secret_scan, toxicity
 from sitehex.llm.common import fold_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,25 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_fingerprints")
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.next_and_edited(read(spark, sf_dir, "documents"))
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return secret_scan.scan(documents, secret_scan.train(documents))
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read(spark, sf_dir, "documents"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket"
+    )
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = fold_of("doc_id", 4) == 2
+    model = toxicity.train(documents, labels.where(~held_out))
+    return toxicity.score(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
