@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitehex.llm import fingerprint, langid, packing, secret_scan, toxicity
+from sitehex.llm import chat, fingerprint, langid, packing, secret_scan, sharding, toxicity
 from sitehex.llm.common import fold_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_of("doc_id", 4) == 2
     model = toxicity.train(documents, labels.where(~held_out))
     return toxicity.score(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op7_chat_preferences", chat.PREFERENCE_SQL)
+def op7_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formatted = chat.format_pairs(chat.pairs_from_conversations(read(spark, sf_dir, "conversations")))
+    return formatted.withColumns({side: chat.told(side) for side in ("chosen_parts", "rejected_parts")})
+
+
+@query("op9_sharding", sharding.SHARD_SQL)
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shard(read(spark, sf_dir, "documents"))
+    return sharded.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
