@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitehex.llm import chat, fingerprint, langid, packing, secret_scan, sharding, toxicity
+from sitehex.llm import (
+    chat,
+    decontamination,
+    fingerprint,
+    html_text,
+    langid,
+    ngram_join,
+    packing,
+    secret_scan,
+    sharding,
+    toxicity,
+)
 from sitehex.llm.common import fold_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +82,18 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op4_ngram_jaccard_join", ngram_join.JACCARD_SQL)
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(read(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op3_html_extraction")
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read(spark, sf_dir, "pages"))
+
+
+@query("op6_benchmark_decontamination")
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

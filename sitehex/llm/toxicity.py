@@ -241,3 +241,18 @@ def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
 
     out = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def keep_clean(documents: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows of ``documents`` with a score under THRESHOLD, with all their columns."""
+    weights, coefficients = model.weights, model.coefficients
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(weights)
+        for b in batches:
+            x = np.array([matcher.features(t) for t in texts(b.column(at))]).reshape(-1, len(coefficients))
+            p = 1 / (1 + np.exp(-np.clip(x @ coefficients, -30, 30)))
+            yield b.filter(pa.array(p < THRESHOLD))
+
+    return documents.mapInArrow(run, documents.schema)
