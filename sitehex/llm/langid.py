@@ -30,6 +30,8 @@ SAMPLE_ROWS = 20_000
 MAX_WORDS = 60_000
 MAX_GRAMS = 40_000
 LONGEST_GRAM = 5
+#: Weight, in words, of the whole corpus in a language's frequencies.
+PRIOR = 20.0
 
 
 @dataclass
@@ -78,13 +80,17 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _table(counts: dict[str, dict[int, float]], languages: int, most: int) -> tuple[list[str], np.ndarray]:
-    """The most frequent terms, and their smoothed log frequency in each language less the mean of all."""
+    """The most frequent terms, and their log frequency in each language less the mean over languages."""
     kept = sorted(counts.items(), key=lambda kv: (-sum(kv[1].values()), kv[0]))[:most]
-    n = np.full((len(kept), languages), 0.5)
+    n = np.zeros((len(kept), languages))
     for k, (_, by) in enumerate(kept):
         for i, c in by.items():
-            n[k, i] += c
-    logs = np.log(n / (n.sum(axis=0) + 1)) if kept else n
+            n[k, i] = c
+    if not kept:
+        return [], n.astype(np.float32)
+    # Every language is smoothed towards the corpus as a whole, so a little-seen one is not favoured.
+    corpus = n.sum(axis=1, keepdims=True) / n.sum()
+    logs = np.log((n + PRIOR * corpus) / (n.sum(axis=0) + PRIOR))
     return [term for term, _ in kept], (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
 

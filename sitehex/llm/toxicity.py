@@ -184,15 +184,21 @@ def train(
 
 
 def simplify(kept: dict[str, float]) -> dict[str, float]:
-    """Drop entries whose shorter beginning is as strong, so one stem stands for its many words."""
+    """Drop what shorter entries say already: words whose beginning is as strong, pairs that hold an entry."""
     out: dict[str, float] = {}
-    for entry in sorted(kept, key=lambda e: (len(e), e)):
+    for entry in sorted(kept, key=lambda e: ("  " in e, len(e), e)):
+        if "  " in entry and any(word[:n] in out for word in _words_of(entry) for n in range(4, len(word) + 1)):
+            continue
         shorter = [out[entry[:n]] for n in range(4, len(entry)) if entry[:n] in out]
         if not shorter or abs(kept[entry] - shorter[-1]) > 0.7:
             out[entry] = kept[entry]
     return out
 
 
+def _words_of(pair: str) -> list[str]:
+    return [f" {w} " for w in pair.split()]
+
+
 def exceptions(sample: DataFrame, weights: dict[str, float], bad: int, good: int, most: int) -> dict[str, float]:
     """Whole words and pairs of words that hold an entry and yet are about as frequent in other texts."""
     if not weights:
@@ -223,7 +229,8 @@ def exceptions(sample: DataFrame, weights: dict[str, float], bad: int, good: int
     out = {}
     for r in found:
         w = math.log((r.n1 + 0.5) / (bad + 1)) - math.log((r.n0 + 0.5) / (good + 1))
-        if w < LEAST_WEIGHT / 2:
+        pair = "  " in r.entry
+        if w < (-LEAST_WEIGHT / 2 if pair else LEAST_WEIGHT / 2):  # half of a longer innocent phrase is no exception
             out[r.entry] = min(0.0, w)
     return out
 
