@@ -13,9 +13,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Where a lattice id has the number of its city, a real H3 cell id has this one.
+H3_IDX = 8
+
+
 @dataclass(frozen=True)
 class City:
-    """One scored city. ``idx`` is part of every lattice cell id and must stay below 127."""
+    """One scored city. ``idx`` is part of every lattice cell id: 0 to 126, and not that of real H3 ids."""
 
     idx: int
     name: str
@@ -28,6 +32,10 @@ class City:
     lat0: float
     metres_per_deg_lon: float
 
+    def __post_init__(self):
+        if not 0 <= self.idx < 127 or self.idx == H3_IDX:
+            raise ValueError(f"city number {self.idx} of {self.name!r} does not fit a cell id")
+
     def contains(self, lon: Column, lat: Column, pad: float = 0.0) -> Column:
         return lon.between(self.lon_min - pad, self.lon_max + pad) & lat.between(
             self.lat_min - pad, self.lat_max + pad

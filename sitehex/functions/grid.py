@@ -19,7 +19,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitehex.cities import CITIES, City, anchor
+from sitehex.cities import CITIES, H3_IDX, City, anchor
 
 BASE_RES = 8
 EDGE_M = 531.0
@@ -64,6 +64,12 @@ def cell_city_idx(cell) -> Column:
     return F.shiftright(_c(cell), 56)
 
 
+def require_lattice(cell) -> Column:
+    """``cell`` itself; a real H3 id, which lattice arithmetic would read as a far-away cell, is an error."""
+    text = F.concat(F.lit("a real H3 id where a lattice cell is needed; re-key it by its centroid: "), cell_to_string(cell))
+    return F.when(cell_city_idx(cell) == H3_IDX, F.raise_error(text).cast("bigint")).otherwise(_c(cell))
+
+
 def cell_res(cell) -> Column:
     return F.shiftright(_c(cell), 52).bitwiseAND(F.lit(15).cast("bigint"))
 

@@ -30,21 +30,18 @@ def district_matches(needle: str, *names) -> Column:
     return cond
 
 
-def lens_badge(strategy: str, order: str, district: str | None, page: int) -> str | None:
-    """Short label of a non-default ranking lens."""
-    parts = []
-    if order == "worst":
-        parts.append("avoid · saturated")
-    else:
-        named = {
-            "demand": "biggest markets",
-            "low_competition": "least competition",
-            "accessible": "most reachable",
-        }.get(strategy)
-        if named:
-            parts.append(named)
-    if district:
-        parts.append(f"in {district}")
-    if page > 1:
-        parts.append(f"more · pg {page}")
-    return " · ".join(parts) or None
+# The display texts of ranking controls that are not the default.
+LENS_LABELS = {"demand": "biggest markets", "low_competition": "least competition", "accessible": "most reachable"}
+AVOID_LABEL = "avoid · saturated"
+DISTRICT_LABEL, PAGE_LABEL = "in ", "more · pg "
+
+
+def lens_label(strategy: Column, order: Column, district: Column, page: Column) -> Column:
+    """Label of a ranking's controls, row by row; NULL for the default ones. Absent parts drop out of the join."""
+    lens = F.try_element_at(F.create_map(*[F.lit(x) for kv in LENS_LABELS.items() for x in kv]), strategy)
+    parts = (
+        F.when(order == "worst", F.lit(AVOID_LABEL)).otherwise(lens),
+        F.concat(F.lit(DISTRICT_LABEL), F.nullif(F.trim(district), F.lit(""))),
+        F.when(page > 1, F.concat(F.lit(PAGE_LABEL), page.cast("string"))),
+    )
+    return F.nullif(F.concat_ws(" · ", *parts), F.lit(""))

@@ -17,6 +17,11 @@ from sitehex.reference_data import affinity_table
 GROUP_TARGET = "restaurant"
 
 
+def _bounded(table: DataFrame, own: bool) -> DataFrame:
+    """Broadcast hint for the package's own matrix of 61 rows; a caller's table is left to the optimizer."""
+    return F.broadcast(table) if own else table
+
+
 def weights_for(affinity: DataFrame, target: str) -> DataFrame:
     return affinity.where(F.col("target") == target).select(F.col("neighbor").alias("category"), "weight")
 
@@ -25,7 +30,7 @@ def lookup_weight(pairs: DataFrame, affinity: DataFrame | None = None) -> DataFr
     """Weight of every (target, category) pair; 0 on a miss. The matrix is a fixed 61 rows."""
     table = affinity_table(pairs.sparkSession) if affinity is None else affinity
     table = table.select("target", F.col("neighbor").alias("category"), "weight")
-    return pairs.join(F.broadcast(table), ["target", "category"], "left").withColumn(
+    return pairs.join(_bounded(table, affinity is None), ["target", "category"], "left").withColumn(
         "weight", F.coalesce("weight", F.lit(0.0))
     )
 
@@ -46,7 +51,7 @@ def affinity_fit(
     a ranking; with it the places are never shuffled before they are filtered.
     """
     table = affinity_table(picks.sparkSession) if affinity is None else affinity
-    w = F.broadcast(weights_for(table, target))
+    w = _bounded(weights_for(table, target), affinity is None)
     chosen = picks.select("city", F.col("cell").alias("pick")).distinct()
     ring = chosen.select("city", "pick", F.explode(G.cell_ring("pick")).alias("h3_8"))
     rings_bound = None if picks_bound is None else 7 * picks_bound
@@ -98,7 +103,7 @@ def affinity_surface(
     table = affinity_table(places.sparkSession) if affinity is None else affinity
     per_cell = (
         in_cities(places, cities)
-        .join(F.broadcast(weights_for(table, target)), "category")
+        .join(_bounded(weights_for(table, target), affinity is None), "category")
         .groupBy("city", "h3_8", "weight")
         .agg(F.count("*").alias("n"))
         .groupBy("city", "h3_8")

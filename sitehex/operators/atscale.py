@@ -1,14 +1,14 @@
 """Building blocks that keep results exact when one key holds a large share of all rows.
 
 ``percentile`` and an unbounded window both end in one task per group. The functions here get
-the same answers from partial aggregates plus a bounded remainder per task.
+the same answers from partial aggregates plus a small remainder per task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A relation is hinted for broadcast only when the caller can prove at most this many short rows.
@@ -16,9 +16,6 @@ BROADCAST_ROWS = 50_000
 
 SKETCH_ACCURACY = 10_000
 
-# Inputs with at most this many values in total may be ranked in one aggregate per group.
-SMALL_INPUT_ROWS = 1_000_000
-
 
 def broadcast_bounded(df: DataFrame, rows_bound: int | None) -> DataFrame:
     """Broadcast hint behind a proven row bound; otherwise leave the choice to AQE."""
@@ -36,30 +33,29 @@ def settle(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
 
 
+def linear_position(n: Column, q: float) -> Column:
+    """Zero-based rank of a linearly interpolated quantile."""
+    return (n - 1) * F.lit(q)
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     quantiles: Mapping[str, float],
     groups_bound: int | None = None,
-    rows_bound: int | None = None,
+    position: Callable[[Column, float], Column] = linear_position,
 ) -> DataFrame:
     """Interpolated quantiles per group, one column per entry of ``quantiles``.
 
-    A mergeable sketch brackets each wanted rank. A second pass counts everything below the
-    bracket map-side and keeps individual values only inside it (about 0.1 % of the group), and
-    the rank is then located exactly. Groups of up to ``2 * SKETCH_ACCURACY`` rows are their own
-    bracket. NULL values are ignored; a group without values is absent from the result.
-
-    ``rows_bound`` is a measured limit on the rows of ``df``; below ``SMALL_INPUT_ROWS`` the built-in
-    exact percentile is within memory and saves the second pass.
+    A mergeable sketch brackets each wanted rank. A second pass collapses everything below and above
+    the bracket map-side, to a count and the value next to the bracket, and keeps distinct values only
+    inside it: about 0.1 % of the group, which then meet to locate the rank exactly. The plan is the
+    same for every size of input. NULL values are ignored; a group without values is absent from the
+    result. ``position`` gives the wanted rank from the number of values and must stay within one rank
+    of the linear one.
     """
     keys = list(keys)
-    if rows_bound is not None and rows_bound <= SMALL_INPUT_ROWS:
-        small = df.groupBy(*keys).agg(
-            F.count(value).alias("_n"), *[F.percentile(value, F.lit(p)).alias(n) for n, p in quantiles.items()]
-        )
-        return small.where(F.col("_n") > 0).drop("_n")
     margin = 4.0 / SKETCH_ACCURACY
     names = list(quantiles)
     probs: list[float] = []
@@ -67,13 +63,7 @@ def exact_quantiles(
         probs += [max(0.0, quantiles[name] - margin), min(1.0, quantiles[name] + margin)]
 
     vals = settle(df.select(*keys, F.col(value).cast("double").alias("_v"))).where(F.col("_v").isNotNull())
-    sketch = vals.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", probs, SKETCH_ACCURACY).alias("_q"),
-    )
-    small = F.col("_n") <= 2 * SKETCH_ACCURACY
+    sketch = vals.groupBy(*keys).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", probs, SKETCH_ACCURACY).alias("_q"))
     brackets = sketch.select(
         *keys,
         F.inline(
@@ -81,10 +71,10 @@ def exact_quantiles(
                 *[
                     F.struct(
                         F.lit(name).alias("_name"),
-                        ((F.col("_n") - 1) * F.lit(quantiles[name])).alias("_pos"),
+                        position(F.col("_n"), quantiles[name]).cast("double").alias("_pos"),
                         F.col("_n").alias("_rows"),
-                        F.when(small, F.col("_min")).otherwise(F.get("_q", F.lit(2 * i))).alias("_lo"),
-                        F.when(small, F.col("_max")).otherwise(F.get("_q", F.lit(2 * i + 1))).alias("_hi"),
+                        F.get("_q", F.lit(2 * i)).alias("_lo"),
+                        F.get("_q", F.lit(2 * i + 1)).alias("_hi"),
                     )
                     for i, name in enumerate(names)
                 ]
@@ -92,32 +82,37 @@ def exact_quantiles(
         ),
     )
     bound = None if groups_bound is None else groups_bound * len(names)
+    side = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0)
     counted = (
         vals.join(broadcast_bounded(brackets, bound), keys)
-        .where(F.col("_v") <= F.col("_hi"))
-        .groupBy(*keys, "_name", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
-        .agg(F.count("*").alias("_c"), F.max("_pos").alias("_pos"), F.max("_rows").alias("_rows"))
-    )
-    by_value = (
-        Window.partitionBy(*keys, "_name")
-        .orderBy(F.col("_v").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, 0)
+        .groupBy(*keys, "_name", side.alias("_side"), F.when(side == 0, F.col("_v")).alias("_in"))
+        .agg(
+            F.count("*").alias("_c"), F.min("_v").alias("_first"), F.max("_v").alias("_last"),
+            F.max("_pos").alias("_pos"), F.max("_rows").alias("_rows"),
+        )
     )
+    by_value = Window.partitionBy(*keys, "_name").orderBy("_side", "_in").rowsBetween(Window.unboundedPreceding, 0)
     k = F.floor(F.col("_pos"))
+
+    def at(rank: Column) -> Column:
+        # Below the bracket only the last value is known, above it only the first.
+        inside = (F.col("_before") <= rank) & (rank < F.col("_upto"))
+        known = (
+            (F.col("_side") == 0)
+            | ((F.col("_side") < 0) & (rank == F.col("_upto") - 1))
+            | ((F.col("_side") > 0) & (rank == F.col("_before")))
+        )
+        return F.max(F.when(inside & known, F.when(F.col("_side") < 0, F.col("_last")).otherwise(F.col("_first"))))
+
     located = (
         counted.withColumn("_upto", F.sum("_c").over(by_value))
         .withColumn("_before", F.col("_upto") - F.col("_c"))
         .groupBy(*keys, "_name")
-        .agg(
-            F.max(F.when((F.col("_before") <= k) & (k < F.col("_upto")), F.col("_v"))).alias("_x0"),
-            F.max(F.when((F.col("_before") <= k + 1) & (k + 1 < F.col("_upto")), F.col("_v"))).alias("_x1"),
-            F.max("_pos").alias("_pos"),
-            F.max("_rows").alias("_rows"),
-        )
+        .agg(at(k).alias("_x0"), at(k + 1).alias("_x1"), F.max("_pos").alias("_pos"), F.max("_rows").alias("_rows"))
     )
     missed = F.raise_error(F.lit("quantile rank fell outside its sketch bracket")).cast("double")
     x0 = F.coalesce("_x0", missed)
-    x1 = F.when(k + 1 >= F.col("_rows"), x0).otherwise(F.coalesce("_x1", missed))
+    x1 = F.when((k + 1 >= F.col("_rows")) | (k == F.col("_pos")), x0).otherwise(F.coalesce("_x1", missed))
     exact = located.withColumn("_value", x0 + (x1 - x0) * (F.col("_pos") - k))
     if len(names) == 1:
         return exact.select(*keys, F.col("_value").alias(names[0]))
@@ -183,20 +178,31 @@ def checkpoint_dir(spark) -> str:
     return context.getCheckpointDir()
 
 
-def cut_lineage_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """``cut_lineage`` and the number of rows, measured by the same job."""
-    seen = Observation()
-    out = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows")))
-    return out, seen.get["rows"]
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: columnar, prunable and safe against lost executors."""
+    path = new_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
+def range_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Zero-based rank of every row of a key in ``order``, with keys and ties spread over range partitions.
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor."""
-    spark = df.sparkSession
-    where = checkpoint_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    Partition bounds come from the data, so neither a key with most rows nor values far from all others
+    fill one task. Only row counts per key and partition meet in a window.
+    """
+    part = "_part"
+    dealt = cut_lineage(df.repartitionByRange(*keys, *order).withColumn(part, F.spark_partition_id()))
+    counts = dealt.groupBy(*keys, part).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy(*keys, part).orderBy(*order)
+    return (
+        dealt.withColumn("_row", F.row_number().over(within))
+        .join(offsets, [*keys, part])
+        .withColumn(out, F.col("_offset") + F.col("_row") - 1)
+        .drop(part, "_row", "_offset")
+    )
 
 
 def new_folder(spark, purpose: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitehex.cities import CITIES, City
@@ -52,35 +52,14 @@ def capacity_stats(cell_capacity: DataFrame, cities: Sequence[City] = CITIES) ->
 def capacity_ramp(cell_capacity: DataFrame, cities: Sequence[City] = CITIES) -> DataFrame:
     """Share of the layer's own p95 and the colour stop each cell falls on.
 
-    The p95 here is the value at index ``min(n-1, floor(n * 0.95))`` of the sorted layer. Floors
-    are whole numbers, so an exact interpolated quantile at that index returns a stored value.
+    The p95 here is the value at index ``min(n-1, floor(n * 0.95))`` of the sorted layer.
     """
     rows = capacity_rows(cell_capacity, cities)
-    hist = rows.groupBy("city", "floor").agg(F.count("*").alias("n"))
-    # Index-based pick: rank the distinct values inside a bracket around the p95 only.
-    bracket = exact_quantiles(rows, ["city"], "floor", {"_lo": 0.945, "_hi": 0.955}, len(cities))
-    total = rows.groupBy("city").agg(F.count("*").alias("_total"), F.max("floor").alias("_max"))
     n = len(cities)
-    # Small layers keep every value in the bracket, so the index can never fall outside it.
-    small = F.col("_total") < 1000
-    bounds = bracket.join(broadcast_bounded(total, n), "city").select(
-        "city", "_total",
-        F.when(small, F.lit(-1.0)).otherwise(F.col("_lo")).alias("_lo"),
-        F.when(small, F.col("_max").cast("double")).otherwise(F.col("_hi")).alias("_hi"),
-    )
-    w = Window.partitionBy("city").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    idx = F.least(F.col("_total") - 1, F.floor(F.col("_total") * 0.95))
-    p95 = (
-        hist.join(broadcast_bounded(bounds, n), "city")
-        .where(F.col("floor") <= F.col("_hi"))
-        .groupBy("city", F.when(F.col("floor") >= F.col("_lo"), F.col("floor")).alias("_v"))
-        .agg(F.sum("n").alias("_c"), F.max("_total").alias("_total"))
-        .withColumn("_upto", F.sum("_c").over(w))
-        .where(F.col("_upto") > idx)
-        .groupBy("city")
-        .agg(F.min("_v").alias("_p95"))
-        .select("city", F.greatest(F.col("_p95"), F.lit(1).cast("bigint")).alias("p95"))
+    picked = exact_quantiles(
+        rows, ["city"], "floor", {"p95": 0.95}, n, lambda count, q: F.least(count - 1, F.floor(count * F.lit(q)))
     )
+    p95 = picked.select("city", F.greatest(F.col("p95").cast("bigint"), F.lit(1).cast("bigint")).alias("p95"))
     share = F.col("floor") / F.col("p95").cast("double")
     return (
         rows.join(broadcast_bounded(p95, n), "city")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sitehex.cities import CITIES, City
 from sitehex.functions import geometry as geo
 from sitehex.functions import grid as G
-from sitehex.functions.text import district_matches, lens_badge, place_name
+from sitehex.functions.text import district_matches, lens_label, place_name
 from sitehex.operators.scoring import in_cities
 
 # Lens weights over (demand, competition headroom, accessibility).
@@ -155,15 +155,13 @@ def available_districts(districts: DataFrame, limit: int = 12, cities: Sequence[
 
 
 def resolve_rank_or_explain(picks: DataFrame, districts: DataFrame, city: str, request: RankRequest) -> dict:
-    """Picks, or the reason there are none; never an empty answer without one."""
+    """Picks, or a code for why there are none with what the caller can do about it."""
     if not picks.isEmpty():
         return {"picks": picks}
+    asked = {"city": city, "page": request.page, "district": request.scope}
     if request.scope is not None:
-        names = available_districts(districts.where(F.col("city") == city))
-        return {"error": "no cells in that district", "district": request.scope, "available": names}
-    if request.page > 1:
-        return {"error": "no more options", "city": city, "page": request.page}
-    return {"error": "no populated cells for that city", "city": city}
+        return {"error": "district_empty", **asked, "available": available_districts(districts.where(F.col("city") == city))}
+    return {"error": "page_past_end" if request.page > 1 else "city_without_cells", **asked}
 
 
 def pick_features(picks: DataFrame, fit: DataFrame, request: RankRequest = RankRequest()) -> DataFrame:
@@ -172,14 +170,16 @@ def pick_features(picks: DataFrame, fit: DataFrame, request: RankRequest = RankR
     ``fit`` comes from ``affinity.affinity_fit``; it is left out where no complementary trade is
     nearby. The score itself is never touched by it.
     """
-    badge = None if request.is_default else lens_badge(request.strategy, request.order, request.scope, request.page)
+    label = lens_label(
+        F.lit(request.strategy), F.lit(request.order), F.lit(request.scope).cast("string"), F.lit(request.page)
+    )
     near = fit.where(F.size("top_neighbours") > 0).select(
         "city", F.col("pick").alias("cell"), "fit", "top_neighbours"
     )
     out = (
         picks.join(near, ["city", "cell"], "left")
         .withColumn("place", place_name("area", "locality"))
-        .withColumn("lens", F.lit(badge).cast("string"))
+        .withColumn("lens", label)
     )
     props = F.struct(
         "rank", "gap", "dem", "acc", "pop", "sup", F.col("cap_m2").alias("capM2"), "addr", "h3", "place",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sitehex.cities import CITIES, City, country_of, matching_cities
 from sitehex.functions import grid as G
 from sitehex.functions.text import half_up_1dp
-from sitehex.operators.atscale import broadcast_bounded, cut_lineage_counted, exact_quantiles
+from sitehex.operators.atscale import broadcast_bounded, cut_lineage, exact_quantiles
 from sitehex.tables import Tables
 
 KEY = ["city", "cell"]
@@ -30,7 +30,8 @@ def city_cells(population: DataFrame, cities: Sequence[City] = CITIES) -> DataFr
 
     # A cell outside every box matches no city and so explodes to no row.
     wanted = population.where(F.col("country").isin(sorted({c.country for c in cities})))
-    return G.with_center(wanted, "h3_8", G.BASE_RES, "_lon", "_lat", cities).select(
+    own = G.require_lattice("h3_8")
+    return G.with_center(wanted.withColumn("h3_8", own), "h3_8", G.BASE_RES, "_lon", "_lat", cities).select(
         F.explode(matching_cities(inside, cities)).alias("city"),
         F.col("h3_8").alias("cell"),
         F.col("population").cast("double").alias("pop"),
@@ -125,7 +126,6 @@ def joined(
     tables: Tables,
     categories: Sequence[str],
     cities: Sequence[City] = CITIES,
-    grid: str = "lattice",
 ) -> DataFrame:
     """All signals on the populated cells; supply misses are 0, other misses stay NULL.
 
@@ -140,7 +140,7 @@ def joined(
             "city", F.col("h3_8").alias("cell"), F.col("floor_area_m2").alias("cap_area")
         ),
         "addr_cnt": addresses(tables.addr_density, cities),
-        "acc_pop": access_rows(tables.isochrone_cells, tables.population, cities, grid=grid),
+        "acc_pop": access_rows(tables.isochrone_cells, tables.population, cities),
     }
     kinds = {"pop": "double", "sup": "bigint", "cap_area": "double", "addr_cnt": "bigint", "acc_pop": "double"}
     stacked = None
@@ -166,12 +166,10 @@ def scale(
     cells: DataFrame,
     cities: Sequence[City] = CITIES,
     axes: Sequence[str] = P95_AXES,
-    rows: int | None = None,
 ) -> DataFrame:
     """95th percentile of every axis over the cells that have it, one row per city.
 
     All but the population scale are floored at 1 so a nearly empty axis cannot divide by zero.
-    ``rows`` is the measured number of cells, when it is known.
     """
     long = cells.select(
         "city",
@@ -184,7 +182,7 @@ def scale(
             )
         ),
     )
-    p95 = exact_quantiles(long, ["city", "axis"], "x", {"p95": 0.95}, len(cities) * len(axes), None if rows is None else rows * len(axes))
+    p95 = exact_quantiles(long, ["city", "axis"], "x", {"p95": 0.95}, len(cities) * len(axes))
     out = []
     for a in axes:
         v = F.max(F.when(F.col("axis") == a, F.col("p95")))
@@ -227,15 +225,14 @@ def scored(
     tables: Tables,
     categories: Sequence[str],
     cities: Sequence[City] = CITIES,
-    grid: str = "lattice",
 ) -> DataFrame:
     """The scored surface of one trade over any number of cities.
 
-    The joined signals feed the scales twice and the score once. They are checkpointed first: one
-    row per populated cell, far smaller than the inputs, and safe against executor loss.
+    The joined signals feed the scales twice and the score once. They are written first: one row per
+    populated cell, far smaller than the inputs, and safe against executor loss.
     """
-    cells, rows = cut_lineage_counted(joined(tables, categories, cities, grid))
-    return score(cells, scale(cells, cities, rows=rows), cities)
+    cells = cut_lineage(joined(tables, categories, cities))
+    return score(cells, scale(cells, cities), cities)
 
 
 def scored_two_factor(
@@ -257,12 +254,10 @@ def scored_two_factor(
 
 
 def exponents(weights: Mapping[str, float]) -> dict[str, float]:
-    """Slider positions to exponents; only ratios matter and all-zero means neutral."""
-    vals = {f: max(0.0, float(weights[f])) for f in NEUTRAL}
-    total = sum(vals.values())
-    if total <= 0:
-        return {f: 1.0 for f in NEUTRAL}
-    return {f: len(vals) * v / total for f, v in vals.items()}
+    """Exponents of the three factors: the slider values over their mean, or 1 each if all are 0."""
+    sliders = {name: max(float(weights[name]), 0.0) for name in NEUTRAL}
+    mean = sum(sliders.values()) / len(sliders)
+    return {name: value / mean if mean else 1.0 for name, value in sliders.items()}
 
 
 def reweight(surface: DataFrame, weights: Mapping[str, float], out: str = "gap_weighted") -> DataFrame:

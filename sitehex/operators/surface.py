@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sitehex.cities import CITIES, City
 from sitehex.functions import geometry as geo
 from sitehex.functions import grid as G
-from sitehex.operators.atscale import broadcast_bounded, bucketed_running_sum, exact_quantiles
+from sitehex.operators.atscale import broadcast_bounded, exact_quantiles, range_ranks
 from sitehex.operators.scoring import NEUTRAL, display_gap, in_cities
 
 
@@ -102,16 +102,12 @@ def kpi_strip(
     )
 
 
-REVEAL_BUCKETS = 1024
-TIE_PREFIX = 4
-
-
 def reveal_order(points: DataFrame, groups_bound: int | None = None) -> DataFrame:
     """Rank a layer's features outward from its mean point.
 
     ``points`` has ``layer, id, lon, lat`` with coordinates already at five decimals. The mean is
     taken over integer 1e-5 degrees and distances are compared at nine decimals, so the order does
-    not depend on how rows are spread over tasks. Ranks come from distance buckets.
+    not depend on how rows are spread over tasks. Ranks come from range partitions of distance and id.
     """
     fixed = points.select(
         "layer", F.col("id").cast("string").alias("id"), "lon", "lat",
@@ -131,19 +127,8 @@ def reveal_order(points: DataFrame, groups_bound: int | None = None) -> DataFram
     ready = placed.join(broadcast_bounded(far, groups_bound), "layer").withColumn(
         "dist", F.coalesce(F.try_divide("_d", "_max"), F.lit(0.0))
     )
-    ranked = bucketed_running_sum(
-        ready,
-        ["layer"],
-        [
-            F.least(F.floor(F.col("dist") * REVEAL_BUCKETS), F.lit(REVEAL_BUCKETS - 1)),
-            # Many features on one spot tie on the distance; the id then splits them further.
-            F.struct("_d", F.substring(F.col("id").cast("string"), 1, TIE_PREFIX)),
-        ],
-        [F.col("_d").asc(), F.col("id").asc()],
-        F.lit(1).cast("bigint"),
-        "_n",
-    )
-    return ranked.select("layer", "id", (F.col("_n") - 1).alias("idx"), "dist")
+    ranked = range_ranks(ready.select("layer", "id", "_d", "dist"), ["layer"], ["_d", "id"], "idx")
+    return ranked.select("layer", "id", "idx", "dist")
 
 
 def sample_per_city(places: DataFrame, n: int = 5, cities: Sequence[City] = CITIES) -> DataFrame:

@@ -435,6 +435,23 @@ def layer_documents(spark, sf):
     return layer_store.feature_collections(_layer_features(spark, sf), "id")
 
 
+@query(
+    "layer_emit",
+    "select layer, case when bytes<=4096 then 'inline' else 'handle' end as route, features, bytes, rev, "
+    "case when bytes<=4096 then body end as body, case when bytes>4096 then features end as stored from "
+    "(select layer, count(*) as features, cast(sum(strlen(f))+count(*)-1+42 as bigint) as bytes, "
+    "cast(sum(cast('0x'||substr(md5(f),1,8) as bigint)) as bigint) as rev, "
+    "'{\"type\":\"FeatureCollection\",\"features\":['||string_agg(f, ',' order by id)||']}' as body from "
+    f"(select city||'/'||category as layer, id, {_feature} as f from places) group by layer)",
+)
+def layer_emit(spark, sf):
+    """Every layer at a small budget: its document, or the features found behind its handle."""
+    root = new_folder(spark, "layers")
+    emitted = cut_lineage(layer_store.emit_layers(_layer_features(spark, sf), "id", root, budget=4096))
+    stored = spark.read.schema(layer_store.LAYER_SCHEMA).parquet(root).groupBy("handle").agg(F.count("*").alias("stored"))
+    return emitted.join(stored, "handle", "left").select("layer", "route", "features", "bytes", "rev", "body", "stored")
+
+
 @query(
     "layer_store",
     "select 'fresh' as age, count(*) as features from places union all select 'expired', 0 union all select 'cleaned', 1",

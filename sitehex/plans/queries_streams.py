@@ -41,7 +41,7 @@ def stream_capacity_rollup(spark, sf):
 
 @query("stream_capacity_replay", "select city, h3_8, floor_area_m2, buildings from cell_capacity")
 def stream_capacity_replay(spark, sf):
-    """Replaying a batch and compacting the parts leave the rollup as it was."""
+    """Replaying a batch leaves the rollup as it was, and so does a fold that a later batch follows."""
     from sitehex.sources.demand import merge_capacity
 
     out, ck, folded = new_folder(spark, "rollup"), new_folder(spark, "progress"), new_folder(spark, "rollup")
@@ -51,8 +51,14 @@ def stream_capacity_replay(spark, sf):
     copy = new_folder(spark, "replay")
     replayed.write.parquet(copy)
     rollups.part_writer(lambda df: df.drop("batch_id"), out)(spark.read.parquet(copy), 0)
-    rollups.compact(spark, out, folded, merge_capacity)
-    return rollups.read_capacity(spark, folded)
+    last = spark.read.parquet(out).agg(F.max("batch_id")).first()[0]
+    late = new_folder(spark, "late")
+    spark.read.parquet(out).where(F.col("batch_id") == last).drop("batch_id").write.parquet(late)
+    early = new_folder(spark, "early")
+    spark.read.parquet(out).where(F.col("batch_id") < last).write.partitionBy("batch_id").parquet(early)
+    rollups.compact(spark, early, folded, merge_capacity)
+    rollups.part_writer(lambda df: df, early)(spark.read.parquet(late), last)
+    return rollups.read_capacity(spark, early, folded)
 
 
 @query("stream_momentum_rollup", "select city, category, first_count, last_count, first_month, last_month from momentum")
@@ -110,17 +116,15 @@ def layer_updates(spark, sf):
 @query("stream_commands_once",
        "select event_type as action, count(*) as applied from events group by 1")
 def stream_commands_once(spark, sf):
-    """Every command is delivered twice and applied once."""
-    out, ck = new_folder(spark, "commands"), new_folder(spark, "progress")
-    events = stream_table(spark, sf, "events").select(
+    """Every command is delivered twice, in files without any order, and applied once."""
+    out, ck, inbox = new_folder(spark, "commands"), new_folder(spark, "progress"), new_folder(spark, "incoming")
+    events = S.read(spark, sf, "events").select(
         F.col("event_id").alias("command_id"), F.col("event_type").alias("action"), F.col("ts").cast("timestamp").alias("ts")
     )
     twice = events.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
-    once = updates.once_per_command(twice, "1 hour")
-    (
-        once.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-        .outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    )
+    twice.repartition(6, "command_id", "delivery").write.parquet(inbox)
+    stream = spark.readStream.schema(twice.schema).option("maxFilesPerTrigger", 2).parquet(inbox)
+    updates.apply_commands_once(stream, out, ck).awaitTermination()
     return spark.read.parquet(out).groupBy("action").agg(F.count("*").alias("applied"))
 
 

@@ -21,9 +21,9 @@ def ingest_history(docs: DataFrame, tags: DataFrame | None = None) -> DataFrame:
     A tag shared by two categories feeds both. A failed fetch has no parseable result and so
     leaves no rows: absent is not zero.
     """
-    tags = history_tags_table(docs.sparkSession) if tags is None else tags
+    tags = F.broadcast(history_tags_table(docs.sparkSession)) if tags is None else tags
     return (
-        docs.join(F.broadcast(tags), "tag")
+        docs.join(tags, "tag")
         .select("city", "category", F.inline(F.from_json("body", DOC)["result"]))
         .select(
             "city", "category",

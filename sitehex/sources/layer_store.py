@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitehex.operators.atscale import cut_lineage
 from sitehex.sources.publish import delete_path, list_folders
 
 INLINE_BUDGET_BYTES = 256 * 1024
@@ -34,7 +35,7 @@ def feature_collections(features: DataFrame, order_by: str, budget: int = INLINE
     """One document per layer that fits the inline budget.
 
     Only layers measured to fit are assembled, so a document never exceeds the budget in memory.
-    Larger layers go through ``write_layer``, one feature per line.
+    ``emit_layers`` stores the larger ones behind a handle.
     """
     small = route_by_bytes(features, budget).where(F.col("route") == "inline").select("layer", "bytes")
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order_by).alias("k"), F.col("feature").alias("f"))))
@@ -49,19 +50,42 @@ def feature_collections(features: DataFrame, order_by: str, budget: int = INLINE
     )
 
 
-def write_layer(features: DataFrame, root: str, now: dt.datetime | None = None) -> str:
-    """Store one layer's features below a fresh handle and return the handle."""
+def emit_layers(
+    features: DataFrame, order_by: str, root: str, budget: int = INLINE_BUDGET_BYTES, now: dt.datetime | None = None
+) -> DataFrame:
+    """One row per layer of ``(layer, <order_by>, feature)``: a document, or a handle to its stored features.
+
+    Columns: layer, route, features, bytes, rev, body (inline), handle (stored). ``rev`` changes with
+    the content. Layers above the budget are stored by one write, each below a handle of its own.
+    """
     now = now or dt.datetime.now(dt.timezone.utc)
-    handle = uuid.uuid4().hex
+    spark = features.sparkSession
+    content = F.sum(F.conv(F.substring(F.md5("feature"), 1, 8), 16, 10).cast("bigint"))
+    revs = features.groupBy("layer").agg(content.alias("rev"))
+    routes = cut_lineage(
+        route_by_bytes(features, budget).join(revs, "layer")
+        .withColumn("handle", F.when(F.col("route") == "handle", F.md5(F.concat_ws("|", "layer", F.lit(uuid.uuid4().hex)))))
+    )
+    large = features.join(routes.where(F.col("route") == "handle").select("layer", "handle"), "layer")
+    _store(large.select("feature", "handle"), root, now)
+    documents = feature_collections(features, order_by, budget).select("layer", "body")
+    return routes.join(documents, "layer", "left").select("layer", "route", "features", "bytes", "rev", "body", "handle")
+
+
+def _store(rows: DataFrame, root: str, now: dt.datetime) -> None:
     (
-        features.select("feature")
-        .withColumn("created_at", F.lit(now))
+        rows.withColumn("created_at", F.lit(now))
         .withColumn("created_hour", F.lit(now.strftime("%Y%m%d%H")))
-        .withColumn("handle", F.lit(handle))
         .write.mode("append")
         .partitionBy("created_hour", "handle")
         .parquet(root)
     )
+
+
+def write_layer(features: DataFrame, root: str, now: dt.datetime | None = None) -> str:
+    """Store one layer's features below a fresh handle and return the handle."""
+    handle = uuid.uuid4().hex
+    _store(features.select("feature").withColumn("handle", F.lit(handle)), root, now or dt.datetime.now(dt.timezone.utc))
     return handle
 
 

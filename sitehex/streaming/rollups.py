@@ -56,22 +56,34 @@ def maintain_momentum(poi_history: DataFrame, path: str, checkpoint: str) -> Str
     return maintain(poi_history, momentum_rollup, path, checkpoint)
 
 
-def read_capacity(spark: SparkSession, path: str) -> DataFrame:
-    return merge_capacity(spark.read.parquet(path))
+def read_capacity(spark: SparkSession, path: str, folded: str | None = None) -> DataFrame:
+    return merge_capacity(parts(spark, path, folded))
 
 
-def read_momentum(spark: SparkSession, path: str) -> DataFrame:
-    return merge_momentum(spark.read.parquet(path))
+def read_momentum(spark: SparkSession, path: str, folded: str | None = None) -> DataFrame:
+    return merge_momentum(parts(spark, path, folded))
 
 
-def compact(spark: SparkSession, path: str, target: str, merge: Rollup) -> None:
-    """Fold all parts into one part of a new table.
+def parts(spark: SparkSession, path: str, folded: str | None = None) -> DataFrame:
+    """All parts of a rollup: with a fold, that one and the parts written after it."""
+    own = spark.read.parquet(path)
+    if folded is None:
+        return own
+    fold = spark.read.parquet(folded)
+    upto = fold.agg(F.max("batch_id").alias("upto")).first().upto
+    later = own if upto is None else own.where(F.col("batch_id") > upto)
+    return fold.unionByName(later)
 
-    ``batch_id`` -1 cannot collide with a streaming batch, so the stream may go on writing to the
-    target; readers switch folders once the fold is complete.
+
+def compact(spark: SparkSession, path: str, target: str, merge: Rollup) -> int:
+    """Fold the parts of this moment into one part in a new folder and return the newest batch it holds.
+
+    The fold carries that batch's number, and the stream goes on writing to ``path``: readers take the
+    fold and the later parts, so nothing that arrives during or after the fold is lost or counted twice.
     """
     if path_exists(spark, f"{target}/_SUCCESS"):
         raise ValueError("compaction target already exists")
-    merge(spark.read.parquet(path)).withColumn("batch_id", F.lit(-1).cast("bigint")).write.partitionBy(
-        "batch_id"
-    ).parquet(target)
+    upto = spark.read.parquet(path).agg(F.max("batch_id").alias("upto")).first().upto
+    seen = spark.read.parquet(path).where(F.col("batch_id") <= F.lit(upto))
+    merge(seen).withColumn("batch_id", F.lit(upto).cast("bigint")).write.partitionBy("batch_id").parquet(target)
+    return upto

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sitehex.operators.saved import latest_versions
+from sitehex.sources.publish import path_exists
 
 
 def append_versions(source: DataFrame, path: str, checkpoint: str, by: str = "city") -> StreamingQuery:
@@ -38,13 +40,48 @@ def latest_layer_parts(writes: DataFrame) -> DataFrame:
     )
 
 
-def once_per_command(commands: DataFrame, within: str = "1 hour", ts: str = "ts", key: str = "command_id") -> DataFrame:
-    """Apply each command once. On a stream the remembered ids expire with the watermark."""
-    if commands.isStreaming:
-        return commands.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
+LEDGER_BUCKETS = 64
+
+
+def once_per_command(commands: DataFrame, key: str = "command_id") -> DataFrame:
+    """A batch of commands, each id once."""
     return commands.dropDuplicates([key])
 
 
+def apply_commands_once(source: DataFrame, path: str, checkpoint: str, key: str = "command_id") -> StreamingQuery:
+    """Append every command of a stream once per id, however late and in whichever file it comes again.
+
+    What was applied is itself the ledger: a batch is anti-joined by id with the parts of all earlier
+    batches. Parts lie in folders by a hash of the id, so a batch reads only the buckets it
+    touches. A batch owns its part and overwrites it when replayed.
+    """
+    bucket = F.pmod(F.hash(key), F.lit(LEDGER_BUCKETS)).alias("id_bucket")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = once_per_command(batch, key).select("*", bucket)
+        if batch_id > 0 and path_exists(spark, path):
+            touched = [r.id_bucket for r in fresh.select("id_bucket").distinct().collect()]  # at most LEDGER_BUCKETS
+            schema = StructType([*fresh.schema.fields, StructField("batch_id", LongType())])
+            applied = spark.read.schema(schema).parquet(path).where(F.col("batch_id") < batch_id)
+            applied = applied.where(F.col("id_bucket").isin(touched)).select("id_bucket", key)
+            fresh = fresh.join(applied, ["id_bucket", key], "left_anti")
+        (
+            fresh.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch_id", "id_bucket")
+            .parquet(path)
+        )
+
+    return (
+        source.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def upsert_parts(source: DataFrame, keys: Sequence[str], version: str, path: str, checkpoint: str) -> StreamingQuery:
     """Write the newest version per key of each micro-batch into its own replaceable part."""
 

@@ -32,12 +32,12 @@ def _surface(tables: Tables, city: str, trade: str, given: DataFrame | None) ->
 
 
 def find_competitors(tables: Tables, city: str, trade: str) -> dict:
-    """Competitor features with the frame to show them in; no rows in the frame means no data."""
+    """Competitor features with the frame to show them in, or that there are none."""
     c, cats = check_city(city), resolve_categories(trade)
-    return {
-        "features": layers.competitors_layer(tables.places, cats, [c]),
-        "frame": layers.competitors_bbox(tables.places, cats, [c]),
-    }
+    frame = layers.competitors_bbox(tables.places, cats, [c])
+    if frame.isEmpty():
+        return {"error": "no_competitors", "city": c.name, "categories": list(cats)}
+    return {"features": layers.competitors_layer(tables.places, cats, [c]), "frame": frame}
 
 
 def score_area(tables: Tables, city: str, trade: str, market: DataFrame | None = None) -> dict:
@@ -94,7 +94,7 @@ def show_catchment(
     pick = cut_lineage(ranking.rank_city(_surface(tables, city, trade, market), c.name, tables.districts, first, [c]))
     row = pick.select("cell", G.cell_to_center_child("cell", 9).alias("origin")).first()
     if row is None:
-        return {"error": "no populated cells for that city", "city": c.name}
+        return {"error": "city_without_cells", "city": c.name}
 
     # The pick is one row, so its origin is a literal and the large tables are read by key.
     def here(df: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def show_catchment(
         pick, here(tables.isochrones), here(tables.isochrone_cells), tables.population, [c]
     )
     if not stats.first().measured:
-        return {"catchment": "not measured", "reason": "no walkable edge near the cell centre"}
+        return {"error": "walk_not_measured", "city": c.name, "origin": row.origin}
     return {
         "stats": stats,
         "polygons": catchment.catchment_polygons(pick, here(tables.isochrones), picks_bound=1),
@@ -129,7 +129,7 @@ def save_site(
     row = cut_lineage(saved.as_saved(picks, user, trade, which))
     fact = row.select("label").first()
     if fact is None:
-        return {"error": "no such pick to save", "city": c.name, "which": which}
+        return {"error": "pick_not_found", "city": c.name, "which": which}
     append_saved_site(row, store)
     return {"saved": fact.label, "rank": which, "status": "candidate"}
 
@@ -141,6 +141,8 @@ def compare_saved_sites(
     c = check_city(city)
     mine = tables.saved_sites.where(F.col("city") == c.name)
     rows = saved.saved_sites_market(mine, _surface(tables, city, trade, market), user, trade)
+    if rows.isEmpty():
+        return {"error": "no_saved_sites", "city": c.name, "trade": trade}
     return {"rows": rows.orderBy("created_at", "id"), "features": saved.saved_sites_layer(rows)}
 
 

@@ -29,16 +29,52 @@ def test_exact_quantiles_match_linear_interpolation(spark, skewed, accuracy, mon
             assert got[k][name] == pytest.approx(np.quantile(g.v, p), abs=1e-12), (k, name)
 
 
-@pytest.mark.parametrize("rows_bound", [None, 4])
-def test_quantiles_ignore_null_and_skip_empty_groups(spark, rows_bound):
+def test_quantiles_ignore_null_and_skip_empty_groups(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 3.0), ("b", None)], "k string, v double")
-    rows = atscale.exact_quantiles(df, ["k"], "v", {"m": 0.5}, rows_bound=rows_bound).collect()
+    rows = atscale.exact_quantiles(df, ["k"], "v", {"m": 0.5}).collect()
     assert [(r.k, r.m) for r in rows] == [("a", 2.0)]
 
 
-def test_checkpoint_counts_its_rows(spark):
-    df, n = atscale.cut_lineage_counted(spark.range(1234).where("id % 2 = 0"))
-    assert n == 617 == df.count()
+@pytest.mark.parametrize("n", [1, 2, 3, 9, 10, 11, 19, 20, 21, 99, 100, 101, 1000])
+def test_quantiles_of_small_groups(spark, n):
+    values = [float((i * 7919) % 1009) for i in range(n)]
+    df = spark.createDataFrame([("a", v) for v in values], "k string, v double")
+    wanted = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.95, "e": 0.999, "f": 1.0}
+    row = atscale.exact_quantiles(df, ["k"], "v", wanted).first()
+    for name, p in wanted.items():
+        assert row[name] == pytest.approx(np.quantile(values, p), abs=1e-9), name
+    picked = atscale.exact_quantiles(df, ["k"], "v", {"p": 0.95}, None, lambda c, q: F.least(c - 1, F.floor(c * F.lit(q)))).first()
+    assert picked.p == sorted(values)[min(n - 1, int(n * 0.95))]
+
+
+def test_cut_lineage_is_a_written_table(spark):
+    df = atscale.cut_lineage(spark.range(1234).where("id % 2 = 0"))
+    assert df.count() == 617 and df.inputFiles()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        atscale.checkpoint_dir(Session())
+
+
+def test_ranks_with_one_far_value_and_common_prefixes(spark):
+    rows = [("l", 0.001 * (i % 50), f"way/{i:07d}") for i in range(20_000)] + [("l", 1e9, "way/far"), ("m", 1.0, "x")]
+    df = spark.createDataFrame(rows, "layer string, d double, id string")
+    got = {(r.layer, r.id): r.idx for r in atscale.range_ranks(df, ["layer"], ["d", "id"], "idx").collect()}
+    want = {(k, i): n for n, (k, _, i) in enumerate(sorted(rows)[:-1])} | {("m", "x"): 0}
+    assert got == want
+    sizes = df.repartitionByRange(8, "layer", "d", "id").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) <= 2 * len(rows) / len(sizes)
 
 
 def test_constant_group(spark):

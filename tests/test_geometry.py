@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitehex.functions import geometry as geo
-from sitehex.functions.text import district_matches, half_up_1dp, lens_badge, place_name
+from sitehex.functions.text import district_matches, half_up_1dp, lens_label, place_name
 
 
 def ring(*pts):
@@ -67,9 +67,11 @@ def test_names_and_badges(spark):
     rows = [("A", "B", "A, B"), ("", "B", "B"), ("A", "A", "A"), ("", "", None), (None, None, None)]
     df = spark.createDataFrame(rows, "a string, l string, want string").withColumn("got", place_name("a", "l"))
     assert df.where(~F.col("got").eqNullSafe(F.col("want"))).count() == 0
-    assert lens_badge("demand", "best", "Mitte", 2) == "biggest markets · in Mitte · more · pg 2"
-    assert lens_badge("balanced", "worst", None, 1) == "avoid · saturated"
-    assert lens_badge("balanced", "best", None, 1) is None
+    asked = [("demand", "best", "Mitte", 2, "biggest markets · in Mitte · more · pg 2"), ("balanced", "worst", " ", 1, "avoid · saturated"),
+             ("balanced", "best", None, 1, None), ("accessible", "worst", None, 1, "avoid · saturated")]
+    df = spark.createDataFrame(asked, "s string, o string, d string, p int, want string")
+    labels = df.select("want", lens_label(F.col("s"), F.col("o"), F.col("d"), F.col("p")).alias("got")).collect()
+    assert all(r.got == r.want for r in labels)
 
 
 def test_district_match_is_literal(spark):

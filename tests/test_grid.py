@@ -116,3 +116,25 @@ def test_points_agree_with_plain_arithmetic(spark, pts):
     df = spark.createDataFrame(rows, "idx int, lon double, lat double, q int, r int")
     got = G.with_cell(df, "lon", "lat", "idx", {"cell": 8})
     assert got.where((G.cell_q("cell") != F.col("q")) | (G.cell_r("cell") != F.col("r"))).count() == 0
+
+
+def test_cell_families_do_not_mix(spark):
+    from dataclasses import replace
+
+    import pytest
+
+    from sitehex.cities import CITIES
+    from sitehex.operators.scoring import city_cells
+    from sitehex.sources.population import ingest_population, rekey_population
+
+    for idx in (-1, 8, 127, 200):
+        with pytest.raises(ValueError, match="does not fit"):
+            replace(CITIES[0], idx=idx)
+    schema = "h3 string, population float, country string, lon double, lat double"
+    real = spark.createDataFrame(
+        [("881f1d4887fffff", 12.0, "DE", 13.40, 52.52), ("881f1d4c4dfffff", 5.0, "DE", 13.38, 52.51), ("881f1d4889fffff", 0.0, "DE", 13.4, 52.5),
+         ("881fa10001fffff", 9.0, "DE", 11.57, 48.13)], schema)
+    with pytest.raises(Exception, match="re-key"):
+        city_cells(ingest_population(real)).collect()
+    cells = city_cells(rekey_population(real)).collect()
+    assert sorted(r["pop"] for r in cells) == [5.0, 12.0] and {r.city for r in cells} == {"berlin"}

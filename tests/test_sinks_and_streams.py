@@ -128,15 +128,40 @@ def test_stream_rollup_equals_batch_and_survives_replay(spark, sf):
 def test_commands_apply_once_over_batches(spark, sf):
     events = S.read(spark, sf, "events").select(F.col("event_id").alias("command_id"), F.col("ts").cast("timestamp").alias("ts"))
     src, out, ck = (new_folder(spark, n) for n in ("src", "out", "ck"))
-    events.coalesce(1).write.parquet(src)
-    events.coalesce(1).write.mode("append").parquet(src)
+    events.repartition(3, "command_id").write.parquet(src)
+    events.repartition(4, "ts").write.mode("append").parquet(src)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    once = updates.once_per_command(stream, "60 days")
-    once.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
-    assert spark.read.parquet(out).count() == events.count()
+    updates.apply_commands_once(stream, out, ck).awaitTermination()
+    applied = spark.read.parquet(out)
+    assert applied.select("batch_id").distinct().count() > 1
+    assert rows(applied.select("command_id")) == rows(events.select("command_id"))
     assert updates.once_per_command(events.unionAll(events)).count() == events.count()
 
 
+def test_fold_and_later_batches(spark):
+    from sitehex.sources.demand import merge_capacity
+
+    part = spark.createDataFrame([("berlin", 1, 10.0, 1)], "city string, h3_8 bigint, floor_area_m2 double, buildings bigint")
+    out, folded = new_folder(spark, "out"), new_folder(spark, "folded")
+    writer = rollups.part_writer(lambda df: df, out)
+    writer(part, 0)
+    writer(part, 1)
+    before = rows(merge_capacity(spark.read.parquet(out)))
+    assert rollups.compact(spark, out, folded, merge_capacity) == 1
+    assert rows(rollups.read_capacity(spark, out, folded)) == before
+    writer(part, 2)
+    assert rows(rollups.read_capacity(spark, out, folded)) == rows(merge_capacity(spark.read.parquet(out)))
+
+
+def test_every_layer_is_emitted(spark):
+    df = spark.createDataFrame([("a", 1, "é" * 10), ("b", 2, "y"), ("b", 1, "x")], "layer string, k int, feature string")
+    root = new_folder(spark, "layers")
+    got = {r.layer: r for r in layer_store.emit_layers(df, "k", root, 50).collect()}
+    assert got["b"].body == '{"type":"FeatureCollection","features":[x,y]}' and got["b"].handle is None
+    assert got["a"].body is None and got["a"].route == "handle"
+    assert [r.feature for r in layer_store.read_layer(spark, root, got["a"].handle).collect()] == ["é" * 10]
+
+
 def test_refresh_writes_a_readable_warehouse(spark, sf):
     root = new_folder(spark, "warehouse")
     raw = RF.RawInputs(

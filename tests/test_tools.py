@@ -51,12 +51,12 @@ def test_rank_walk_and_save(spark, tables, market):
     kept = Tables(**{**tables.__dict__, "saved_sites": spark.read.parquet(store)})
     row = tools.compare_saved_sites(kept, "u1", "berlin", "food and drink", market)["rows"].first()
     assert (row.market_gap, row.h3_8) == (top.gap, top.h3)
-    assert tools.compare_saved_sites(kept, "u1", "berlin", "bakery", market)["rows"].count() == 0
+    assert tools.compare_saved_sites(kept, "u1", "berlin", "bakery", market)["error"] == "no_saved_sites"
 
 
 def test_district_without_cells_lists_names(tables, market):
     out = tools.rank_sites(tables, "berlin", "food and drink", RankRequest(district="nowhere"), market)
-    assert out["error"] == "no cells in that district" and out["available"].count() > 0
+    assert out["error"] == "district_empty" and out["available"].count() > 0
 
 
 def test_trend_and_sliders(tables, market):
