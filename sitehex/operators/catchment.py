@@ -200,50 +200,59 @@ def point_catchment(
     at = G.with_cell(clicks, "lon", "lat", idx_of(F.col("city"), cities), {"origin_h3_9": 9}, cities).select(
         "click_id", "city", "origin_h3_9"
     )
-    origins = at.select("city", "origin_h3_9").distinct()
-    people = people_within(origins, isochrone_cells, population, cities, minutes=minutes)
     per_cell = (
         places.where(F.contains(F.lower("category"), F.lower(F.lit(category))))
         .groupBy("city", F.col("h3_9").alias("reachable_h3_9"))
         .agg(F.count("*").alias("n"))
     )
-    reach = isochrone_cells.where(F.col("minutes") == minutes).join(origins, ["city", "origin_h3_9"], "left_semi")
-    shops = (
-        reach.join(per_cell, ["city", "reachable_h3_9"], "left")
+    reach = isochrone_cells.where(F.col("minutes") == minutes).join(
+        at.select("city", "origin_h3_9").distinct(), ["city", "origin_h3_9"], "left_semi"
+    )
+    parents = _reached_parents(reach, per_cell, ["city", "origin_h3_9"]).withColumn("country", country_of(F.col("city"), cities))
+    people = population.select("country", "h3_8", F.col("population").cast("double").alias("population"))
+    found = (
+        parents.join(people, ["country", "h3_8"], "left")
         .groupBy("city", "origin_h3_9")
-        .agg(F.sum(F.coalesce("n", F.lit(0).cast("bigint"))).alias("places"))
+        .agg(
+            (F.sum(F.col("population") * F.col("children")) / 7).alias("people"),
+            F.sum(F.coalesce("places", F.lit(0).cast("bigint"))).alias("places"),
+        )
     )
+    return at.join(found, ["city", "origin_h3_9"], "left").select("click_id", "city", "origin_h3_9", "people", "places")
+
+
+def _reached_parents(reach: DataFrame, per_cell: DataFrame, keys: list[str]) -> DataFrame:
+    """Reached cells and their places, added up to the parents that carry the population: one pass over reach."""
     return (
-        at.join(people, ["city", "origin_h3_9"], "left")
-        .join(shops, ["city", "origin_h3_9"], "left")
-        .select("click_id", "city", "origin_h3_9", "people", "places")
+        reach.join(per_cell, ["city", "reachable_h3_9"], "left")
+        .groupBy(*keys, G.cell_to_parent("reachable_h3_9", 8).alias("h3_8"))
+        .agg(F.count("*").alias("children"), F.sum("n").alias("places"))
     )
 
 
 def catchment_profile(
-    origins: DataFrame,
+    origins: DataFrame | None,
     isochrone_cells: DataFrame,
     population: DataFrame,
     places: DataFrame,
     cities: Sequence[City] = CITIES,
 ) -> DataFrame:
-    """Cells, places and people per origin and minutes; three aggregates joined on minutes."""
+    """Cells, places and people per origin and minutes; ``origins`` None stands for every origin."""
     keys = ["city", "origin_h3_9", "minutes"]
-    reach = isochrone_cells.join(
-        origins.select("city", "origin_h3_9").distinct(), ["city", "origin_h3_9"], "left_semi"
-    )
-    cells = reach.groupBy(*keys).agg(F.count("*").alias("cells"))
+    reach = isochrone_cells
+    if origins is not None:
+        reach = reach.join(origins.select("city", "origin_h3_9").distinct(), ["city", "origin_h3_9"], "left_semi")
     per_cell = places.groupBy("city", F.col("h3_9").alias("reachable_h3_9")).agg(F.count("*").alias("n"))
-    pois = (
-        reach.join(per_cell, ["city", "reachable_h3_9"])
-        .groupBy(*keys)
-        .agg(F.sum("n").alias("pois"))
-    )
-    people = people_within(origins, isochrone_cells, population, cities, by_minutes=True, same_country=False)
+    # One row per cell, whatever country it is counted in, so the join adds no rows.
+    people = population.groupBy("h3_8").agg(F.sum(F.col("population").cast("double")).alias("population"))
     return (
-        cells.join(people, keys, "left")
-        .join(pois, keys, "left")
-        .select(*keys, "cells", "pois", F.bround("people").alias("people"))
+        _reached_parents(reach, per_cell, keys)
+        .join(people, "h3_8", "left")
+        .groupBy(*keys)
+        .agg(
+            F.sum("children").alias("cells"), F.sum("places").alias("pois"),
+            F.bround(F.sum(F.col("population") * F.col("children")) / 7).alias("people"),
+        )
     )
 
 
@@ -251,7 +260,7 @@ def spot_check_origin(places: DataFrame, isochrone_cells: DataFrame, cities: Seq
     """One stable pseudo-random named place per city that has a catchment."""
     with_reach = isochrone_cells.select("city", F.col("origin_h3_9").alias("h3_9")).distinct()
     pool = in_cities(places, cities).where(F.col("name") != "").join(with_reach, ["city", "h3_9"], "left_semi")
-    first = F.min(F.struct(F.xxhash64("id").alias("h"), "id", "name", "h3_9"))
+    first = F.min(F.struct(F.md5(F.col("id").cast("string")).alias("h"), "id", "name", "h3_9"))
     return pool.groupBy("city").agg(first.alias("_f")).select(
         "city", F.col("_f.id").alias("id"), F.col("_f.name").alias("name"), F.col("_f.h3_9").alias("origin_h3_9")
     )

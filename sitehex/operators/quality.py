@@ -33,7 +33,8 @@ CELL9_KM2 = 0.105
 # Smallest believable loads.
 FLOORS = {"places": 5000, "population": 10000, "districts": 100}
 BUILDING_FLOORS = {"berlin": 800000, "amsterdam": 300000, "belgrade": 250000}
-BERLIN_FLOORS = {"floor_area_m2": 100000000, "address_cells": 1500, "road_cells": 2000}
+ADDRESS_CELL_FLOORS = {"berlin": 1500, "amsterdam": 1, "belgrade": 1}
+ROAD_CELL_FLOORS = {"berlin": 2000, "amsterdam": 1, "belgrade": 1}
 
 # Three cells whose names are known from the map.
 DISTRICT_GROUND_TRUTH = (

@@ -436,9 +436,8 @@ def point_catchment(spark, sf):
        "round_even(cast(sum(p.population) as double)/7,0) as people from reach r left join population p on p.cell=r.reached_parent "
        "left join (select city, h3_9, count(*) as n from places group by 1,2) pl on pl.city=r.city and pl.h3_9=r.reachable_h3_9 group by 1,2,3")
 def catchment_profile(spark, sf):
-    reach = W.stored(spark, sf, "isochrone_cells")
     return cat.catchment_profile(
-        reach.select("city", "origin_h3_9"), reach, W.stored(spark, sf, "population"), W.stored(spark, sf, "places")
+        None, W.stored(spark, sf, "isochrone_cells"), W.stored(spark, sf, "population"), W.stored(spark, sf, "places")
     )
 
 
@@ -450,7 +449,9 @@ def reverse_reach(spark, sf):
     return cat.reverse_reach(targets, W.stored(spark, sf, "isochrone_cells"))
 
 
-@query("spot_check_origins")
+@query("spot_check_origins",
+       "select city, id, name, h3_9 as origin_h3_9 from places where name<>'' and (city, h3_9) in (select (city, origin_h3_9) from reach) "
+       "qualify row_number() over (partition by city order by md5(id), id)=1")
 def spot_check_origins(spark, sf):
     return cat.spot_check_origin(W.stored(spark, sf, "places"), W.stored(spark, sf, "isochrone_cells"))
 

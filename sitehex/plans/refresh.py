@@ -22,7 +22,7 @@ from sitehex.sources.divisions import ingest_divisions
 from sitehex.sources.history import ingest_history
 from sitehex.sources.places import ingest_places
 from sitehex.sources.population import ingest_population
-from sitehex.sources.publish import delete_path, load_verified, replace_partition
+from sitehex.sources.publish import CheckFailed, delete_path, failing, load_verified, replace_partition
 from sitehex.sources.reach import ingest_contours, ingest_edges
 
 
@@ -41,8 +41,10 @@ class RawInputs:
     edges: DataFrame | None = None
 
 
-DEFAULT_FLOORS: dict[str, int | Mapping[str, int]] = {**qc.FLOORS, "buildings": qc.BUILDING_FLOORS}
-NO_FLOORS: dict[str, int | Mapping[str, int]] = {"places": 1, "population": 1, "districts": 1, "buildings": 1}
+DEFAULT_FLOORS: dict[str, int | Mapping[str, int]] = {
+    **qc.FLOORS, "buildings": qc.BUILDING_FLOORS, "addr_density": qc.ADDRESS_CELL_FLOORS, "road_density": qc.ROAD_CELL_FLOORS,
+}
+NO_FLOORS: dict[str, int | Mapping[str, int]] = dict.fromkeys(DEFAULT_FLOORS, 1)
 
 
 def refresh(
@@ -98,10 +100,13 @@ def refresh(
             capacity_rollup(stored), path("cell_capacity"), "city", names,
             [lambda staged: qc.rollup_matches_raw(stored, staged)], ["h3_8"],
         )
-    if raw.addresses is not None:
-        done["addr_density"] = replace_partition(address_density(raw.addresses, cities), path("addr_density"), "city", names, ["h3_8"])
-    if raw.segments is not None:
-        done["road_density"] = replace_partition(road_density(raw.segments, cities), path("road_density"), "city", names, ["h3_8"])
+    for table, source, density in (
+        ("addr_density", raw.addresses, address_density), ("road_density", raw.segments, road_density),
+    ):
+        if source is not None:
+            done[table] = load_verified(
+                density(source, cities), path(table), "city", names, [floor(table, "city", names)], ["h3_8"]
+            )
     if raw.history is not None:
         done["poi_history"] = replace_partition(ingest_history(raw.history), path("poi_history"), "city", names)
         # Rebuilt as a whole: a category that vanished from the history must not keep old momentum.
@@ -125,10 +130,8 @@ def refresh(
 
 
 def _load_reach(spark: SparkSession, contours: DataFrame, path, names: Sequence[str], cities: Sequence[City]) -> dict[str, int]:
-    """Contours and the cells derived from them: both are published, or neither."""
-    drawn = new_folder(spark, "staging")
-    ingest_contours(contours).write.parquet(drawn)
-    lobes = spark.read.parquet(drawn)
+    """Contours and the cells derived from them: both are staged and checked before either is published."""
+    drawn, derived = new_folder(spark, "staging"), new_folder(spark, "staging")
     checks = [
         lambda staged: qc.reach_inside_box(staged, cities),
         qc.reach_grows,
@@ -138,11 +141,17 @@ def _load_reach(spark: SparkSession, contours: DataFrame, path, names: Sequence[
         lambda staged: qc.reach_p999(staged, cities),
     ]
     try:
-        cells = load_verified(
-            derive_reach_cells(lobes, cities), path("isochrone_cells"), "city", names, checks, ["origin_h3_9", "minutes"]
-        )
+        ingest_contours(contours).write.parquet(drawn)
+        lobes = spark.read.parquet(drawn)
+        derive_reach_cells(lobes, cities).write.parquet(derived)
+        reached = spark.read.parquet(derived)
+        bad = failing(checks, reached)
+        if bad:
+            raise CheckFailed(bad)
         shapes = replace_partition(lobes, path("isochrones"), "city", names, ["origin_h3_9"])
+        cells = replace_partition(reached, path("isochrone_cells"), "city", names, ["origin_h3_9", "minutes"])
     finally:
         delete_path(spark, drawn)
+        delete_path(spark, derived)
     return {"isochrones": shapes, "isochrone_cells": cells}
 

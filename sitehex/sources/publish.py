@@ -107,12 +107,19 @@ def load_verified(
 
 
 def delete_rows(spark: SparkSession, path: str, by: str, keys: Sequence[str], where: Column) -> None:
-    """Rewrite the given partitions without the rows matching ``where``.
+    """Remove the rows matching ``where``; only the given partitions that hold such rows are rewritten.
 
     The kept rows are staged first, because a table cannot be overwritten while it is read.
     """
+    table = spark.read.parquet(path).where(F.col(by).isin(list(keys)))
+    hit = F.coalesce(where, F.lit(False))
+    touched = [r[0] for r in table.where(hit).select(by).distinct().collect()]  # at most the given keys
+    if not touched:
+        return
     staging = new_folder(spark, "staging")
-    kept = spark.read.parquet(path).where(F.col(by).isin(list(keys))).where(~F.coalesce(where, F.lit(False)))
-    kept.write.parquet(staging)
-    replace_partition(spark.read.schema(kept.schema).parquet(staging), path, by, keys)
-    delete_path(spark, staging)
+    kept = table.where(F.col(by).isin(touched)).where(~hit)
+    try:
+        kept.write.parquet(staging)
+        replace_partition(spark.read.schema(kept.schema).parquet(staging), path, by, touched)
+    finally:
+        delete_path(spark, staging)
