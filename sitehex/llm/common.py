@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,14 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold_of(doc_id: str, folds: int) -> Column:
     """crc32 of the id's text, modulo ``folds``; a null id counts as the text of nothing."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
@@ -59,7 +67,7 @@ class Ids(dict):
 class WordHash(dict):
     """64-bit hash of a byte string, remembered up to a bound."""
 
-    BOUND = 400_000
+    BOUND = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:
@@ -82,6 +90,13 @@ def texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def each_text(batches: Iterable[pa.RecordBatch], column: int, at_once: int = 500) -> Iterator[str | None]:
+    """The texts of a column one after another; few of them are Python strings at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, at_once):
+            yield from b.column(column).slice(at, at_once).to_pylist()
+
+
 def batch(fields: Iterable[tuple[str, pa.Array]]) -> pa.RecordBatch:
     names, arrays = zip(*fields)
     return pa.RecordBatch.from_arrays(list(arrays), list(names))

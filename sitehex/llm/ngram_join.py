@@ -29,16 +29,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitehex.llm.common import WordHash, batch, mix, staged
+from sitehex.llm.common import WordHash, batch, each_text, free_name, mix, staged
 from sitehex.llm.components import components
 
 WORDS = 5
 PERCENT = 80
 #: A shingle in more sets than this is frequent: it comes last in the order and its tiles start with a star.
-FREQUENT = 32
+FREQUENT = 8
 #: Frequent shingles known to the tasks; further ones are only ordered less well, their tiles are complete too.
-MAX_FREQUENT = 1 << 18
-FLUSH = 4_000_000
+MAX_FREQUENT = 1 << 19
+#: Shingles held by a task before it hands on its sorted blocks.
+FLUSH = 1_500_000
 POWER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,18 +129,17 @@ def frequent_shingles(documents: DataFrame, above: int, most: int) -> tuple[np.n
             packed = [np.diff(p, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes() for _, p in rows]
             return batch([("r", pa.array([r for r, _ in rows], pa.int32())), ("block", pa.array(packed, pa.binary()))])
 
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                h = shingles(text, hashes)
-                key = _set_id(h)
-                if key in seen:
-                    continue
-                seen.add(key)
-                waiting.append((h >> np.uint64(32)).astype(np.uint32))
-                held += len(h)
-                if held >= FLUSH:
-                    yield flush()
-                    waiting, held = [], 0
+        for text in each_text(batches, 0):
+            h = shingles(text, hashes)
+            key = _set_id(h)
+            if key in seen:
+                continue
+            seen.add(key)
+            waiting.append((h >> np.uint64(32)).astype(np.uint32))
+            held += len(h)
+            if held >= FLUSH:
+                yield flush()
+                waiting, held = [], 0
         if held:
             yield flush()
 
@@ -155,7 +155,7 @@ def frequent_shingles(documents: DataFrame, above: int, most: int) -> tuple[np.n
 
     dealt = documents.select("text").mapInArrow(blocks, "r int, block binary").repartition("r")
     found = dealt.mapInArrow(count, "h bigint, n bigint").orderBy(F.desc("n"), "h").limit(most).toArrow()
-    h, n = found.column("h").to_numpy().astype(np.uint32), found.column("n").to_numpy()
+    h, n = found.column("h").to_numpy().astype(np.uint32), found.column("n").to_numpy().astype(np.int32)
     order = np.argsort(h)
     return h[order], n[order]
 
@@ -171,8 +171,8 @@ def shingle_sets(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray])
         hashes = WordHash()
         known, counts = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
                 n, sid, share, bits, rare, often = [], [], [], [], [], []
                 for text in b.column(1).to_pylist():
                     h = shingles(text, hashes)
@@ -318,11 +318,12 @@ def linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFr
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for b in batches:
-            made = [shingles(t, hashes) for t in b.column(0).to_pylist()]
-            yield batch([
-                ("sid", pa.array([_set_id(h) for h in made], pa.int64())),
-                ("h", pa.array([h.tobytes() for h in made], pa.binary())),
-            ])
+            for at in range(0, b.num_rows, 1000):
+                made = [shingles(t, hashes) for t in b.column(0).slice(at, 1000).to_pylist()]
+                yield batch([
+                    ("sid", pa.array([_set_id(h) for h in made], pa.int64())),
+                    ("h", pa.array([h.tobytes() for h in made], pa.binary())),
+                ])
 
     holders = _narrow(documents).withColumn("id", F.coalesce("doc_id", F.lit(0))).join(wanted, ["text_hash", "id"], "left_semi")
     sorted_sets = staged(holders.select("text").mapInArrow(arrays, "sid bigint, h binary").dropDuplicates(["sid"]), "jaccard-arrays")
@@ -414,11 +415,12 @@ def keep_one_per_group(documents: DataFrame) -> DataFrame:
 
     Rows with equal ids and texts stay or go together, and so do those of a group in which no row has an id.
     """
-    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("_id"), F.col("text_hash").alias("_hash")]
+    own = lambda: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
+    id_name, hash_name = free_name(documents, "row_id"), free_name(documents, "row_hash")
     groups = jaccard_groups(documents).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    dropped = staged(groups.select(*key).distinct(), "jaccard-dropped")
-    keyed = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), "_hash": F.xxhash64("text")})
-    return keyed.join(dropped, ["_id", "_hash"], "left_anti").select(*documents.columns)
+    dropped = staged(groups.select(own().alias(id_name), F.col("text_hash").alias(hash_name)).distinct(), "jaccard-dropped")
+    keyed = documents.withColumns({id_name: own(), hash_name: F.xxhash64("text")})
+    return keyed.join(dropped, [id_name, hash_name], "left_anti").select(*documents.columns)
 
 
 def _members(links: DataFrame) -> DataFrame:
