@@ -3,7 +3,8 @@
 Method. A document is the set of its 5-word shingles, as sorted 64-bit hashes; equal sets are one class.
 Sets are compared only within tiles: they must share a shingle of their prefixes and lie in a size band
 that allows the similarity. A prefix is the rarest fifth of a set, by the number of sets a shingle occurs
-in, so two sets above the threshold always share a prefix shingle. Each set carries a parity bitmap of its
+in, so two sets above the threshold always share a prefix shingle, and at the first one they share, what is left of both sets must suffice
+for the overlap. Each set carries a parity bitmap of its
 hashes. Differing bits are a lower bound of the symmetric difference, hence an upper bound of the overlap,
 and discard most pairs before the sorted arrays are intersected exactly.
 
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitehex.llm.common import WordHash, batch, each_text, free_name, mix, staged
+from sitehex.llm.common import WordHash, batch, each_text, free_name, mix, small_batches, staged
 from sitehex.llm.components import components
 
 WORDS = 5
@@ -40,6 +41,7 @@ FREQUENT = 8
 MAX_FREQUENT = 1 << 19
 #: Shingles held by a task before it hands on its sorted blocks.
 FLUSH = 1_500_000
+TILE_FLUSH = 500_000
 POWER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -200,7 +202,7 @@ def shingle_sets(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray])
 
 
 def _rare_tiles(sets: DataFrame) -> DataFrame:
-    """Pairs of sets that meet at a rare prefix shingle and allow the similarity by size.
+    """Pairs of sets that meet at a rare prefix shingle and allow the similarity by size and by the place they meet at.
 
     star: the pair holds its tile's first set. Tiles above FREQUENT (of shingles left out of the known list)
     come back as rows of their own, with the shingle in ``key`` and the set in ``a``.
@@ -210,18 +212,21 @@ def _rare_tiles(sets: DataFrame) -> DataFrame:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[np.ndarray, ...]] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            keys, sids, sizes = (np.concatenate(x) for x in zip(*waiting))
+            keys, sids, sizes, places = (np.concatenate(x) for x in zip(*waiting))
             order = np.argsort(keys)
-            keys, sids, sizes = keys[order], sids[order], sizes[order]
+            keys, sids, sizes, places = keys[order], sids[order], sizes[order], places[order]
             r = (keys >> shift).astype(np.int64)
             starts = np.flatnonzero(np.diff(r, prepend=-1))
             ends = np.append(starts[1:], len(r))
             cut = lambda x: pa.array([x[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary())
-            return batch([("r", pa.array(r[starts], pa.int64())), ("keys", cut(keys)), ("sids", cut(sids)), ("sizes", cut(sizes))])
+            return batch([
+                ("r", pa.array(r[starts], pa.int64())), ("keys", cut(keys)), ("sids", cut(sids)), ("sizes", cut(sizes)),
+                ("places", cut(places)),
+            ])
 
         for b in batches:
             for sid, n, rare in zip(*(c.to_pylist() for c in b.columns)):
@@ -229,9 +234,10 @@ def _rare_tiles(sets: DataFrame) -> DataFrame:
                     continue
                 seen.add(sid)
                 keys = np.frombuffer(rare, np.uint64)
-                waiting.append((keys, np.full(len(keys), sid, np.int64), np.full(len(keys), n, np.int32)))
+                place = np.arange(len(keys), dtype=np.int32)
+                waiting.append((keys, np.full(len(keys), sid, np.int64), np.full(len(keys), n, np.int32), place))
                 held += len(keys)
-                if held >= FLUSH:
+                if held >= TILE_FLUSH:
                     yield flush()
                     waiting, held = [], 0
         if held:
@@ -239,24 +245,23 @@ def _rare_tiles(sets: DataFrame) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [
-            [np.frombuffer(x, t) for x, t in zip(row, (np.uint64, np.int64, np.int32))]
+            [np.frombuffer(x, t) for x, t in zip(row, (np.uint64, np.int64, np.int32, np.int32))]
             for b in batches for row in zip(*(c.to_pylist() for c in b.columns[1:]))
         ]
         if not parts:
             return
-        keys, sids, sizes = (np.concatenate(x) for x in zip(*parts))
+        keys, sids, sizes, places = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(keys, kind="stable")
         repeated = np.zeros(len(keys), bool)
         same = keys[order][1:] == keys[order][:-1]
         repeated[1:] |= same
         repeated[:-1] |= same
         order = order[repeated]  # shingles of a single set are most of them
-        keys, sids, sizes = keys[order], sids[order], sizes[order]
-        order = np.lexsort((sids, sizes, keys))
-        keys, sids, sizes = keys[order], sids[order], sizes[order].astype(np.int64)
+        order = order[np.lexsort((sids[order], sizes[order], keys[order]))]
+        keys, sids, sizes, places = keys[order], sids[order], sizes[order].astype(np.int64), places[order].astype(np.int64)
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1])
-        keys, sids, sizes = keys[new], sids[new], sizes[new]
+        keys, sids, sizes, places = keys[new], sids[new], sizes[new], places[new]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
         group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
         count = np.diff(np.append(starts, len(keys)))[group] if len(keys) else np.zeros(0, int)
@@ -264,15 +269,17 @@ def _rare_tiles(sets: DataFrame) -> DataFrame:
         if large.any():
             yield batch([
                 ("star", pa.array(np.zeros(large.sum(), bool))), ("a", pa.array(sids[large])),
-                ("b", pa.array(sizes[large])), ("key", pa.array(keys[large].view(np.int64))),
+                ("b", pa.array(sizes[large])), ("key", pa.array(keys[large].view(np.int64))), ("place", pa.array(places[large])),
             ])
-        keys, sids, sizes, group = keys[~large], sids[~large], sizes[~large], group[~large]
+        keys, sids, sizes, places, group = keys[~large], sids[~large], sizes[~large], places[~large], group[~large]
         found, step = [], 1
         while True:
             near = group[step:] == group[:-step]
             if not near.any():
                 break
-            fit = np.flatnonzero(near & (100 * sizes[:-step] >= PERCENT * sizes[step:]))
+            n, m = sizes[:-step], sizes[step:]
+            left = np.minimum(n - places[:-step], m - places[step:])  # elements from here on, this one included
+            fit = np.flatnonzero(near & (100 * n >= PERCENT * m) & (left >= needed_overlap(n + m)))
             first = np.ones(len(group), bool)
             first[1:] = group[1:] != group[:-1]
             found.append(pd.DataFrame({
@@ -284,10 +291,11 @@ def _rare_tiles(sets: DataFrame) -> DataFrame:
             yield batch([
                 ("star", pa.array(every["star"].to_numpy())), ("a", pa.array(every["a"].to_numpy())),
                 ("b", pa.array(every["b"].to_numpy())), ("key", pa.nulls(len(every), pa.int64())),
+                ("place", pa.nulls(len(every), pa.int64())),
             ])
 
-    dealt = sets.select("sid", "n", "rare").mapInArrow(blocks, "r bigint, keys binary, sids binary, sizes binary").repartition("r")
-    return dealt.mapInArrow(meet, "star boolean, a bigint, b bigint, key bigint")
+    packed = sets.select("sid", "n", "rare").mapInArrow(blocks, "r bigint, keys binary, sids binary, sizes binary, places binary")
+    return packed.repartition("r").mapInArrow(meet, "star boolean, a bigint, b bigint, key bigint, place bigint")
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -345,23 +353,33 @@ def linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFr
 def _across(holders: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs of a frequent shingle's holders that lie in different components and fit by size.
 
-    In each tile the largest component is only ever the other side, so its own members never meet.
+    In each tile the largest component is only ever the other side, so its own members never meet. A
+    pair is kept where the elements from the shared shingle on would suffice, which holds at the first
+    shingle that two similar sets share.
     """
-    placed = holders.join(members, "sid", "left").select("key", "sid", "n", F.coalesce("component", "sid").alias("c"))
+    named = F.coalesce("component", "sid").alias("c")
+    placed = holders.join(members, "sid", "left").select("key", "sid", "n", "place", named)
     shares = placed.groupBy("key", "c").agg(F.count("*").alias("k"))
     largest = shares.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count("*").alias("parts"))
     open_tiles = largest.where(F.col("parts") > 1).select("key", "top")
     rest = placed.join(open_tiles, "key").where(F.col("c") != F.col("top"))
-    left = rest.select("key", F.col("sid").alias("s"), F.col("n").alias("ns"), F.col("c").alias("cs"))
+    left = rest.select("key", F.col("sid").alias("s"), F.col("n").alias("ns"), F.col("place").alias("ps"), F.col("c").alias("cs"))
+    remaining = F.least(F.col("n") - F.col("place"), F.col("ns") - F.col("ps"))
     pairs = placed.join(left, "key").where(
         (F.col("c") != F.col("cs"))
         & (100 * F.least("n", "ns") >= PERCENT * F.greatest("n", "ns"))
-    )
+        & ((100 + PERCENT) * remaining >= PERCENT * (F.col("n") + F.col("ns")))
+    )
     return pairs.select(*_ordered(F.col("sid"), F.col("s"))).distinct()
 
 
 def jaccard_groups(documents: DataFrame, above: int = FREQUENT, most: int = MAX_FREQUENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the group), text_hash of every row of ``documents`` (doc_id, text)."""
+    with small_batches(documents.sparkSession):
+        return _grouped(documents, above, most)
+
+
+def _grouped(documents: DataFrame, above: int, most: int) -> DataFrame:
     frequent = frequent_shingles(documents, above, most)
     sets = staged(shingle_sets(documents, frequent), "jaccard-sets")
     filled = sets.where(F.col("n") > 0)
@@ -373,8 +391,9 @@ def jaccard_groups(documents: DataFrame, above: int = FREQUENT, most: int = MAX_
     )
     met = staged(_rare_tiles(filled), "jaccard-tiles")
     holders = staged(
-        filled.select("sid", "n", F.explode("frequent").alias("key"))
-        .union(met.where(F.col("key").isNotNull()).select(F.col("a").alias("sid"), F.col("b").alias("n"), "key"))
+        filled.select("sid", "n", "rare", F.posexplode("frequent").alias("at", "key"))
+        .select("sid", "n", "key", (F.octet_length("rare") / 8 + F.col("at")).cast("bigint").alias("place"))
+        .union(met.where(F.col("key").isNotNull()).select(F.col("a").alias("sid"), F.col("b").alias("n"), "key", "place"))
         .distinct(), "jaccard-holders",
     )
     # A text that others were edited from has the fewest rare shingles, which makes it the best centre.
@@ -403,6 +422,7 @@ def jaccard_groups(documents: DataFrame, above: int = FREQUENT, most: int = MAX_
     named = owned.where(F.col("component") != F.col("sid")).join(smallest, "component").select("sid", "component_id")
     alone = owned.where(F.col("component") == F.col("sid")).join(smallest, "component").select("sid", "component_id")
     ids = staged(named.union(alone), "jaccard-groups")
+    # What follows is read from tables written above; nothing of it runs in Python.
     told = sets.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
     return told.join(ids, "sid", "left").select(
         "doc_id", "n_shingles",
@@ -435,18 +455,18 @@ def _different(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 JACCARD_SQL = r"""
-with recursive words as (select row_number() over () as row_id, doc_id,
+with recursive words as materialized (select row_number() over () as row_id, doc_id,
         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
             '[^\x20\x09-\x0D]+') as w
     from documents),
-shingled as (select row_id, doc_id, case when len(w) = 0 then []
-        when len(w) < 5 then [array_to_string(w, ' ')]
-        else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
+shingled as materialized (select row_id, doc_id, case when len(w) = 0 then []
+        when len(w) < 5 then [hash(array_to_string(w, ' '))]
+        else list_distinct(list_transform(range(1, len(w) - 3), lambda i: hash(array_to_string(w[i:i + 4], ' ')))) end as s
     from words),
-sizes as (select row_id, doc_id, len(s) as n from shingled),
-held as (select row_id, unnest(s) as x from shingled),
+sizes as materialized (select row_id, doc_id, len(s) as n from shingled),
+held as materialized (select row_id, unnest(s) as x from shingled),
 common as (select a.row_id as a, b.row_id as b, count(*) as k from held a join held b on a.x = b.x group by 1, 2),
-links as (select c.a, c.b from common c join sizes p on p.row_id = c.a join sizes q on q.row_id = c.b
+links as materialized (select c.a, c.b from common c join sizes p on p.row_id = c.a join sizes q on q.row_id = c.b
     where 100 * c.k >= 80 * (p.n + q.n - c.k)),
 reach as (select row_id as a, row_id as b from sizes union select r.a, l.b from reach r join links l on l.a = r.b)
 select s.doc_id, s.n as n_shingles, min(o.doc_id) as component_id
