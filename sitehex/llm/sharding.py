@@ -72,10 +72,10 @@ bits as (select b, list_reduce([b, 1, 2, 3, 4, 5, 6, 7, 8],
         lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
     from (select unnest(range(256))::bigint as b)),
 crc_table as (select list(c order by b) as t from bits),
-crcs as (select x.text, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(x.text))),
-        lambda i: ('0x' || substr(hex(encode(x.text)), (2 * i + 1)::bigint, 2))::bigint)),
+crcs as (select x.text, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2),
+        lambda i: ('0x' || substr(h, (2 * i + 1)::bigint, 2))::bigint)),
         lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) as crc
-    from (select distinct coalesce(text, '') as text from documents) x, crc_table)
+    from (select distinct coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as h from documents) x, crc_table)
 """
 
 SHARD_SQL = f"""
