@@ -10,7 +10,8 @@ Test items are the stated query set. They are taken in blocks of at most ``BLOCK
 trigrams and words are sent to the tasks. Documents are never shuffled, so a passage in a third of all
 documents costs no more than any other.
 
-Cases: letters are compared in lower case, and words are runs of letters, digits and underscores. Null or
+Cases: a word is what stands between white space, in lower case and without anything but letters, digits
+and underscores; what has none of these is no word. Null or
 empty texts match nothing, nor do items of fewer than three words. Equal items are found alike, each under
 its own id. Items above ``SEGMENT`` words are aligned in segments whose scores are added. Repeated rows give
 repeated results. Texts are read whole, extra columns are ignored.
@@ -24,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitehex.llm.common import WordHash, batch, mix
+from sitehex.llm.common import batch, each_text, mix
 
 SEED_WORDS = 3
 RARE = 3
@@ -35,13 +37,47 @@ BLOCK_ITEMS = 20_000
 SEGMENT = 256
 LEAST_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, 1
-WORD = re.compile(r"\w+")
+NO_WORD = re.compile(r"\W+")
 POWER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hashes(text: str | None, hashes: WordHash) -> np.ndarray:
-    words = WORD.findall((text or "").lower())
-    return np.fromiter((hashes[w.encode("utf-8", "surrogatepass")] for w in words), np.uint64, len(words))
+class Words(dict):
+    """Token to the hash of its word, 0 if it holds none; remembered up to a bound."""
+
+    BOUND = 200_000
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.BOUND:
+            self.clear()
+        word = NO_WORD.sub("", token.lower())
+        h = self[token] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) | 1 if word else 0
+        return h
+
+
+def word_hashes(text: str | None, words: Words) -> np.ndarray:
+    tokens = (text or "").split()
+    h = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
+    return h[h != 0]
+
+
+class Lookup:
+    """Which of many hashes are among a few known ones; a table of their low bits answers most with no."""
+
+    BITS = np.uint64((1 << 20) - 1)
+
+    def __init__(self, known: np.ndarray) -> None:
+        self.known = known
+        self.table = np.zeros(int(self.BITS) + 1, bool)
+        self.table[(known & self.BITS).astype(np.int64)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``hashes`` of the known ones, and their places in ``known``."""
+        maybe = np.flatnonzero(self.table[(hashes & self.BITS).astype(np.int64)])
+        if not len(maybe):
+            return maybe, maybe
+        at = np.minimum(np.searchsorted(self.known, hashes[maybe]), len(self.known) - 1)
+        hit = self.known[at] == hashes[maybe]
+        return maybe[hit], at[hit]
 
 
 def seeds_of(words: np.ndarray) -> np.ndarray:
@@ -72,7 +108,7 @@ class Block:
     """The test items of one block, cut into segments, with their trigrams."""
 
     def __init__(self, items: list[tuple[int | None, str]]) -> None:
-        hashes = WordHash()
+        hashes = Words()
         by_text: dict[bytes, list] = defaultdict(list)
         words: dict[bytes, np.ndarray] = {}
         for item_id, text in items:
@@ -85,6 +121,7 @@ class Block:
         self.segments = [(i, w[s : s + SEGMENT]) for i, w in enumerate(words.values()) for s in range(0, len(w), SEGMENT)]
         grams = [seeds_of(s) for _, s in self.segments]
         self.known = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
+        self.lookup: Lookup | None = None
 
     def choose(self, found_in: np.ndarray) -> None:
         """Keep each segment's rarest trigrams; ``found_in`` counts documents for each of ``known``."""
@@ -127,12 +164,10 @@ class Block:
     def _hits(self, words: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """Places of seeds in a document: (position, position in the segment) by segment."""
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        if not len(self.seeds):
-            return found
-        grams = seeds_of(words)
-        at = np.minimum(np.searchsorted(self.seeds, grams), len(self.seeds) - 1)
-        for position in np.flatnonzero(self.seeds[at] == grams).tolist():
-            for segment, own in self.postings[at[position]]:
+        if self.lookup is None:
+            self.lookup = Lookup(self.seeds)
+        for position, at in zip(*(x.tolist() for x in self.lookup.find(seeds_of(words)))):
+            for segment, own in self.postings[at]:
                 found[segment].append((position, own))
         return found
 
@@ -142,13 +177,11 @@ def _count_documents(documents: DataFrame, block: Block) -> np.ndarray:
     shared = documents.sparkSession.sparkContext.broadcast(block.known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hashes = shared.value, WordHash()
-        counts = np.zeros(len(known), np.int64)
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                grams = seeds_of(word_hashes(text, hashes))
-                at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                counts[np.unique(at[known[at] == grams])] += 1
+        known, hashes = Lookup(shared.value), Words()
+        counts = np.zeros(len(known.known), np.int64)
+        for text in each_text(batches, 0):
+            _, at = known.find(seeds_of(word_hashes(text, hashes)))
+            counts[np.unique(at)] += 1
         seen = np.flatnonzero(counts)
         yield batch([("gram", pa.array(seen, pa.int64())), ("n", pa.array(counts[seen], pa.int64()))])
 
@@ -167,7 +200,7 @@ def _match(documents: DataFrame, block: Block, least: float) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(plain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, hashes = Block([]), WordHash()
+        own, hashes = Block([]), Words()
         own.ids, own.lengths, own.segments, own.seeds, own.postings = shared.value
         for b in batches:
             rows = [
@@ -222,7 +255,7 @@ def _without(documents: DataFrame, block: Block, at: int, least: float) -> DataF
     shared = documents.sparkSession.sparkContext.broadcast(plain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, hashes = Block([]), WordHash()
+        own, hashes = Block([]), Words()
         own.ids, own.lengths, own.segments, own.seeds, own.postings = shared.value
         for b in batches:
             clean = [

@@ -93,7 +93,7 @@ def test_alignment_against_the_full_table():
 def test_leaks_against_alignment_of_everything(spark, sf):
     docs, items = read(spark, sf, "documents").where("n_chars < 1500"), read(spark, sf, "benchmark")
     got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs, items).collect()}
-    hashes = decontamination.WordHash()
+    hashes = decontamination.Words()
     words = {r.doc_id: decontamination.word_hashes(r.text, hashes) for r in docs.collect()}
     expected = {}
     for r in items.collect():
