@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitehex.llm.common import batch, hash_share, texts
+from sitehex.llm.common import batch, each_text, hash_share, staged, texts
 
 #: Letters of other alphabets and the Latin letters they are drawn like.
 HOMOGLYPHS = str.maketrans("аеорсухіјѕԁɡһқԛԝьαοενρτυχκι", "aeopcyxijsdghkqwbaoevptuxki")
@@ -36,8 +36,9 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 SUBSTITUTED = re.compile(r"[0134578@$!](?=[^\W\d_])|(?<=[^\W\d_])[01345780](?![\d.])")
 WORD = re.compile(r"[^\W\d_]+")
 
-#: Bounds: labelled rows learned from, entries kept, and the counts an entry needs.
+#: Bounds: labelled rows learned from, entries weighed and kept, and the counts an entry needs.
 SAMPLE_ROWS = 20_000
+MAX_CANDIDATES = 200_000
 MAX_ENTRIES = 20_000
 LEAST_DOCS = 3
 LEAST_WEIGHT = math.log(4)
@@ -79,15 +80,21 @@ def _rows(counts: Counter) -> pa.RecordBatch:
     ])
 
 
-def _entry_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts of a batch each possible entry occurs."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 400):
-            counts: Counter = Counter()
-            for t in texts(whole.column(0).slice(at, 400)):
-                counts.update(set(entries_of(fold(t))))
-            if counts:
+def _entry_counts(wanted: frozenset[str] | None, at_once: int = 100):
+    """In how many texts of a few each possible entry occurs, or each wanted one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for n, text in enumerate(each_text(batches, 0), 1):
+            found = set(entries_of(fold(text or "")))
+            counts.update(found if wanted is None else found & wanted)
+            if n % at_once == 0 and counts:
                 yield _rows(counts)
+                counts = Counter()
+        if counts:
+            yield _rows(counts)
+
+    return run
 
 
 @dataclass
@@ -148,8 +155,6 @@ def train(
     documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_entries: int = MAX_ENTRIES
 ) -> ToxicityModel:
     """Learn entries, weights and coefficients from ``documents`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
-    from sitehex.llm.common import staged
-
     sample = staged(labelled_sample(documents, labels, sample_rows), "toxic-sample")
     totals = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
@@ -158,17 +163,14 @@ def train(
         edge = math.log(share / (1 - share)) if 0 < share < 1 else (30.0 if share else -30.0)
         return ToxicityModel({}, np.array([edge, 0, 0, 0]))
 
-    def counted(toxic: int) -> DataFrame:
+    def counted(toxic: int, wanted: frozenset[str] | None) -> DataFrame:
         rows = sample.where(F.col("toxic") == toxic).select("text").repartition(12)
-        return rows.mapInArrow(_entry_counts, "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias(f"n{toxic}"))
-
-    seen = counted(1).where(F.col("n1") >= LEAST_DOCS).join(counted(0), "entry", "left").na.fill(0, ["n0"])
-    p1, p0 = (F.col("n1") + 0.5) / (bad + 1.0), (F.col("n0") + 0.5) / (good + 1.0)
-    mean = (F.col("n1") + F.col("n0")) / float(bad + good)
-    z = (F.col("n1") / bad - F.col("n0") / good) / F.sqrt(mean * (1 - mean) * (1 / bad + 1 / good) + 1e-12)
-    scored = seen.select("entry", F.log(p1 / p0).alias("w"), z.alias("z"))
-    strong = scored.where((F.col("z") >= LEAST_Z) & (F.col("w") >= LEAST_WEIGHT))
-    kept = {r.entry: r.w for r in strong.orderBy(F.desc("z"), "entry").limit(max_entries).collect()}
+        return rows.mapInArrow(_entry_counts(wanted), "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n"))
+
+    toxic_in = counted(1, None).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "entry").limit(MAX_CANDIDATES)
+    n1 = {r.entry: r.n for r in toxic_in.collect()}
+    n0 = {r.entry: r.n for r in counted(0, frozenset(n1)).collect()}
+    kept = strongest(n1, n0, bad, good, max_entries)
     weights = simplify(kept)
     weights |= exceptions(sample, weights, bad, good, max_entries)
 
@@ -183,6 +185,19 @@ def train(
     return ToxicityModel(weights, fit_logistic(rows[["x0", "x1", "x2", "x3"]].to_numpy(), rows["toxic"].to_numpy()))
 
 
+def strongest(n1: dict[str, int], n0: dict[str, int], bad: int, good: int, most: int) -> dict[str, float]:
+    """Weights of the entries that toxic texts hold far more often than others, the surest ``most`` of them."""
+    scored = []
+    for entry, a in n1.items():
+        b = n0.get(entry, 0)
+        weight = math.log((a + 0.5) / (bad + 1)) - math.log((b + 0.5) / (good + 1))
+        mean = (a + b) / (bad + good)
+        z = (a / bad - b / good) / math.sqrt(mean * (1 - mean) * (1 / bad + 1 / good) + 1e-12)
+        if z >= LEAST_Z and weight >= LEAST_WEIGHT:
+            scored.append((-z, entry, weight))
+    return {entry: weight for _, entry, weight in sorted(scored)[:most]}
+
+
 def simplify(kept: dict[str, float]) -> dict[str, float]:
     """Drop what shorter entries say already: words whose beginning is as strong, pairs that hold an entry."""
     out: dict[str, float] = {}
