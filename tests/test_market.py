@@ -104,10 +104,10 @@ def test_rank_explanations(spark, sf, market):
     districts = W.stored(spark, sf, "districts")
     late = RankRequest(page=10_000)
     out = ranking.resolve_rank_or_explain(ranking.rank_city(market, "berlin", districts, late), districts, "berlin", late)
-    assert out["error"] == "no more options"
+    assert out["error"] == "page_past_end"
     empty = market.where("false")
     out = ranking.resolve_rank_or_explain(ranking.rank_city(empty, "berlin", districts), districts, "berlin", RankRequest())
-    assert out["error"] == "no populated cells for that city"
+    assert out["error"] == "city_without_cells"
     assert "picks" in ranking.resolve_rank_or_explain(ranking.rank_city(market, "berlin", districts), districts, "berlin", RankRequest())
 
 
