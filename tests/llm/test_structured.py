@@ -11,7 +11,7 @@ import pytest
 from llm_inputs import AWKWARD, LONG, PROSE, documents, rows, with_clashes
 from pyspark.sql import functions as F
 
-from sitehex.llm import chat, components, decontamination, html_text, ngram_join, packing, queries, sharding
+from sitehex.llm import chat, components, decontamination, html_text, ngram_join, packing, queries, secret_scan, sharding
 from sitehex.llm.common import read
 from sitehex.plans import compare
 
@@ -361,7 +361,9 @@ def test_pipeline_stages_take_effect(spark, sf):
     assert ids[3] == ids[2] - leaks
     before, after = ({r.doc_id: r for r in k.collect()} for k in kept[3:5])
     changed = {d for d in after if after[d].text != before[d].text}
-    assert changed and all(re.search("<(assign|hex|access|markov)>", after[d].text) for d in changed)
+    # The smallest tables may hold no secret after the earlier stages.
+    assert {d for d, r in before.items() if secret_scan.base_spans(r.text)} <= changed
+    assert all(re.search("<(assign|hex|access|markov)>", after[d].text) for d in changed)
     assert all(r.n_chars == len(r.text) for r in after.values())
     pieces = P.STAGES[-1][1](spark, kept[4], sf)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == ids[4]
