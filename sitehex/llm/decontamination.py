@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find candidates, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find candidates, Smith-Waterman alignment scores them.
 
-The distinct word trigrams of every test item are counted in all documents. An item's seeds are its rarest
-trigrams: those in at most ``RARE`` documents and, however frequent, the rarest half. A document that holds
-two seeds of an item near each other is a candidate, and the words around the seeds are aligned with the
-item by words: matches score 2, mismatches and gaps -1. The score is the best alignment over the best
+All word trigrams of a test item are its seeds, however many documents hold them: an edit destroys some, and
+those that are left are as frequent as the leak. A document that holds a seed of an item is a candidate, unless
+the item's words around its seeds are too few for the least score. The words around the seeds are aligned with
+the item by words: matches score 2, mismatches and gaps -1. The score is the best alignment over the best
 possible one, so an exact copy has 1 and a copy with every fifth word replaced has about 0.7.
 
 Test items are the stated query set. They are taken in blocks of at most ``BLOCK_ITEMS``, and only a block's
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from sitehex.llm.common import batch, each_text, mix
 
 SEED_WORDS = 3
-RARE = 3
 BLOCK_ITEMS = 20_000
 SEGMENT = 256
 LEAST_SCORE = 0.5
@@ -120,46 +119,54 @@ class Block:
         self.lengths = [len(w) for w in words.values()]
         self.segments = [(i, w[s : s + SEGMENT]) for i, w in enumerate(words.values()) for s in range(0, len(w), SEGMENT)]
         grams = [seeds_of(s) for _, s in self.segments]
-        self.known = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
+        self.seeds = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
+        self.postings: list[list[tuple[int, int]]] = [[] for _ in self.seeds]
+        for s, own in enumerate(grams):
+            for position, gram in enumerate(np.searchsorted(self.seeds, own).tolist()):
+                self.postings[gram].append((s, position))
         self.lookup: Lookup | None = None
 
-    def choose(self, found_in: np.ndarray) -> None:
-        """Keep each segment's rarest trigrams; ``found_in`` counts documents for each of ``known``."""
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for s, (_, words) in enumerate(self.segments):
-            at = np.searchsorted(self.known, seeds_of(words))
-            order = np.argsort(found_in[at], kind="stable")
-            half = set(order[: max(8, (len(order) + 1) // 2)].tolist())
-            for position, gram in enumerate(at.tolist()):
-                if position in half or found_in[gram] <= RARE:
-                    self.places[gram].append((s, position))
-        self.seeds = self.known[sorted(self.places)]
-        self.postings = [self.places[g] for g in sorted(self.places)]
-
-    def matches(self, words: np.ndarray) -> list[tuple[int, float, int]]:
-        """(item number, score, seeds found) of the items that a document's words hold."""
-        hits = self._hits(words)
-        totals: dict[int, list[int]] = defaultdict(lambda: [0, 0])
-        for segment, pairs in hits.items():
+    def matches(self, words: np.ndarray, least: float) -> list[tuple[int, float, int]]:
+        """(item number, score, seeds found) of the items that a document's words hold with a score of ``least`` or more."""
+        found: dict[int, list[tuple[int, int, list]]] = defaultdict(list)
+        for segment, pairs in self._hits(words).items():
             item, own = self.segments[segment]
-            best = 0
-            reach = len(own) + len(own) // 2
             pairs.sort()
-            start = 0
-            for end in range(1, len(pairs) + 1):  # seeds of one occurrence lie within the segment's reach
-                if end < len(pairs) and pairs[end][0] - pairs[end - 1][0] <= reach:
-                    continue
-                near = pairs[start:end]
-                start = end
-                if len({position for _, position in near}) < min(2, max(1, len(own) - SEED_WORDS + 1)):
-                    continue
-                low = max(0, near[0][0] - reach)
-                for at in range(low, near[-1][0] + reach, 4096):  # long stretches overlap by the reach
-                    best = max(best, align(own, words[at : min(at + 4096 + 2 * reach, near[-1][0] + reach)]))
-            if best:
-                totals[item][0] += best
-                totals[item][1] += len({position for _, position in pairs})
-        return [(i, s / (MATCH * self.lengths[i]), n) for i, (s, n) in sorted(totals.items())]
+            found[item].append((segment, len({position for _, position in pairs}), self._passages(own, words, pairs)))
+        out = []
+        for item, parts in sorted(found.items()):
+            most = MATCH * self.lengths[item]
+            if sum(passages[0][0] for _, _, passages in parts) < least * most:
+                continue
+            score = sum(self._best(self.segments[segment][1], passages) for segment, _, passages in parts) / most
+            if score >= least:
+                out.append((item, score, sum(n for _, n, _ in parts)))
+        return out
+
+    @staticmethod
+    def _passages(own: np.ndarray, words: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, np.ndarray]]:
+        """The words around the seeds, each with a bound of its alignment: all of the segment's words in it match. Best first."""
+        out = []
+        reach = len(own) + len(own) // 2
+        start = 0
+        for end in range(1, len(pairs) + 1):  # seeds of one occurrence lie within the segment's reach
+            if end < len(pairs) and pairs[end][0] - pairs[end - 1][0] <= reach:
+                continue
+            low, high = max(0, pairs[start][0] - reach), pairs[end - 1][0] + reach
+            start = end
+            for at in range(low, high, 4096):  # long stretches overlap by the reach
+                passage = words[at : min(at + 4096 + 2 * reach, high)]
+                out.append((MATCH * int(np.isin(own, passage).sum()), passage))
+        return sorted(out, key=lambda x: -x[0])
+
+    @staticmethod
+    def _best(own: np.ndarray, passages: list[tuple[int, np.ndarray]]) -> int:
+        best = 0
+        for bound, passage in passages:
+            if bound <= best:
+                break
+            best = max(best, align(own, passage))
+        return best
 
     def _hits(self, words: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """Places of seeds in a document: (position, position in the segment) by segment."""
@@ -172,26 +179,6 @@ class Block:
         return found
 
 
-def _count_documents(documents: DataFrame, block: Block) -> np.ndarray:
-    """In how many documents each trigram of the block occurs; tasks add up before anything is shuffled."""
-    shared = documents.sparkSession.sparkContext.broadcast(block.known)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hashes = Lookup(shared.value), Words()
-        counts = np.zeros(len(known.known), np.int64)
-        for text in each_text(batches, 0):
-            _, at = known.find(seeds_of(word_hashes(text, hashes)))
-            counts[np.unique(at)] += 1
-        seen = np.flatnonzero(counts)
-        yield batch([("gram", pa.array(seen, pa.int64())), ("n", pa.array(counts[seen], pa.int64()))])
-
-    out = np.zeros(len(block.known), np.int64)
-    if len(out):
-        found = documents.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-        out[found.column("gram").to_numpy()] = found.column("n").to_numpy()
-    return out
-
-
 MATCHES = "doc_id bigint, item_id bigint, score double, seeds bigint"
 
 
@@ -206,7 +193,7 @@ def _match(documents: DataFrame, block: Block, least: float) -> DataFrame:
             rows = [
                 (doc_id, item_id, score, seeds)
                 for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                for item, score, seeds in own.matches(word_hashes(text, hashes)) if score >= least
+                for item, score, seeds in own.matches(word_hashes(text, hashes), least)
                 for item_id in own.ids[item]
             ]
             columns = list(zip(*rows)) or [()] * 4
@@ -217,15 +204,12 @@ def _match(documents: DataFrame, block: Block, least: float) -> DataFrame:
     return documents.mapInArrow(run, MATCHES)
 
 
-def _blocks(narrow: DataFrame, benchmark: DataFrame, block_items: int) -> Iterator[Block]:
-    """The test items in blocks, each with its seeds chosen by counts over ``narrow``."""
+def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[Block]:
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     blocks = max(1, -(-items.count() // block_items))
     for k in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        block = Block([(r.item_id, r.text) for r in mine.collect()])
-        block.choose(_count_documents(narrow, block))
-        yield block
+        yield Block([(r.item_id, r.text) for r in mine.collect()])
 
 
 def contaminated(
@@ -234,7 +218,7 @@ def contaminated(
     """doc_id, item_id, score, seeds for every document and test item that align with a score of ``least`` or more."""
     narrow = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     out = None
-    for block in _blocks(narrow, benchmark, block_items):
+    for block in _blocks(benchmark, block_items):
         found = _match(narrow, block, least)
         out = found if out is None else out.union(found)
     return out
@@ -245,7 +229,7 @@ def keep_clean(
 ) -> DataFrame:
     """The rows of ``documents`` that align with no test item, with all their columns."""
     at, out = documents.columns.index("text"), documents
-    for block in _blocks(documents, benchmark, block_items):
+    for block in _blocks(benchmark, block_items):
         out = _without(out, block, at, least)
     return out
 
@@ -259,7 +243,7 @@ def _without(documents: DataFrame, block: Block, at: int, least: float) -> DataF
         own.ids, own.lengths, own.segments, own.seeds, own.postings = shared.value
         for b in batches:
             clean = [
-                all(score < least for _, score, _ in own.matches(word_hashes(t, hashes))) for t in b.column(at).to_pylist()
+                not own.matches(word_hashes(t, hashes), least) for t in b.column(at).to_pylist()
             ]
             yield b.filter(pa.array(clean, pa.bool_()))
 

@@ -127,6 +127,18 @@ def test_edited_copies_are_found_in_blocks(spark, sf):
     assert rows(kept, "doc_id", "text", "n") == rows(with_clashes(documents(spark)), "doc_id", "text", "n")
 
 
+@pytest.mark.parametrize("copies", (4, 1000))
+def test_equal_edits_are_found_however_many(spark, copies):
+    """Every fifth word is replaced, so the trigrams that are left are the most frequent ones of the item."""
+    item = " ".join(f"term{i}" for i in range(40))
+    edited = " ".join("changed" if i % 5 == 2 else w for i, w in enumerate(item.split()))
+    texts = [(k, f"filler {k} before {item if k < 2 else edited} and {k} after", None, None, 0) for k in range(copies + 2)]
+    docs, items = documents(spark, texts), spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    score = {r.doc_id: r.score for r in decontamination.contaminated(docs, items).collect()}
+    assert score == pytest.approx({k: 1.0 if k < 2 else 0.7 for k in range(copies + 2)})
+    assert decontamination.keep_clean(docs, items).count() == 0
+
+
 def test_decontamination_awkward_rows(spark, sf):
     items = spark.createDataFrame(
         [(1, None), (2, ""), (3, "two words"), (4, PROSE), (5, PROSE), (None, PROSE), (6, LONG)], "item_id bigint, text string"
