@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from sitehex.operators import saved as sv
 from sitehex.operators.atscale import new_folder
+from sitehex.plans import queries_inputs  # noqa: F401  (its oracle is part of one below)
 from sitehex.plans import refresh as RF
 from sitehex.plans import surrogates as S
 from sitehex.plans import warehouse as W
-from sitehex.plans.registry import query
+from sitehex.plans.registry import ORACLES, query
+from sitehex.sources.publish import CheckFailed, path_exists
 from sitehex.streaming import rollups, updates
 
 
@@ -181,3 +183,48 @@ def refresh_reach(spark, sf):
         for t in ("isochrones", "isochrone_cells", "isochrone_edges")
     ]
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@query("refresh_reach_refused",
+       f"select 'beyond the ceiling' as what, city as part, count(*)*21 as rows from origins where {_LOBED} group by city union all "
+       "select 'published', t, 0 from (values ('isochrones'), ('isochrone_cells')) x(t)")
+def refresh_reach_refused(spark, sf):
+    """All origins at once, those with two lobes too: the seven cells of each second lobe fail the load, nothing shows."""
+    root = new_folder(spark, "warehouse")
+    failures = []
+    try:
+        RF.refresh(spark, RF.RawInputs(contours=S.raw_contours(spark, sf)), root)
+    except CheckFailed as refused:
+        failures = refused.failures
+    rows = [("beyond the ceiling", f.scope, int(f.value)) for f in failures if f.check == "no reach beyond the hard ceiling"]
+    rows += [("published", t, int(path_exists(spark, f"{root}/{t}"))) for t in ("isochrones", "isochrone_cells")]
+    return spark.createDataFrame(rows, "what string, part string, rows bigint")
+
+
+#: Below the smallest test input, far above nothing.
+_FLOORS = {**RF.NO_FLOORS, "buildings": dict.fromkeys(("berlin", "amsterdam", "belgrade"), 1500)}
+
+
+@query("refresh_raw",
+       f"select 'buildings' as table_name, city as part, cast(sum(buildings) as bigint) as rows from ({ORACLES['ingest_buildings']}) b group by city union all "
+       f"select 'cell_capacity', city, count(*) from ({ORACLES['ingest_buildings']}) b group by city union all "
+       "select 'poi_history', city, count(*) from poi_history group by city union all "
+       "select 'category_momentum', city, count(*) from momentum group by city union all "
+       f"select 'refused', city, cast(sum(buildings) as bigint) from ({ORACLES['ingest_buildings']}) b group by city")
+def refresh_raw(spark, sf):
+    """Raw footprints and history through the reload; a second load is refused by floors one row above what there is."""
+    root = new_folder(spark, "warehouse")
+    raw = RF.RawInputs(buildings=S.raw_buildings(spark, sf), history=S.raw_history(spark, sf))
+    RF.refresh(spark, raw, root, floors=_FLOORS)
+    loaded = {r.city: r["count"] for r in spark.read.parquet(f"{root}/buildings").groupBy("city").count().collect()}
+    above = {**_FLOORS, "buildings": {city: n + 1 for city, n in loaded.items()}}
+    refused = []
+    try:
+        RF.refresh(spark, RF.RawInputs(buildings=S.raw_buildings(spark, sf)), root, floors=above)
+    except CheckFailed as e:
+        refused = [("refused", f.scope, int(f.value)) for f in e.failures]
+    out = spark.createDataFrame(refused, "table_name string, part string, rows bigint")
+    for t in ("buildings", "cell_capacity", "poi_history", "category_momentum"):
+        counted = spark.read.parquet(f"{root}/{t}").groupBy(F.col("city").alias("part")).agg(F.count("*").alias("rows"))
+        out = out.unionAll(counted.select(F.lit(t).alias("table_name"), "part", "rows"))
+    return out
