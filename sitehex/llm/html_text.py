@@ -7,11 +7,12 @@ has entropy one. A branch is as important as its most important node, and a bran
 on a host of at least ``LEAST_PAGES`` pages is template: it is removed from every page. Elements
 whose tag, role or class says that they are no content (menus, forms, adverts, notices, comments) are removed
 always, and where a page names its article, only that is read. Text elements inside an article stay
-even if they repeat.
+even if they repeat; elsewhere they are judged like any other. Elements on the same path are one node, so a
+notice in a paragraph beside paragraphs of content stays with them.
 
 Cases: null or empty html has no text, n_chars 0. Truncated pages and unclosed elements are read to their end.
 A null url belongs to the host without a name. Repeated rows are extracted alike; pages that are all equal
-keep their article. Deeper than ``DEPTH`` elements, a node counts as its ancestor at that depth. Nothing is cut off.
+keep their article, and nothing if they have none and are ``LEAST_PAGES`` or more. Deeper than ``DEPTH`` elements, a node counts as its ancestor at that depth. Nothing is cut off.
 """
 
 from __future__ import annotations
@@ -122,10 +123,10 @@ class Page:
         out = out or (tag == "header" and not article)
         path = above[1]
         if len(path) < DEPTH:
-            path = (*path, xxhash.xxh3_64_intdigest(repr((path[-1:], label))) - (1 << 63))
+            path = (*path, xxhash.xxh3_64_intdigest(repr((path[-1:], label, article))) - (1 << 63))
         self.children.setdefault(above[1], []).append(label)
         self.children.setdefault(path, [])
-        self.plain_text[path] = tag in TEXT_TAGS or root
+        self.plain_text[path] = root or (article and tag in TEXT_TAGS)
         self.stack.append((tag, path, out, article, tag in TEXT_TAGS))
 
     def _close_upto(self, tags: tuple[str, ...], scope: frozenset) -> None:
@@ -171,7 +172,7 @@ class Page:
         self._end_block()
 
     def nodes(self) -> list[tuple[tuple[int, ...], int, int, bool]]:
-        """Path, hash of the children's layout, hash of the text, and whether it is a text element, of every node."""
+        """Path, hash of the children's layout, hash of the text, and whether it always stays, of every node."""
         layout = lambda labels: "|".join(x for i, x in enumerate(labels) if not i or labels[i - 1] != x)
         return [
             (p, xxhash.xxh3_64_intdigest(layout(c)) - (1 << 63),

@@ -61,6 +61,17 @@ def test_site_tree_removes_shared_branches(spark):
     assert {round(r.importance, 3) for r in tree} >= {0.0, 1.0}
 
 
+BARE = """<html><body><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul>
+<table><tr><td>Prices of today</td><td>Rates</td></tr></table><p>All rights reserved</p>
+<div class=text><h1>Title {n}</h1><p>Text {n}</p><p>More {n}</p><ul><li>item {n}</ul></div></body></html>"""
+
+
+def test_site_tree_without_article(spark):
+    """No name tells the menu, the frame and the notice, only that all pages share them."""
+    got = html_text.main_text(page_rows(spark, [BARE.format(n=i) for i in range(12)])).orderBy("page_id").collect()
+    assert [r.text for r in got] == [f"Title {i}\n\nText {i}\n\nMore {i}\n\nitem {i}" for i in range(12)]
+
+
 def test_pages_awkward_rows(spark):
     sources = [None, "", "just text", "<p>open <b>never closed", "<article>a<article>b", "<", "<a href='", "x<!--", "<script>x", "</p></div>t"]
     sources += ["<div>" * 2000 + "deep" + "</div>" * 2000, "<p>" + LONG + "</p>"]
