@@ -138,11 +138,11 @@ def train(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_strings:
 
 
 def markov_spans(text: str, model: MarkovPair, taken: list[Span]) -> list[Span]:
-    """Long tokens with letters and digits that look drawn at random, clear of ``taken``."""
+    """Long tokens with letters that look drawn at random, clear of ``taken``."""
     out = []
     for m in TOKEN.finditer(text):
         token = m[0].strip("=-_/+")
-        if len(token) < 16 or token.isalpha() or token.isdigit() or not re.search("[A-Za-z]", token):
+        if len(token) < 16 or token.isdigit() or not re.search("[A-Za-z]", token):
             continue
         if any(start < m.end() and m.start() < end for start, end, _ in taken):
             continue

@@ -141,6 +141,15 @@ def test_markov_models_tell_random_from_ordinary(spark, sf):
     assert clean == "a password = '<assign>' here use <markov> now"
 
 
+def test_keys_of_letters_alone(spark, sf):
+    model = secret_scan.train(read(spark, sf, "documents"))
+    r = random.Random(4)
+    keys = ["".join(r.choices(secret_scan.ALPHABET[:52], k=16)) for _ in range(300)]
+    assert np.mean([secret_scan.scan_text(f"use {k} now", model)[1] == [(4, 20, "markov")] for k in keys]) > 0.95
+    for word in ("internationalization", "Wirtschaftswissenschaften", "Donaudampfschifffahrtsgesellschaft"):
+        assert secret_scan.scan_text(f"the {word} of", model)[1] == []
+
+
 def test_secrets_awkward_rows(spark):
     docs = with_clashes(documents(spark))
     model = secret_scan.train(docs)
