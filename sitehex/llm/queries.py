@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,12 @@ from sitehex.llm import (
     langid,
     ngram_join,
     packing,
+    periodic_runs,
     secret_scan,
     sharding,
     toxicity,
+    url_filters,
+    whitening,
 )
 from sitehex.llm.common import fold_of, read
 
@@ -97,3 +101,30 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_benchmark_decontamination")
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op11_url_filters", url_filters.URL_SQL)
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_urls(read(spark, sf_dir, "pages"))
+
+
+def repeat_from_a_place(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """One document in ten by its id: from some word on, the words repeat with some period. A null id leaves all as they are."""
+    h = zlib.crc32(str(doc_id).encode())
+    n = len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    unit = words[a : a + 1 + (n - a) // (3 + g % 8)]
+    return words[:a] + (unit * ((n - a) // len(unit) + 1))[: n - a]
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(read(spark, sf_dir, "documents"), edit=repeat_from_a_place)
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
