@@ -49,6 +49,64 @@ def point_in_polygon(lon, lat, multipolygon) -> Column:
     )
 
 
+def spans_on_parallels(multipolygon, latitude, number, within: Column | None = None) -> Column:
+    """``array<struct<k, west, east>>``: where the polygon covers numbered parallels, by number and from west to east.
+
+    ``latitude`` gives the latitude of a whole number and rises with it, ``number`` the fractional number of a latitude. A
+    point of parallel ``k`` is inside, as :func:`point_in_polygon` has it, where ``west <= lon < east`` of one span.
+    ``within`` leaves out parallels and spans that lie wholly outside a box.
+    """
+
+    def edge_cuts(ring, i, part):
+        a, b = F.get(ring, i - 1), F.get(ring, i)
+        low, high = F.least(a["lat"], b["lat"]), F.greatest(a["lat"], b["lat"])
+        if within is not None:
+            low, high = F.greatest(low, within["ymin"]), F.least(high, within["ymax"])
+        first, last = F.floor(number(low)), F.ceil(number(high))
+
+        def cut(k):
+            lat = latitude(k)
+            at = a["lon"] + F.try_divide((b["lon"] - a["lon"]) * (lat - a["lat"]), b["lat"] - a["lat"])
+            return F.struct(part.alias("part"), k.alias("k"), F.when((a["lat"] > lat) != (b["lat"] > lat), at).alias("at"))
+
+        numbers = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+        return F.filter(F.transform(numbers, cut), lambda c: c["at"].isNotNull())
+
+    def part_cuts(part, p):
+        rings = F.filter(part, lambda ring: F.size(ring) >= 3)
+        return F.flatten(F.transform(rings, lambda ring: F.flatten(F.transform(_segments(ring), lambda i: edge_cuts(ring, i, p)))))
+
+    # Each part cuts a parallel an even number of times, so sorted cuts are ends of spans by turns.
+    cuts = F.array_sort(F.flatten(F.transform(_c(multipolygon), part_cuts)))
+
+    def spans(found):
+        firsts = F.filter(found, lambda c, i: i % 2 == 0)
+        seconds = F.filter(found, lambda c, i: i % 2 == 1)
+        return F.zip_with(firsts, seconds, lambda a, b: F.struct(a["k"].alias("k"), a["at"].alias("west"), b["at"].alias("east")))
+
+    def merged(of_parts):
+        """Spans of different parts may overlap."""
+
+        def add(done, s):
+            last = F.get(done, F.size(done) - 1)
+            meets = F.coalesce((last["k"] == s["k"]) & (s["west"] <= last["east"]), F.lit(False))
+            wider = F.struct(last["k"].alias("k"), last["west"].alias("west"), F.greatest(last["east"], s["east"]).alias("east"))
+            return F.when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(s)))
+
+        none = F.array().cast("array<struct<k:bigint,west:double,east:double>>")
+        return F.aggregate(F.array_sort(of_parts), none, add)
+
+    # Bound to a lambda variable, the spans are computed once.
+    def finish(found):
+        return F.when(F.size(_c(multipolygon)) > 1, merged(found)).otherwise(found)
+
+    cut_spans = F.transform(F.array(cuts), spans)
+    whole = F.get(F.transform(cut_spans, finish), F.lit(0))
+    if within is None:
+        return whole
+    return F.filter(whole, lambda s: (s["east"] >= within["xmin"]) & (s["west"] <= within["xmax"]))
+
+
 def _ring_excess(ring: Column) -> Column:
     def edge(i):
         a, b = F.get(ring, i - 1), F.get(ring, i)

@@ -205,6 +205,50 @@ def with_center(
     return axial.withColumns({lon: at["lon"], lat: at["lat"]}).drop("_g_q", "_g_r", "_g_i")
 
 
+# Centres lie on parallels, numbered by an integer that is linear in q and r. Per resolution: the number's factors of q and r,
+# how many parallels make one row of base resolution, the step (q, r) from one centre to the next one east, and the
+# distance of two centres in base cells. A parallel ``k`` holds ``k * start + t * step`` for whole ``t``, whose first centre is
+# ``k * shift`` base cells east of the anchor.
+_PARALLELS = {
+    7: {"of": (1, 3), "rows": 1, "step": (3, -1), "start": (1, 0), "width": 7.0, "shift": 2.5},
+    8: {"of": (0, 1), "rows": 1, "step": (1, 0), "start": (0, 1), "width": 1.0, "shift": 0.5},
+    9: {"of": (-1, 2), "rows": 7, "step": (2, 1), "start": (-1, 0), "width": 1.0, "shift": -5.0 / 14.0},
+}
+EAST_M = 1.7320508075688772 * EDGE_M
+
+
+def parallels(res: int, idx, cities: Sequence[City] = CITIES):
+    """Latitude of a numbered parallel of cell centres, and the (fractional) number of a latitude, as functions of Columns."""
+    rows, lat0 = _PARALLELS[res]["rows"], anchor(_c(idx), "lat0", cities)
+
+    def latitude(k: Column) -> Column:
+        # The very arithmetic of `_to_lonlat`, so that a centre and its parallel have equal latitudes.
+        rf = k.cast("double") if rows == 1 else k.cast("double") / F.lit(float(rows))
+        return lat0 + F.lit(EDGE_M) * F.lit(1.5) * rf / F.lit(M_PER_DEG_LAT)
+
+    def number(lat: Column) -> Column:
+        return (lat - lat0) * F.lit(M_PER_DEG_LAT * rows / (EDGE_M * 1.5))
+
+    return latitude, number
+
+
+def steps_on_parallel(res: int, k, west, east, idx, cities: Sequence[City] = CITIES) -> tuple[Column, Column]:
+    """First and last step of the centres between two longitudes of a parallel, padded by one for rounding."""
+    way = _PARALLELS[res]
+    per_deg, lon0 = anchor(_c(idx), "metres_per_deg_lon", cities), anchor(_c(idx), "lon0", cities)
+
+    def step(lon: Column) -> Column:
+        return ((lon - lon0) * per_deg / F.lit(EAST_M) - _c(k) * F.lit(way["shift"])) / F.lit(way["width"])
+
+    return F.ceil(step(_c(west))) - 1, F.floor(step(_c(east))) + 1
+
+
+def cell_on_parallel(res: int, k, t) -> tuple[Column, Column]:
+    """``q`` and ``r`` of a step of a parallel."""
+    way = _PARALLELS[res]
+    return tuple(_c(k) * start + _c(t) * step for start, step in zip(way["start"], way["step"]))
+
+
 def cell_boundary(cell, res=None, cities: Sequence[City] = CITIES) -> Column:
     """Closed ring of six corners plus the first one repeated."""
     cell = _c(cell)

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitehex.cities import CITIES, City, country_of, idx_of
 from sitehex.functions import geometry as geo
 from sitehex.functions import grid as G
-from sitehex.operators.atscale import broadcast_bounded, settle
+from sitehex.operators.atscale import broadcast_bounded
 from sitehex.operators.scoring import in_cities
 
 WEB_CORE_SECONDS = 300
@@ -33,41 +33,35 @@ def candidate_origins(population: DataFrame, cities: Sequence[City] = CITIES) ->
 
 
 def polygon_to_cells(
-    shapes: DataFrame, polygon: str, idx: str, res: int = 9, out: str = "cell", cities: Sequence[City] = CITIES
+    shapes: DataFrame,
+    polygon: str,
+    idx: str,
+    res: int = 9,
+    out: str = "cell",
+    cities: Sequence[City] = CITIES,
+    within: Column | None = None,
 ) -> DataFrame:
-    """Rows of ``shapes`` x the cells whose centre lies inside the polygon.
+    """The other columns of ``shapes`` x the cells whose centre lies inside the polygon, each cell once for each row.
 
-    Candidate coordinates are generated row by row from the polygon's own box, then tested.
+    Cell centres lie on parallels. Every edge of the polygon is cut with the parallels that it crosses; along one parallel the
+    polygon reaches from each odd cut to the next one, and the centres in between are counted off. So the work is the length
+    of the outline, in cells, plus the cells found: interior cells are not tested, and no row carries the polygon further
+    than these cuts. ``within`` (a box as :func:`geometry.bbox_of` makes it) leaves parallels outside it alone.
     """
-    names = shapes.columns
-    box = shapes.withColumn("_box", geo.bbox_of(F.col(polygon)))
-    # q and r are linear in lon and lat, so the corners of the box bound them over the whole box.
-    corners = box
-    for i, (x, y) in enumerate((("xmin", "ymin"), ("xmin", "ymax"), ("xmax", "ymin"), ("xmax", "ymax"))):
-        corners = G.with_cell(corners, F.col(f"_box.{x}"), F.col(f"_box.{y}"), F.col(idx), {f"_k{i}": res}, cities)
-    qs = [G.cell_q(f"_k{i}") for i in range(4)]
-    rs = [G.cell_r(f"_k{i}") for i in range(4)]
-    ranged = corners.select(
-        *names, "_box",
-        (F.least(*qs) - 1).alias("_q0"), (F.greatest(*qs) + 1).alias("_q1"),
-        (F.least(*rs) - 1).alias("_r0"), (F.greatest(*rs) + 1).alias("_r1"),
-    )
-    candidates = (
-        ranged.withColumn("_q", F.explode(F.sequence("_q0", "_q1")))
-        .withColumn("_r", F.explode(F.sequence("_r0", "_r1")))
-        .withColumn(out, G.pack(F.col(idx), res, F.col("_q"), F.col("_r")))
-    )
-    placed = G.with_center(candidates, out, res, "_lon", "_lat", cities).select(
-        *names, out, "_lon", "_lat",
-        F.col("_box.xmin").alias("_x0"), F.col("_box.xmax").alias("_x1"),
-        F.col("_box.ymin").alias("_y0"), F.col("_box.ymax").alias("_y1"),
-    )
-    return (
-        settle(placed)
-        .where(geo.bbox_contains("_lon", "_lat", "_x0", "_x1", "_y0", "_y1"))
-        .where(geo.point_in_polygon("_lon", "_lat", polygon))
-        .select(*names, out)
-    )
+    names = [c for c in shapes.columns if c != polygon]
+    spans = geo.spans_on_parallels(F.col(polygon), *G.parallels(res, F.col(idx), cities), within)
+    rows = shapes.select(*names, F.inline(spans).alias("_k", "_west", "_east"))
+    if within is not None:
+        # Ends are half open; a centre on the box's own eastern edge still counts.
+        clipped = {"_west": F.greatest("_west", within["xmin"]), "_east": F.least(F.col("_east"), within["xmax"] + 1e-9)}
+        rows = rows.withColumns(clipped)
+    first, last = G.steps_on_parallel(res, F.col("_k"), F.col("_west"), F.col("_east"), F.col(idx), cities)
+    placed = rows.withColumn("_t", F.explode(F.sequence(first, last)))
+    q, r = G.cell_on_parallel(res, F.col("_k"), F.col("_t"))
+    cells = placed.withColumn(out, G.pack(F.col(idx), res, q, r))
+    # The steps are padded for rounding; the centre itself decides.
+    centred = G.with_center(cells, out, res, "_lon", "_lat", cities)
+    return centred.where((F.col("_lon") >= F.col("_west")) & (F.col("_lon") < F.col("_east"))).select(*names, out)
 
 
 def derive_reach_cells(isochrones: DataFrame, cities: Sequence[City] = CITIES) -> DataFrame:

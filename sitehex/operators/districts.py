@@ -1,4 +1,4 @@
-"""Naming cells: point-in-polygon against division areas, smallest polygon per tier."""
+"""Naming cells: division areas as sets of cells, smallest division per tier."""
 
 from __future__ import annotations
 
@@ -7,52 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitehex.cities import CITIES, City
+from sitehex.cities import CITIES, City, idx_of, matching_cities
 from sitehex.functions import geometry as geo
 from sitehex.functions import grid as G
+from sitehex.operators.catchment import polygon_to_cells
 from sitehex.operators.scoring import city_cells
 
-# Tile side in degrees per level. A division sits on the finest level whose tile is at least as
-# wide as its box, so it touches at most four tiles there.
-TILE_DEG = tuple(0.02 * 4**level for level in range(8))
-# Tiles of the coarse levels cover many cells; their cells are spread over this many salts.
-COARSE_LEVEL = 3
-SALTS = 16
+def division_cells(divisions: DataFrame, cities: Sequence[City] = CITIES) -> DataFrame:
+    """``(city, cell, subtype, nm, poly_area)`` for every cell of a city's box whose centre lies inside a division.
 
-
-def _tile(x: Column, level: int) -> Column:
-    return F.floor(x / F.lit(TILE_DEG[level]))
-
-
-def _division_tiles(divisions: DataFrame) -> DataFrame:
-    extent = F.greatest(F.col("bxmax") - F.col("bxmin"), F.col("bymax") - F.col("bymin"))
-    level = F.lit(len(TILE_DEG) - 1)
-    for i in reversed(range(len(TILE_DEG) - 1)):
-        level = F.when(extent <= TILE_DEG[i], F.lit(i)).otherwise(level)
-    side = F.get(F.array(*[F.lit(t) for t in TILE_DEG]), F.col("_level"))
-    salts = F.when(F.col("_level") >= COARSE_LEVEL, F.lit(SALTS - 1)).otherwise(F.lit(0))
-    return (
-        divisions.withColumn("_level", level)
-        .withColumn("_side", side)
-        .withColumn("_tx", F.explode(F.sequence(F.floor(F.col("bxmin") / F.col("_side")), F.floor(F.col("bxmax") / F.col("_side")))))
-        .withColumn("_ty", F.explode(F.sequence(F.floor(F.col("bymin") / F.col("_side")), F.floor(F.col("bymax") / F.col("_side")))))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts)))
+    Each division is cut with the parallels of the cell centres inside the boxes it touches; what lies between two cuts is
+    counted off without a test, and the outline is left behind there (see :func:`catchment.polygon_to_cells`).
+    """
+    def touched(c: City) -> Column:
+        return c.overlaps(F.col("bxmin"), F.col("bxmax"), F.col("bymin"), F.col("bymax"))
+
+    def side(attr: str) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for c in cities for x in (c.name, getattr(c, attr))]), F.col("city"))
+
+    here = divisions.select(
+        F.explode(matching_cities(touched, cities)).alias("city"),
+        "subtype", "nm", "poly_area", "bxmin", "bxmax", "bymin", "bymax", "geometry",
+    ).withColumn("_idx", idx_of(F.col("city"), cities))
+    box = F.struct(
+        side("lon_min").alias("xmin"), side("lon_max").alias("xmax"), side("lat_min").alias("ymin"), side("lat_max").alias("ymax")
+    )
+    filled = polygon_to_cells(here, "geometry", "_idx", G.BASE_RES, "cell", cities, box)
+    centred = G.with_center(filled, "cell", G.BASE_RES, cities=cities)
+    return centred.where(geo.bbox_contains("lon", "lat", "bxmin", "bxmax", "bymin", "bymax")).select(
+        "city", "cell", "subtype", "nm", "poly_area"
     )
-
-
-def _cell_tiles(cells: DataFrame) -> DataFrame:
-    options = []
-    for level in range(len(TILE_DEG)):
-        salt = F.pmod(F.xxhash64("cell"), F.lit(SALTS)).cast("int") if level >= COARSE_LEVEL else F.lit(0)
-        options.append(
-            F.struct(
-                F.lit(level).alias("_level"),
-                _tile(F.col("lon"), level).alias("_tx"),
-                _tile(F.col("lat"), level).alias("_ty"),
-                salt.alias("_salt"),
-            )
-        )
-    return cells.select("city", "cell", "lon", "lat", F.inline(F.array(*options)))
 
 
 def district_resolution(
@@ -60,25 +44,24 @@ def district_resolution(
 ) -> DataFrame:
     """``(h3_8, area, locality, city)`` for every populated cell inside at least one division.
 
-    Cells and divisions meet on a shared tile instead of a nested loop. Rectangle terms go first,
-    the exact polygon test only sees what passes them. A tier without a hit is an empty string:
-    an unnamed cell never borrows its neighbour's name.
+    Divisions become cells, of which each tier's smallest division is kept map-side, and meet populated cells by equality. A
+    tier without a hit is an empty string: an unnamed cell never borrows its neighbour's name.
     """
-    cells = G.with_center(city_cells(population, cities), "cell", G.BASE_RES, cities=cities)
-    hits = (
-        _cell_tiles(cells)
-        .join(_division_tiles(divisions), ["_level", "_tx", "_ty", "_salt"])
-        .where(geo.bbox_contains("lon", "lat", "bxmin", "bxmax", "bymin", "bymax"))
-        .where(geo.point_in_polygon("lon", "lat", "geometry"))
-    )
 
     def smallest(tier: str) -> Column:
         best = F.min(F.when(F.col("subtype") == tier, F.struct("poly_area", "nm")))
         return F.coalesce(best["nm"], F.lit(""))
 
-    return (
-        hits.groupBy("city", "cell")
+    named = (
+        division_cells(divisions, cities)
+        .groupBy("city", "cell")
         .agg(smallest("macrohood").alias("area"), smallest("locality").alias("locality"))
+    )
+    return (
+        city_cells(population, cities)
+        .select("city", "cell")
+        .distinct()
+        .join(named, ["city", "cell"])
         .select(F.col("cell").alias("h3_8"), "area", "locality", "city")
     )
 

@@ -118,15 +118,20 @@ def layer_updates(spark, sf):
 @query("stream_commands_once",
        "select event_type as action, count(*) as applied from events group by 1")
 def stream_commands_once(spark, sf):
-    """Every command is delivered twice, in files without any order, and applied once."""
-    out, ck, inbox = new_folder(spark, "commands"), new_folder(spark, "progress"), new_folder(spark, "incoming")
+    """Every command is delivered twice and applied once, by two streams that do not know of each other.
+
+    The first stream gets the commands of some actions; the second one, with a progress folder of its own, gets all of them,
+    those again that were applied before.
+    """
+    out, inbox, again = new_folder(spark, "commands"), new_folder(spark, "incoming"), new_folder(spark, "incoming")
     events = S.read(spark, sf, "events").select(
         F.col("event_id").alias("command_id"), F.col("event_type").alias("action"), F.col("ts").cast("timestamp").alias("ts")
     )
     twice = events.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
-    twice.repartition(6, "command_id", "delivery").write.parquet(inbox)
-    stream = spark.readStream.schema(twice.schema).option("maxFilesPerTrigger", 2).parquet(inbox)
-    updates.apply_commands_once(stream, out, ck).awaitTermination()
+    for sent, folder in ((twice.where(F.col("action") < "m"), inbox), (twice, again)):
+        sent.repartition(4, "command_id", "delivery").write.parquet(folder)
+        stream = spark.readStream.schema(twice.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+        updates.apply_commands_once(stream, out, new_folder(spark, "progress")).awaitTermination()
     return spark.read.parquet(out).groupBy("action").agg(F.count("*").alias("applied"))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from sitehex.operators.saved import latest_versions
 from sitehex.sources.publish import path_exists
@@ -40,40 +41,89 @@ def latest_layer_parts(writes: DataFrame) -> DataFrame:
     )
 
 
-LEDGER_BUCKETS = 64
+#: Folders below the table of applied commands, out of sight of its readers.
+INBOX, LEDGER = "_inbox", "_ledger"
+
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def once_per_command(commands: DataFrame, key: str = "command_id") -> DataFrame:
-    """A batch of commands, each id once."""
+    """Commands, each id once: of a batch, or of all that a stream ever delivers."""
     return commands.dropDuplicates([key])
 
 
-def apply_commands_once(source: DataFrame, path: str, checkpoint: str, key: str = "command_id") -> StreamingQuery:
-    """Append every command of a stream once per id, however late and in whichever file it comes again.
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps in its progress folder; another folder has another one."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+
 
-    What was applied is itself the ledger: a batch is anti-joined by id with the parts of all earlier
-    batches. Parts lie in folders by a hash of the id, so a batch reads only the buckets it
-    touches. A batch owns its part and overwrites it when replayed.
+def deliver_commands(batch: DataFrame, path: str, sender: str, batch_id: int) -> None:
+    """Put a batch into the inbox of ``path``, once for each sender and number.
+
+    A part that is complete is not written again: a batch that is replayed holds the same rows.
     """
-    bucket = F.pmod(F.hash(key), F.lit(LEDGER_BUCKETS)).alias("id_bucket")
+    part = f"{path.rstrip('/')}/{INBOX}/part={sender}-{batch_id}"
+    if not path_exists(batch.sparkSession, f"{part}/_SUCCESS"):
+        batch.write.mode("overwrite").parquet(part)
+
+
+def settle_commands(spark: SparkSession, path: str, schema: StructType, key: str = "command_id") -> StreamingQuery:
+    """Apply what lies in the inbox and was not applied before; ends when the inbox is read.
+
+    Which ids were applied is state of one stream that belongs to the table and not to any sender: a RocksDB store,
+    partitioned by the hash of the id, whose changes are saved with every batch. A batch looks up its own ids there and
+    reads no earlier ones; an id is known for good, since there is no watermark. The state, the files read and the parts
+    written move on together, so a lost executor or driver repeats a batch with the same outcome. The stream refuses to
+    run twice at once over one table.
+    """
+    root = path.rstrip("/")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = once_per_command(batch, key).select("*", bucket)
-        if batch_id > 0 and path_exists(spark, path):
-            touched = [r.id_bucket for r in fresh.select("id_bucket").distinct().collect()]  # at most LEDGER_BUCKETS
-            schema = StructType([*fresh.schema.fields, StructField("batch_id", LongType())])
-            applied = spark.read.schema(schema).parquet(path).where(F.col("batch_id") < batch_id)
-            applied = applied.where(F.col("id_bucket").isin(touched)).select("id_bucket", key)
-            fresh = fresh.join(applied, ["id_bucket", key], "left_anti")
         (
-            fresh.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id", "id_bucket")
-            .parquet(path)
+            .partitionBy("batch_id")
+            .parquet(root)
         )
 
+    inbox = (
+        spark.readStream.schema(schema)
+        .option("maxFileAge", "36500d")  # a part that waits long is not forgotten
+        .option("ignoreMissingFiles", True)  # a part that was broken off is written anew under other names
+        .parquet(f"{root}/{INBOX}/part=*")
+    )
+    before = {name: spark.conf.get(name, None) for name in ROCKSDB}
+    for name, value in ROCKSDB.items():
+        spark.conf.set(name, value)
+    try:
+        return (
+            once_per_command(inbox, key)
+            .writeStream.foreachBatch(write)
+            .option("checkpointLocation", f"{root}/{LEDGER}")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def apply_commands_once(source: DataFrame, path: str, checkpoint: str, key: str = "command_id") -> StreamingQuery:
+    """Append every command once per id, however late, in whichever file and through whichever stream it comes again.
+
+    Each batch is put into the inbox of the table and settled against the table's own ledger, so streams with other
+    progress folders, or with lost ones, do not apply an id again and lose none.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        deliver_commands(batch, path, _stream_id(spark, checkpoint), batch_id)
+        settle_commands(spark, path, batch.schema, key).awaitTermination()
+
     return (
         source.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)

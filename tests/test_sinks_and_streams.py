@@ -138,6 +138,56 @@ def test_commands_apply_once_over_batches(spark, sf):
     assert updates.once_per_command(events.unionAll(events)).count() == events.count()
 
 
+def test_commands_apply_once_over_streams_and_crashes(spark):
+    """Streams with progress folders of their own share the ledger; replays and broken parts change nothing."""
+    out, inbox = new_folder(spark, "out"), new_folder(spark, "inbox")
+    schema = "command_id bigint, what string"
+
+    def run(ids, checkpoint=None, what="x"):
+        folder = new_folder(spark, "src")
+        spark.createDataFrame([(i, what) for i in ids], schema).repartition(2).write.parquet(folder)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        updates.apply_commands_once(stream, out, checkpoint or new_folder(spark, "ck")).awaitTermination()
+
+    def applied():
+        return sorted(r.command_id for r in spark.read.parquet(out).collect())
+
+    run(range(100))
+    run(range(50, 150), what="again")
+    assert applied() == list(range(150))
+    assert spark.read.parquet(out).where("what = 'again'").count() == 50
+    run([])
+    run([7, 7, 8, 150])
+    assert applied() == list(range(151))
+    # A part whose sender died after writing it: nothing is applied until the next settlement, then once.
+    batch = spark.createDataFrame([(150, "late"), (151, "late")], schema)
+    updates.deliver_commands(batch, out, "lost", 0)
+    updates.deliver_commands(batch, out, "lost", 0)
+    assert applied() == list(range(151))
+    updates.settle_commands(spark, out, batch.schema).awaitTermination()
+    assert applied() == list(range(152))
+    # A lost progress folder: the same source is read from its start again.
+    run(range(100))
+    assert applied() == list(range(152)) and not publish.path_exists(spark, inbox)
+
+
+def test_ledger_looks_ids_up_instead_of_reading_them(spark):
+    """What a batch reads does not grow with what was applied before it."""
+    out = new_folder(spark, "out")
+    schema = "command_id bigint"
+    sizes = []
+    for start in (0, 20_000, 40_000):
+        updates.deliver_commands(spark.range(start, start + 20_000).withColumnRenamed("id", "command_id"), out, "s", start)
+        query = updates.settle_commands(spark, out, spark.createDataFrame([], schema).schema)
+        query.awaitTermination()
+        progress = [p for p in query.recentProgress if p.numInputRows]
+        sizes.append(sum(p.numInputRows for p in progress))
+        state = progress[-1].stateOperators[0]
+        assert state.numRowsTotal == start + 20_000
+        assert any("rocksdb" in name for name in state.customMetrics)
+    assert sizes == [20_000] * 3
+
+
 def test_fold_and_later_batches(spark):
     from sitehex.sources.demand import merge_capacity
 
