@@ -41,9 +41,8 @@ def one_origin(spark, sf_dir: str) -> None:
     """Cells, people and places within the walks of a single origin, read by its key."""
     reach = W.stored(spark, sf_dir, "isochrone_cells")
     first = reach.select("city", "origin_h3_9").first()
-    here = catchment.at_origins(reach, first.city, [first.origin_h3_9])
     tables = (W.stored(spark, sf_dir, name) for name in ("population", "places"))
-    catchment.catchment_profile(None, here, *tables).collect()
+    catchment.origin_profile(first.city, first.origin_h3_9, reach, *tables).collect()
 
 
 def main() -> None:

@@ -77,7 +77,7 @@ def spans_on_parallels(multipolygon, latitude, number, within: Column | None = N
         return F.flatten(F.transform(rings, lambda ring: F.flatten(F.transform(_segments(ring), lambda i: edge_cuts(ring, i, p)))))
 
     # Each part cuts a parallel an even number of times, so sorted cuts are ends of spans by turns.
-    cuts = F.array_sort(F.flatten(F.transform(_c(multipolygon), part_cuts)))
+    cuts = F.sort_array(F.flatten(F.transform(_c(multipolygon), part_cuts)))
 
     def spans(found):
         firsts = F.filter(found, lambda c, i: i % 2 == 0)
@@ -94,7 +94,7 @@ def spans_on_parallels(multipolygon, latitude, number, within: Column | None = N
             return F.when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(s)))
 
         none = F.array().cast("array<struct<k:bigint,west:double,east:double>>")
-        return F.aggregate(F.array_sort(of_parts), none, add)
+        return F.aggregate(F.sort_array(of_parts), none, add)
 
     # Bound to a lambda variable, the spans are computed once.
     def finish(found):

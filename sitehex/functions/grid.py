@@ -177,6 +177,11 @@ def _to_lonlat(qf: Column, rf: Column, res, idx: Column, cities: Sequence[City])
     return F.struct(lon.alias("lon"), lat.alias("lat"))
 
 
+def axial_center(q, r, res: int, idx, cities: Sequence[City] = CITIES) -> Column:
+    """``struct(lon, lat)`` of a cell given by its coordinates; the same numbers as :func:`cell_center` has."""
+    return _to_lonlat(_c(q).cast("double"), _c(r).cast("double"), res, _c(idx), cities)
+
+
 def cell_center(cell, res=None, cities: Sequence[City] = CITIES) -> Column:
     """``struct(lon, lat)``. Pass ``res`` when it is known to keep the expression small."""
     cell = _c(cell)

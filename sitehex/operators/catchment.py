@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from sitehex.cities import CITIES, City, country_of, idx_of
 from sitehex.functions import geometry as geo
 from sitehex.functions import grid as G
-from sitehex.operators.atscale import broadcast_bounded
+from sitehex.operators.atscale import broadcast_bounded, settle
 from sitehex.operators.scoring import in_cities
+from sitehex.sources.layout import one_of
 
 WEB_CORE_SECONDS = 300
 
@@ -58,10 +59,11 @@ def polygon_to_cells(
     first, last = G.steps_on_parallel(res, F.col("_k"), F.col("_west"), F.col("_east"), F.col(idx), cities)
     placed = rows.withColumn("_t", F.explode(F.sequence(first, last)))
     q, r = G.cell_on_parallel(res, F.col("_k"), F.col("_t"))
-    cells = placed.withColumn(out, G.pack(F.col(idx), res, q, r))
+    axial = placed.select(*names, "_west", "_east", q.alias("_q"), r.alias("_r"))
     # The steps are padded for rounding; the centre itself decides.
-    centred = G.with_center(cells, out, res, "_lon", "_lat", cities)
-    return centred.where((F.col("_lon") >= F.col("_west")) & (F.col("_lon") < F.col("_east"))).select(*names, out)
+    lon = G.axial_center(F.col("_q"), F.col("_r"), res, F.col(idx), cities)["lon"]
+    centred = settle(axial.withColumn("_lon", lon)).where((F.col("_lon") >= F.col("_west")) & (F.col("_lon") < F.col("_east")))
+    return centred.select(*names, G.pack(F.col(idx), res, F.col("_q"), F.col("_r")).alias(out))
 
 
 def derive_reach_cells(isochrones: DataFrame, cities: Sequence[City] = CITIES) -> DataFrame:
@@ -265,3 +267,42 @@ def reverse_reach(targets: DataFrame, isochrone_cells: DataFrame, minutes: int =
     return isochrone_cells.where(F.col("minutes") == minutes).join(
         targets.select("city", "reachable_h3_9").distinct(), ["city", "reachable_h3_9"], "left_semi"
     ).select("city", "reachable_h3_9", "origin_h3_9")
+
+
+def reverse_reach_of(isochrone_cells: DataFrame, city: str, cells: Sequence[int], minutes: int = 10) -> DataFrame:
+    """Origins that reach any of a few known cells.
+
+    The table is ordered by origin, so a cell may lie in any row group; its Bloom filters leave out those that lack it.
+    """
+    here = isochrone_cells.where((F.col("city") == city) & (F.col("minutes") == minutes))
+    return here.where(one_of("reachable_h3_9", cells)).select("city", "reachable_h3_9", "origin_h3_9")
+
+
+def origin_profile(
+    city: str, origin: int, isochrone_cells: DataFrame, population: DataFrame, places: DataFrame, cities: Sequence[City] = CITIES
+) -> DataFrame:
+    """:func:`catchment_profile` of one origin, for a reader that waits: two small scans instead of joins.
+
+    The cells of one origin's walks are few, whatever the tables hold: they are read by their key first and stand as
+    literals before one scan each of people and places, which then read the row groups around the origin only.
+    """
+    parent = G.cell_to_parent("reachable_h3_9", 8)
+    reach = at_origins(isochrone_cells, city, [origin]).select("minutes", "reachable_h3_9", parent.alias("h3_8")).collect()
+    country = [c.country for c in cities if c.name == city]
+    people = population.where(F.col("country").isin(country) & F.col("h3_8").isin([r.h3_8 for r in reach]))
+    around = places.where((F.col("city") == city) & F.col("h3_9").isin([r.reachable_h3_9 for r in reach]))
+    rows = (
+        people.select(F.col("h3_8").alias("cell"), F.col("population").cast("double").alias("people"), F.lit(0).alias("pois"))
+        .union(around.select("h3_9", F.lit(None).cast("double"), F.lit(1)))
+        .groupBy("cell").agg(F.sum("people").alias("people"), F.sum("pois").alias("pois"))
+        .collect()
+    )
+    found = {r.cell: r for r in rows}
+    out = []
+    for minutes in sorted({r.minutes for r in reach}):
+        walk = [r for r in reach if r.minutes == minutes]
+        homes = [found[r.h3_8].people for r in walk if r.h3_8 in found and found[r.h3_8].people is not None]
+        shops = [found[r.reachable_h3_9].pois for r in walk if r.reachable_h3_9 in found]
+        out.append((city, origin, minutes, len(walk), sum(shops) if shops else None, float(round(sum(homes) / 7)) if homes else None))
+    schema = "city string, origin_h3_9 bigint, minutes int, cells bigint, pois bigint, people double"
+    return isochrone_cells.sparkSession.createDataFrame(out, schema)

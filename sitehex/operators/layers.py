@@ -77,13 +77,22 @@ def ramp_stop(share: Column) -> Column:
     return out
 
 
-def competitors(places: DataFrame, categories: Sequence[str], cities: Sequence[City] = CITIES) -> DataFrame:
-    return in_cities(places, cities).where(F.col("category").isin(list(categories)))
-
-
-def competitors_layer(places: DataFrame, categories: Sequence[str], cities: Sequence[City] = CITIES) -> DataFrame:
+def competitors(
+    places: DataFrame, categories: Sequence[str], cities: Sequence[City] = CITIES, box: Sequence[float] | None = None
+) -> DataFrame:
+    """Places of a trade; of a ``box`` (west, east, south, north) only those inside, read where the table holds them."""
+    hits = in_cities(places, cities).where(F.col("category").isin(list(categories)))
+    if box is None:
+        return hits
+    west, east, south, north = box
+    return hits.where(F.col("lon").between(west, east) & F.col("lat").between(south, north))
+
+
+def competitors_layer(
+    places: DataFrame, categories: Sequence[str], cities: Sequence[City] = CITIES, box: Sequence[float] | None = None
+) -> DataFrame:
     feature = geo.feature_json(geo.point_geometry("lon", "lat"), F.struct(F.col("name").alias("n")))
-    return competitors(places, categories, cities).select("city", "id", feature.alias("feature"))
+    return competitors(places, categories, cities, box).select("city", "id", feature.alias("feature"))
 
 
 def competitors_bbox(places: DataFrame, categories: Sequence[str], cities: Sequence[City] = CITIES) -> DataFrame:

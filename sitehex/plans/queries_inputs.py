@@ -18,6 +18,7 @@ from sitehex.plans import warehouse as W
 from sitehex.plans.oracle import centre, d, geo_distance, pack, parent_q, parent_r, pick, q_of, quoted, r_of, with_cell
 from sitehex.plans.registry import query
 from sitehex.reference_data import ROAD_CLASSES, WALK_CLASSES
+from sitehex.sources.layout import space_filling
 from sitehex.sources import demand, layer_store, parameters, publish, saved
 from sitehex.sources import places as src_places
 
@@ -128,7 +129,7 @@ _morton_bits = " + ".join(f"((mx31 >> {i}) & 1) * {1 << (2 * i)} + ((my31 >> {i}
 def grid_mercator_morton(spark, sf):
     return S.places(spark, sf).select(
         "id", G.mercator_x("lon").alias("mercator_x"), G.mercator_y("lat").alias("mercator_y"),
-        src_places.layout_key().alias("zkey"),
+        space_filling().alias("zkey"),
     )
 
 

@@ -367,6 +367,25 @@ def competitor_features(spark, sf):
     return layers.competitors_layer(W.stored(spark, sf, "places"), FOOD)
 
 
+_INNER = ("(select city, min(lon)+(max(lon)-min(lon))*0.4 as w, max(lon)-(max(lon)-min(lon))*0.4 as e, "
+          "min(lat)+(max(lat)-min(lat))*0.4 as s, max(lat)-(max(lat)-min(lat))*0.4 as n from places group by city)")
+
+
+@query("competitors_in_box",
+       f"select p.city, p.id from places p join {_INNER} b on b.city=p.city and p.lon between b.w and b.e and p.lat between b.s and b.n where p.category in ({quoted(FOOD)})")
+def competitors_in_box(spark, sf):
+    """The middle of every city's frame, read from the table that is clustered along a space-filling curve."""
+    places = W.stored(spark, sf, "places")
+    frames = places.groupBy("city").agg(*[f(c).alias(f"{n}_{c}") for c in ("lon", "lat") for n, f in (("lo", F.min), ("hi", F.max))])
+    out = None
+    for b in frames.collect():  # one row for each city
+        dx, dy = (b.hi_lon - b.lo_lon) * 0.4, (b.hi_lat - b.lo_lat) * 0.4
+        box = (b.lo_lon + dx, b.hi_lon - dx, b.lo_lat + dy, b.hi_lat - dy)
+        part = layers.competitors(places, FOOD, [c for c in CITIES if c.name == b.city], box).select("city", "id")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 @query("competitors_bbox",
        f"select city, min(lon) as min_lon, min(lat) as min_lat, max(lon) as max_lon, max(lat) as max_lat, count(*) as n from places where category in ({quoted(FOOD)}) group by city")
 def competitors_bbox(spark, sf):
@@ -449,6 +468,39 @@ def reverse_reach(spark, sf):
     return cat.reverse_reach(targets, W.stored(spark, sf, "isochrone_cells"))
 
 
+_SHOP = ("(select city, min(h3_9) as h3_9 from places where category='bakery' and (city, h3_9) in "
+         "(select (city, reachable_h3_9) from reach where minutes=10) group by city)")
+
+
+@query("reverse_reach_of",
+       f"select r.city, r.reachable_h3_9, r.origin_h3_9 from reach r join {_SHOP} s on s.city=r.city and s.h3_9=r.reachable_h3_9 where r.minutes=10")
+def reverse_reach_of(spark, sf):
+    """Who walks to one known shop of each city: a lookup by a column that the table is not ordered by."""
+    reach = W.stored(spark, sf, "isochrone_cells")
+    shops = W.stored(spark, sf, "places").where(F.col("category") == "bakery").select("city", F.col("h3_9").alias("reachable_h3_9"))
+    reached = shops.join(reach.where(F.col("minutes") == 10), ["city", "reachable_h3_9"], "left_semi")
+    out = None
+    for shop in reached.groupBy("city").agg(F.min("reachable_h3_9").alias("cell")).collect():  # one row for each city
+        part = cat.reverse_reach_of(reach, shop.city, [shop.cell])
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+@query("origin_profile",
+       "select r.city, r.origin_h3_9, cast(r.minutes as integer) as minutes, count(*) as cells, nullif(cast(sum(coalesce(pl.n,0)) as bigint),0) as pois, "
+       "round_even(cast(sum(p.population) as double)/7,0) as people from reach r left join population p on p.cell=r.reached_parent "
+       "left join (select city, h3_9, count(*) as n from places group by 1,2) pl on pl.city=r.city and pl.h3_9=r.reachable_h3_9 "
+       "where (r.city, r.origin_h3_9) in (select (city, min(origin_h3_9)) from reach group by city) group by 1,2,3")
+def origin_profile(spark, sf):
+    """The first origin of each city, each by its key."""
+    reach, people, places = (W.stored(spark, sf, n) for n in ("isochrone_cells", "population", "places"))
+    out = None
+    for first in reach.groupBy("city").agg(F.min("origin_h3_9").alias("o")).collect():  # one row for each city
+        part = cat.origin_profile(first.city, first.o, reach, people, places)
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 @query("spot_check_origins",
        "select city, id, name, h3_9 as origin_h3_9 from places where name<>'' and (city, h3_9) in (select (city, origin_h3_9) from reach) "
        "qualify row_number() over (partition by city order by md5(id), id)=1")

@@ -19,6 +19,7 @@ from sitehex.operators.trend import momentum_rollup
 from sitehex.plans import surrogates as S
 from sitehex.reference_data import resolve_categories
 from sitehex.sources.demand import capacity_rollup
+from sitehex.sources.layout import LAYOUTS, Layout, laid_out, writer
 from sitehex.tables import Tables
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -33,21 +34,22 @@ def _reach(build: Callable[..., DataFrame]) -> Builder:
     return lambda spark, sf_dir: build(spark, sf_dir, stored(spark, sf_dir, "population"))
 
 
-# How each stored table is made and laid out: by city where the readers filter on it.
-BUILDERS: dict[str, tuple[Builder, str | None]] = {
-    "places": (S.places, "city"),
-    "population": (S.population, "country"),
-    "buildings": (S.buildings, "city"),
-    "cell_capacity": (_from("buildings", capacity_rollup), "city"),
-    "addr_density": (S.addr_density, "city"),
-    "isochrone_cells": (_reach(S.isochrone_cells), "city"),
-    "isochrones": (_reach(S.isochrones), "city"),
-    "isochrone_edges": (_reach(S.isochrone_edges), "city"),
-    "districts": (lambda s, d: district_resolution(stored(s, d, "population"), S.divisions(s, d)), "city"),
-    "poi_history": (S.poi_history, "city"),
-    "category_momentum": (_from("poi_history", momentum_rollup), None),
-    "saved_sites": (S.saved_sites, "city"),
+# How each stored table is made; ``sources.layout`` says how it lies on disk.
+BUILDERS: dict[str, Builder] = {
+    "places": S.places,
+    "population": S.population,
+    "buildings": S.buildings,
+    "cell_capacity": _from("buildings", capacity_rollup),
+    "addr_density": S.addr_density,
+    "isochrone_cells": _reach(S.isochrone_cells),
+    "isochrones": _reach(S.isochrones),
+    "isochrone_edges": _reach(S.isochrone_edges),
+    "districts": lambda s, d: district_resolution(stored(s, d, "population"), S.divisions(s, d)),
+    "poi_history": S.poi_history,
+    "category_momentum": _from("poi_history", momentum_rollup),
+    "saved_sites": S.saved_sites,
 }
+SURFACE = Layout("city")
 
 _ROOTS: dict[tuple[str, str], str] = {}
 _OPENED: dict[str, DataFrame] = {}
@@ -66,9 +68,10 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     with loading:
         if path in _OPENED:
             return _OPENED[path]
-        build, by = BUILDERS[name]
-        writer = build(spark, sf_dir).write.mode("overwrite")
-        (writer.partitionBy(by) if by else writer).parquet(path)
+        layout = LAYOUTS.get(name, SURFACE)
+        # As many ranges as the session shuffles into: fewer files would leave readers of small tables short of tasks.
+        ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        writer(laid_out(BUILDERS[name](spark, sf_dir), layout, ranges), layout).mode("overwrite").parquet(path)
         # Tables do not change once written, so listing and footers are read once per session.
         _OPENED[path] = spark.read.parquet(path)
         return _OPENED[path]
@@ -90,7 +93,7 @@ def surface(spark: SparkSession, sf_dir: str, word: str) -> DataFrame:
     name = "surface_" + word.replace(" ", "_")
     if name not in BUILDERS:
         cats = resolve_categories(word)
-        BUILDERS[name] = (lambda s, d: scored(market(s, d), cats), "city")
+        BUILDERS[name] = lambda s, d: scored(market(s, d), cats)
     return stored(spark, sf_dir, name)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitehex.cities import CITIES, City, any_city, idx_of, matching_cities
 from sitehex.functions import grid as G
+from sitehex.sources.layout import LAYOUTS, laid_out, writer
 
 RAW_SCHEMA = (
     "id string, names struct<primary:string>, categories struct<primary:string>, "
@@ -65,27 +66,13 @@ def ingest_places(raw: DataFrame, cities: Sequence[City] = CITIES) -> DataFrame:
     return with_cells(flat, cities)
 
 
-def layout_key(lon="lon", lat="lat"):
-    """Space-filling sort key over mercator coordinates (halved to stay within 62 bits)."""
-    return G.morton(F.shiftright(G.mercator_x(lon), 1), F.shiftright(G.mercator_y(lat), 1))
-
-
-def write_places(places: DataFrame, path: str, partitions: int | None = None) -> None:
+def write_places(places: DataFrame, path: str, partitions: int | None = None, row_group_bytes: int | None = None) -> None:
     """Partition by city and range-cluster by the space-filling key, so a box stays contiguous.
 
     Ranges are cut on (city, key): a dense city is spread over as many tasks as it needs.
     """
-    keyed = places.withColumn("_z", layout_key())
-    cols = [F.col("city"), F.col("_z")]
-    ranged = keyed.repartitionByRange(partitions, *cols) if partitions else keyed.repartitionByRange(*cols)
-    (
-        ranged.sortWithinPartitions("city", "_z")
-        .drop("_z")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("city")
-        .parquet(path)
-    )
+    out = writer(laid_out(places, LAYOUTS["places"], partitions), LAYOUTS["places"], row_group_bytes)
+    out.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def raw_category_histogram(raw: DataFrame, cities: Sequence[City] = CITIES) -> DataFrame:

@@ -75,6 +75,54 @@ def test_places_layout_is_clustered(spark, sf):
     assert set(back.columns) == set(places.columns)
 
 
+def rows_read(df):
+    """Rows of the row groups that the scan of a plan without exchanges did not skip."""
+    executed = df._jdf.queryExecution()
+    executed.toRdd().count()
+    scan = executed.executedPlan().collectLeaves().head()
+    return scan.metrics().apply("numOutputRows").value()
+
+
+def test_a_box_reads_few_row_groups(spark, sf):
+    from sitehex.operators.layers import competitors
+
+    root = new_folder(spark, "places")
+    grown = W.stored(spark, sf, "places").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(40))))
+    places = grown.withColumn("name", F.sha2(F.concat("name", "copy"), 256)).drop("copy")  # so that row groups fill up
+    write_places(places, root, 6, row_group_bytes=1 << 16)
+    back = spark.read.parquet(root)
+    berlin = back.where("city = 'berlin'")
+    lo, hi = berlin.agg(F.min("lon"), F.min("lat")).first(), berlin.agg(F.max("lon"), F.max("lat")).first()
+    box = (lo[0], lo[0] + (hi[0] - lo[0]) / 5, lo[1], lo[1] + (hi[1] - lo[1]) / 5)
+    categories = [r.category for r in back.select("category").distinct().collect()]
+    inside = competitors(back, categories, scoring.CITIES[:1], box)
+    assert 0 < inside.count() == competitors(places, categories, scoring.CITIES[:1], box).count()
+    assert rows_read(inside) < berlin.count() / 2
+
+
+def test_reverse_lookup_skips_row_groups(spark, sf):
+    """Scattered ids, as real cell ids are next to each other on the map: minima and maxima leave nothing out."""
+    from sitehex.operators.catchment import reverse_reach, reverse_reach_of
+    from sitehex.sources.layout import LAYOUTS, laid_out, writer
+
+    layout = LAYOUTS["isochrone_cells"]
+    reach = W.stored(spark, sf, "isochrone_cells").withColumn("reachable_h3_9", F.xxhash64("reachable_h3_9"))
+    ranges = laid_out(reach, layout, 24)
+    with_filters, without = new_folder(spark, "reach"), new_folder(spark, "reach")
+    for out, path in ((writer(ranges, layout), with_filters), (ranges.write.partitionBy("city"), without)):
+        out.option("parquet.enable.dictionary", "false").parquet(path)
+    back = spark.read.parquet(with_filters)
+    berlin = back.where("city = 'berlin'")
+    cells = [r.reachable_h3_9 for r in berlin.where("minutes = 10").select("reachable_h3_9").distinct().orderBy(F.abs("reachable_h3_9")).limit(2).collect()]
+    found = reverse_reach_of(back, "berlin", cells)
+    targets = spark.createDataFrame([("berlin", c) for c in cells], "city string, reachable_h3_9 bigint")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, reverse_reach(targets, reach).collect()))
+    assert 0 < rows_read(found) < berlin.count() / 2
+    assert rows_read(reverse_reach_of(spark.read.parquet(without), "berlin", cells)) > 1.5 * rows_read(found)
+    # An id that no walk reaches opens no row group, and twelve of them do not turn into a range.
+    assert rows_read(reverse_reach_of(back, "berlin", range(1, 13))) == 0
+
+
 def test_known_origins_are_read_by_key(spark, sf):
     from sitehex.operators.catchment import at_origins
 
