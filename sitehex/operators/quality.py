@@ -59,6 +59,11 @@ def _result(df: DataFrame, name: str, value: Column, passed: Column, scope: str
     )
 
 
+def as_result(df: DataFrame, name: str, value: str) -> DataFrame:
+    """A measurement per city with its ``passed``, in the form of the other checks."""
+    return _result(df, name, F.col(value), F.col("passed"))
+
+
 def _none(df: DataFrame, name: str, bad: str = "bad", scope: str = "city") -> DataFrame:
     return _result(df, name, F.col(bad), F.col(bad) == 0, scope)
 

@@ -438,19 +438,23 @@ def layer_documents(spark, sf):
 
 @query(
     "layer_emit",
-    "select layer, case when bytes<=4096 then 'inline' else 'handle' end as route, features, bytes, rev, "
-    "case when bytes<=4096 then body end as body, case when bytes>4096 then features end as stored from "
+    "select layer, case when bytes<=4096 then 'inline' else 'handle' end as route, features, bytes, content, "
+    "case when bytes<=4096 then body end as body, case when bytes>4096 then features end as stored, case when bytes>4096 then lines end as lines from "
     "(select layer, count(*) as features, cast(sum(strlen(f))+count(*)-1+42 as bigint) as bytes, "
-    "cast(sum(cast('0x'||substr(md5(f),1,8) as bigint)) as bigint) as rev, "
+    "cast(sum(cast('0x'||substr(md5(f),1,8) as bigint)) as bigint) as content, "
+    "cast(sum(cast('0x'||substr(md5(pos||':'||f),1,8) as bigint)) as bigint) as lines, "
     "'{\"type\":\"FeatureCollection\",\"features\":['||string_agg(f, ',' order by id)||']}' as body from "
-    f"(select city||'/'||category as layer, id, {_feature} as f from places) group by layer)",
+    f"(select *, row_number() over (partition by layer order by id, f)-1 as pos from (select city||'/'||category as layer, id, {_feature} as f from places)) group by layer)",
 )
 def layer_emit(spark, sf):
-    """Every layer at a small budget: its document, or the features found behind its handle."""
+    """Every layer at a small budget: its document, or the features found behind its handle and their order."""
     root = new_folder(spark, "layers")
     emitted = cut_lineage(layer_store.emit_layers(_layer_features(spark, sf), "id", root, budget=4096))
-    stored = spark.read.schema(layer_store.LAYER_SCHEMA).parquet(root).groupBy("handle").agg(F.count("*").alias("stored"))
-    return emitted.join(stored, "handle", "left").select("layer", "route", "features", "bytes", "rev", "body", "stored")
+    line = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("at").cast("string"), "feature")), 1, 8), 16, 10).cast("bigint")
+    stored = spark.read.schema(layer_store.LAYER_SCHEMA).parquet(root).groupBy("handle").agg(
+        F.count("*").alias("stored"), F.sum(line).alias("lines")  # changes with the place of any line
+    )
+    return emitted.join(stored, "handle", "left").select("layer", "route", "features", "bytes", "content", "body", "stored", "lines")
 
 
 @query(

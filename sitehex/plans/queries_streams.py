@@ -11,7 +11,8 @@ from sitehex.plans import refresh as RF
 from sitehex.plans import surrogates as S
 from sitehex.plans import warehouse as W
 from sitehex.plans.registry import ORACLES, query
-from sitehex.sources.publish import CheckFailed, path_exists
+from sitehex.sources import versions
+from sitehex.sources.publish import CheckFailed
 from sitehex.streaming import rollups, updates
 
 
@@ -151,7 +152,7 @@ def refresh_chain(spark, sf):
     )
     RF.refresh(spark, raw, root, floors=RF.NO_FLOORS, buildings=W.stored(spark, sf, "buildings"))
     parts = [
-        spark.read.parquet(f"{root}/{t}").groupBy(F.col(by).alias("part")).agg(F.count("*").alias("rows")).select(
+        versions.open_table(spark, root, t).groupBy(F.col(by).alias("part")).agg(F.count("*").alias("rows")).select(
             F.lit(t).alias("table_name"), "part", "rows"
         )
         for t, by in (
@@ -180,9 +181,12 @@ def refresh_reach(spark, sf):
     """
     root = new_folder(spark, "warehouse")
     contours = S.raw_contours(spark, sf).where(~S.two_lobes())
-    RF.refresh(spark, RF.RawInputs(contours=contours, edges=S.raw_edges(spark, sf)), root)
+    people = S.raw_population(spark, sf)
+    raw = RF.RawInputs(population=people, contours=contours, edges=S.raw_edges(spark, sf))
+    # The test contours start from about one candidate in eight.
+    RF.refresh(spark, raw, root, floors=RF.NO_FLOORS, max_skipped=0.9)
     parts = [
-        spark.read.parquet(f"{root}/{t}").groupBy(F.col("city").alias("part")).agg(F.count("*").alias("rows")).select(
+        versions.open_table(spark, root, t).groupBy(F.col("city").alias("part")).agg(F.count("*").alias("rows")).select(
             F.lit(t).alias("table_name"), "part", "rows"
         )
         for t in ("isochrones", "isochrone_cells", "isochrone_edges")
@@ -202,7 +206,7 @@ def refresh_reach_refused(spark, sf):
     except CheckFailed as refused:
         failures = refused.failures
     rows = [("beyond the ceiling", f.scope, int(f.value)) for f in failures if f.check == "no reach beyond the hard ceiling"]
-    rows += [("published", t, int(path_exists(spark, f"{root}/{t}"))) for t in ("isochrones", "isochrone_cells")]
+    rows += [("published", t, int(versions.is_published(spark, root, t))) for t in ("isochrones", "isochrone_cells")]
     return spark.createDataFrame(rows, "what string, part string, rows bigint")
 
 
@@ -221,7 +225,7 @@ def refresh_raw(spark, sf):
     root = new_folder(spark, "warehouse")
     raw = RF.RawInputs(buildings=S.raw_buildings(spark, sf), history=S.raw_history(spark, sf))
     RF.refresh(spark, raw, root, floors=_FLOORS)
-    loaded = {r.city: r["count"] for r in spark.read.parquet(f"{root}/buildings").groupBy("city").count().collect()}
+    loaded = {r.city: r["count"] for r in versions.open_table(spark, root, "buildings").groupBy("city").count().collect()}
     above = {**_FLOORS, "buildings": {city: n + 1 for city, n in loaded.items()}}
     refused = []
     try:
@@ -230,6 +234,6 @@ def refresh_raw(spark, sf):
         refused = [("refused", f.scope, int(f.value)) for f in e.failures]
     out = spark.createDataFrame(refused, "table_name string, part string, rows bigint")
     for t in ("buildings", "cell_capacity", "poi_history", "category_momentum"):
-        counted = spark.read.parquet(f"{root}/{t}").groupBy(F.col("city").alias("part")).agg(F.count("*").alias("rows"))
+        counted = versions.open_table(spark, root, t).groupBy(F.col("city").alias("part")).agg(F.count("*").alias("rows"))
         out = out.unionAll(counted.select(F.lit(t).alias("table_name"), "part", "rows"))
     return out

@@ -38,11 +38,7 @@ class Tables:
     @classmethod
     def read(cls, spark: SparkSession, root: str) -> "Tables":
         """Open a warehouse written by ``sitehex.plans.refresh`` (missing tables stay ``None``)."""
-        from sitehex.sources.publish import path_exists
-
-        found = {}
-        for name in cls.__dataclass_fields__:
-            path = f"{root.rstrip('/')}/{name}"
-            if path_exists(spark, path):
-                found[name] = spark.read.parquet(path)
-        return cls(**found)
+        from sitehex.sources.versions import open_table, pointer
+
+        published = pointer(spark, root)[1]
+        return cls(**{name: open_table(spark, root, name) for name in cls.__dataclass_fields__ if name in published})

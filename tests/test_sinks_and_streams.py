@@ -9,7 +9,7 @@ from sitehex.operators.atscale import new_folder
 from sitehex.plans import refresh as RF
 from sitehex.plans import surrogates as S
 from sitehex.plans import warehouse as W
-from sitehex.sources import layer_store, publish, saved
+from sitehex.sources import layer_store, publish, saved, versions
 from sitehex.sources.demand import capacity_rollup
 from sitehex.sources.history import ingest_history
 from sitehex.sources.reach import ingest_contours, ingest_edges
@@ -212,6 +212,67 @@ def test_every_layer_is_emitted(spark):
     assert [r.feature for r in layer_store.read_layer(spark, root, got["a"].handle).collect()] == ["é" * 10]
 
 
+def test_stored_layers_keep_their_order(spark):
+    root, text = new_folder(spark, "layers"), new_folder(spark, "text")
+    df = spark.range(3000).select(
+        F.concat(F.lit("l"), F.col("id") % 3).alias("layer"), F.pmod(F.xxhash64("id"), F.lit(500)).alias("k"), F.concat(F.lit("f"), "id").alias("feature")
+    ).repartition(5)
+    twice = [layer_store.emit_layers(df, "k", root, 100).collect() for _ in range(2)]
+    want = {}
+    for r in sorted(df.collect(), key=lambda r: (r.k, r.feature)):
+        want.setdefault(r.layer, []).append(r.feature)
+    for emitted in twice:
+        for r in emitted:
+            assert [f.feature for f in layer_store.read_layer(spark, root, r.handle).collect()] == want[r.layer]
+    first, second = ({r.layer: r for r in emitted} for emitted in twice)
+    for layer in want:
+        assert first[layer].rev != second[layer].rev and first[layer].content == second[layer].content
+    # No folder for each handle; rows of other handles are not read back.
+    assert {name.split("=")[0] for name in publish.list_folders(spark, root)} == {"created_hour"}
+    one = df.where("layer = 'l0'")
+    layer_store.write_lines(one, "k", text)
+    lines = spark.read.text(text).select("value", "_metadata.file_name", F.monotonically_increasing_id().alias("n")).collect()
+    assert [r.value for r in sorted(lines, key=lambda r: (r.file_name, r.n))] == want["l0"]
+    given = spark.createDataFrame([("b",), ("a",), ("c",)], "feature string").coalesce(1)
+    assert [r.feature for r in layer_store.read_layer(spark, root, layer_store.write_layer(given, root)).collect()] == ["b", "a", "c"]
+
+
+def test_switch_shows_all_loads_or_none(spark):
+    root = new_folder(spark, "warehouse")
+    cells = "city string, h3_8 bigint, floor_area_m2 double, buildings bigint"
+
+    def load(table, rows, keys=("a", "b"), checks=()):
+        return versions.stage(spark.createDataFrame(rows, cells), root, table, keys, checks)
+
+    def seen(table):
+        return rows(versions.open_table(spark, root, table).select("city", "h3_8"))
+
+    first = [load("buildings", [("a", 1, 1.0, 1), ("b", 2, 1.0, 1), ("c", 3, 1.0, 1)]), load("cell_capacity", [("a", 1, 1.0, 1)])]
+    assert not versions.is_published(spark, root, "buildings") and first[0].rows == 2
+    assert versions.switch(spark, root, first) == 1
+    assert seen("buildings") == [("a", 1), ("b", 2)] and seen("cell_capacity") == [("a", 1)]
+    # The second of two loads is refused: both tables stay as they are.
+    held = versions.open_table(spark, root, "buildings")
+    newer = load("buildings", [("a", 7, 1.0, 1)], ["a"])
+    with pytest.raises(publish.CheckFailed):
+        load("cell_capacity", [("a", 7, 1.0, 1)], ["a"], [lambda staged: qc.row_floor(staged, "city", 2, ["a"], "t")])
+    assert seen("buildings") == [("a", 1), ("b", 2)] and seen("cell_capacity") == [("a", 1)]
+    # A key is replaced, an emptied one is gone, the others stay; who reads already goes on with what it opened.
+    emptied = load("buildings", [], ["b"])
+    assert versions.switch(spark, root, [newer, emptied]) == 2
+    assert seen("buildings") == [("a", 7)] and rows(held.select("city", "h3_8")) == [("a", 1), ("b", 2)]
+    # A pointer that its writer did not finish is passed over.
+    broken = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/published/000000003.json")
+    broken.getFileSystem(spark._jsc.hadoopConfiguration()).create(broken).close()
+    assert versions.pointer(spark, root)[0] == 2 and seen("buildings") == [("a", 7)]
+    assert versions.switch(spark, root, [load("buildings", [("b", 8, 1.0, 1)], ["b"])]) == 4
+    assert seen("buildings") == [("a", 7), ("b", 8)]
+    assert versions.sweep(spark, root, 1) and seen("buildings") == [("a", 7), ("b", 8)] and seen("cell_capacity") == [("a", 1)]
+    last = load("buildings", [], ["a", "b"])
+    versions.switch(spark, root, [last])
+    assert seen("buildings") == []
+
+
 def test_refresh_writes_a_readable_warehouse(spark, sf):
     root = new_folder(spark, "warehouse")
     raw = RF.RawInputs(

@@ -9,7 +9,7 @@ from sitehex.operators.ranking import RankRequest
 from sitehex.plans import refresh as RF
 from sitehex.plans import surrogates as S
 from sitehex.plans import warehouse as W
-from sitehex.sources import publish
+from sitehex.sources import publish, versions
 
 
 @pytest.fixture(scope="module")
@@ -74,9 +74,10 @@ def test_reach_load_publishes_both_or_neither(spark, sf):
     raw = S.raw_contours(spark, sf).where(~S.two_lobes())
     done = RF.refresh(spark, RF.RawInputs(contours=raw, edges=S.raw_edges(spark, sf)), root)
     assert done["isochrones"] > 0 and done["isochrone_cells"] > done["isochrones"]
-    assert done["isochrone_edges"] == spark.read.parquet(f"{root}/isochrone_edges").count()
+    assert done["isochrone_edges"] == versions.open_table(spark, root, "isochrone_edges").count()
     bad = new_folder(spark, "warehouse")
     with pytest.raises(publish.CheckFailed):
         RF.refresh(spark, RF.RawInputs(contours=S.raw_contours(spark, sf)), bad)
-    assert not publish.path_exists(spark, f"{bad}/isochrones")
-    assert not publish.path_exists(spark, f"{bad}/isochrone_cells")
+    assert not versions.is_published(spark, bad, "isochrones")
+    assert not versions.is_published(spark, bad, "isochrone_cells")
+    assert versions.sweep(spark, bad) == []  # nothing was left behind
