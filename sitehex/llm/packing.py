@@ -13,11 +13,12 @@ are encoded once per task. Extra input columns are ignored; an empty table gives
 
 from __future__ import annotations
 
-import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ from sitehex.llm.common import batch
 
 LONGEST = 4096
 END_ID = 2
+BYTES_AT_ONCE = 6_000_000
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary"
 
 
@@ -47,17 +49,33 @@ def cut(tokens: int, longest: int) -> list[tuple[int, int]]:
     return out
 
 
+def slices(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``BYTES_AT_ONCE`` of text together; a longer text stands alone."""
+    sizes = np.nan_to_num(pc.binary_length(rows.column(1)).cast(pa.float64()).to_numpy(zero_copy_only=False))
+    part = np.cumsum(sizes) // BYTES_AT_ONCE
+    bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), rows.num_rows]
+    for begin, end in zip(bounds, bounds[1:]):
+        if begin < end:
+            yield rows.slice(begin, end - begin)
+
+
+def split(text: str) -> list[str]:
+    return text.replace("\n", " ").split(" ")
+
+
 class Chunks(dict):
     """Chunk of text to its ids as little-endian unsigned 32-bit numbers, kept up to a bound.
 
+    What is full becomes the older half, from which what is met again is taken over: frequent chunks stay.
+
     A chunk of Latin letters, perhaps with signs behind them, is one word and one run of signs to the
     tokenizer. The word is handed to its model directly, without the normaliser and splitter, which
     take most of the time; whether that gives the tokenizer's own ids is tried on ``PROBES`` first.
     """
 
     BOUND = 400_000
-    LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
-    PLAIN = re.compile(rf"([{LATIN}]+)([!-/:-@\[-`{{-~]*)").fullmatch
+    LATIN = "".join(chr(i) for r in ((65, 90), (97, 122), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0xFF)) for i in range(r[0], r[1] + 1))
+    SIGNS = "".join(chr(i) for r in ((33, 47), (58, 64), (91, 96), (123, 126)) for i in range(r[0], r[1] + 1))
     PROBES = ("a", "I", "then", "Then,", "zebra.", "qqxyzv", "STONE###", "Über", "éêre,", "ñbo$$$", "STÖß&&&.", "anonthreingtion,", "ÿç.")
 
     def __init__(self, tokenizer: str | None) -> None:
@@ -65,28 +83,21 @@ class Chunks(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer or default_tokenizer())
+        self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         splitter = self.tokenizer.pre_tokenizer
-        letters = [chr(i) for i in range(128, 256) if re.match(f"[{self.LATIN}]", chr(i))]
+        letters = [c for c in self.LATIN if not c.isascii()]
         shown = {c: splitter.pre_tokenize_str(c) if splitter else [] for c in letters}
         self.table = {ord(c): parts[0][0] for c, parts in shown.items() if len(parts) == 1}
-        self.direct = all(self._plain(*self.PLAIN(p).groups()) == self._whole(p) for p in self.PROBES)
+        self.direct = True
+        self.learn(set(self.PROBES))
+        self.direct = all(self[p] == self._whole(p) for p in self.PROBES)
+        self.clear()
 
     def _whole(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _plain(self, letters: str, signs: str) -> bytes:
-        letters = letters.lower()
-        ids = self.words.get(letters)
-        if ids is None:
-            shown = letters if letters.isascii() else letters.translate(self.table)
-            ids = self.words[letters] = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
-        if not signs:
-            return ids
-        if signs not in self.marks:
-            self.marks[signs] = self._whole(signs)
-        return ids + self.marks[signs]
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         out = self[chunk] = self._whole(chunk)
@@ -94,26 +105,47 @@ class Chunks(dict):
 
     def learn(self, chunks: set[str]) -> None:
         """Encode unknown chunks together, which is faster than one by one."""
-        if len(self) > self.BOUND:
+        if len(self) > self.BOUND // 2:
+            self.older = dict(self)
             self.clear()
-        if len(self.words) > self.BOUND // 2:
-            self.words.clear()
+        if len(self.words) > self.BOUND // 4:
+            self.older_words, self.words = self.words, {}
         if len(self.marks) > self.BOUND // 8:
             self.marks.clear()
+        older, words, older_words, marks = self.older, self.words, self.older_words, self.marks
+        model, table, latin, signs = self.tokenizer.model, self.table, self.LATIN, self.SIGNS
         rest = []
-        for c in chunks:
-            if c in self:
+        for c in chunks.difference(self):
+            known = older.get(c)
+            if known is not None:
+                self[c] = known
                 continue
-            found = self.PLAIN(c) if self.direct else None
-            if found:
-                self[c] = self._plain(found[1], found[2])
-            else:
+            word = c.rstrip(signs) if self.direct else ""
+            if not word or word.strip(latin):
                 rest.append(c)
+                continue
+            low = word.lower()
+            ids = words.get(low)
+            if ids is None:
+                ids = older_words.get(low)
+                if ids is None:
+                    shown = low if low.isascii() else low.translate(table)
+                    ids = array("I", [t.id for t in model.tokenize(shown)]).tobytes()
+                words[low] = ids
+            if len(word) < len(c):
+                mark = c[len(word) :]
+                if mark not in marks:
+                    marks[mark] = self._whole(mark)
+                ids += marks[mark]
+            self[c] = ids
         for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self[c] = np.array(e.ids, "<u4").tobytes()
+            self[c] = array("I", e.ids).tobytes()
+
+    def encode_words(self, words: list[str]) -> bytes:
+        return b"".join(map(self.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return self.encode_words(split(text))
 
 
 def pack(documents: DataFrame, longest: int = LONGEST, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
@@ -130,13 +162,12 @@ def pack(documents: DataFrame, longest: int = LONGEST, end_id: int = END_ID, tok
         chunks = Chunks(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                several = [t or "" for t in b.column(1).to_pylist()]
-                chunks.learn({c for t in several for c in t.replace("\n", " ").split(" ")})
+            for b in slices(whole):
+                several = [split(t or "") for t in b.column(1).to_pylist()]
+                chunks.learn(set().union(*several))
                 rows = []
-                for d, t in zip(b.column(0).to_pylist(), several):
-                    ids = chunks.encode(t) + end
+                for d, words in zip(b.column(0).to_pylist(), several):
+                    ids = chunks.encode_words(words) + end
                     n = len(ids) // 4
                     rows += [(d, s, k, n, ids[4 * s : 4 * (s + k)]) for s, k in cut(n, longest)]
                 doc, start, length, total, ids = zip(*rows)
