@@ -102,12 +102,13 @@ def _writes(events):
 @query("stream_layer_updates",
        f"select session, layer, rev, label, row_count, route from {_WRITES} qualify row_number() over (partition by session, layer order by seq desc)=1")
 def stream_layer_updates(spark, sf):
-    """The same layer id replaces its content; the newest write per layer remains."""
-    out, ck = new_folder(spark, "layers"), new_folder(spark, "progress")
-    stream = _writes(stream_table(spark, sf, "events"))
-    updates.upsert_parts(stream, ["session", "layer"], "seq", out, ck).awaitTermination()
-    merged = sv.latest_versions(spark.read.parquet(out).drop("batch_id"), ["session", "layer"], "seq")
-    return merged.select("session", "layer", "rev", "label", "row_count", "route")
+    """The same layer id replaces its content, over several batches in which older writes follow newer ones."""
+    inbox, out, ck = new_folder(spark, "incoming"), new_folder(spark, "layers"), new_folder(spark, "progress")
+    writes = _writes(S.read(spark, sf, "events"))
+    writes.repartition(3, "seq").write.parquet(inbox)
+    stream = spark.readStream.schema(writes.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    updates.maintain_layers(stream, out, ck).awaitTermination()
+    return updates.current_layers(spark, out).drop("writes")
 
 
 @query("layer_updates",

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from sitehex.operators.saved import latest_versions
 from sitehex.sources.publish import path_exists
 
 
@@ -41,6 +41,43 @@ def latest_layer_parts(writes: DataFrame) -> DataFrame:
     )
 
 
+LAYER_COLUMNS = ("session", "layer", "rev", "label", "row_count", "route", "writes")
+
+
+def maintain_layers(source: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the newest write of every layer, with one row of state for each layer.
+
+    A micro-batch emits the layers that it touched as they stand now, so a write that comes late, behind one with a higher
+    ``seq``, counts but replaces nothing. A batch owns its part and overwrites it when replayed.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (
+            batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch_id")
+            .parquet(path)
+        )
+
+    with rocksdb(source.sparkSession):
+        return (
+            latest_layer_parts(source)
+            .writeStream.outputMode("update")
+            .foreachBatch(write)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+
+
+def current_layers(spark: SparkSession, path: str) -> DataFrame:
+    """The layers as the last batch that touched each of them left it; no write is looked at again."""
+    last = F.max_by(F.struct(*LAYER_COLUMNS[2:]), "batch_id").alias("_w")
+    kept = spark.read.parquet(path).groupBy("session", "layer").agg(last)
+    return kept.select("session", "layer", "_w.*")
+
+
 #: Folders below the table of applied commands, out of sight of its readers.
 INBOX, LEDGER = "_inbox", "_ledger"
 
@@ -50,6 +87,19 @@ ROCKSDB = {
 }
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, on disk and saved as changes; it may outgrow memory."""
+    before = {name: spark.conf.get(name, None) for name in ROCKSDB}
+    for name, value in ROCKSDB.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def once_per_command(commands: DataFrame, key: str = "command_id") -> DataFrame:
     """Commands, each id once: of a batch, or of all that a stream ever delivers."""
     return commands.dropDuplicates([key])
@@ -96,10 +146,7 @@ def settle_commands(spark: SparkSession, path: str, schema: StructType, key: str
         .option("ignoreMissingFiles", True)  # a part that was broken off is written anew under other names
         .parquet(f"{root}/{INBOX}/part=*")
     )
-    before = {name: spark.conf.get(name, None) for name in ROCKSDB}
-    for name, value in ROCKSDB.items():
-        spark.conf.set(name, value)
-    try:
+    with rocksdb(spark):
         return (
             once_per_command(inbox, key)
             .writeStream.foreachBatch(write)
@@ -107,9 +154,6 @@ def settle_commands(spark: SparkSession, path: str, schema: StructType, key: str
             .trigger(availableNow=True)
             .start()
         )
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def apply_commands_once(source: DataFrame, path: str, checkpoint: str, key: str = "command_id") -> StreamingQuery:
@@ -130,24 +174,3 @@ def apply_commands_once(source: DataFrame, path: str, checkpoint: str, key: str
         .trigger(availableNow=True)
         .start()
     )
-
-
-def upsert_parts(source: DataFrame, keys: Sequence[str], version: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the newest version per key of each micro-batch into its own replaceable part."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        (
-            latest_versions(batch, keys, version)
-            .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(path)
-        )
-
-    return (
-        source.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )

@@ -171,6 +171,26 @@ def test_commands_apply_once_over_streams_and_crashes(spark):
     assert applied() == list(range(152)) and not publish.path_exists(spark, inbox)
 
 
+def test_late_layer_writes_replace_nothing(spark):
+    src, out, ck = (new_folder(spark, n) for n in ("src", "out", "ck"))
+    schema = "session bigint, layer string, seq bigint, rev string, label string, row_count bigint, route string"
+
+    def send(*writes):
+        data = [(1, layer, seq, f"r{seq}", "top", seq, "inline") for layer, seq in writes]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        query = updates.maintain_layers(stream, out, ck)
+        query.awaitTermination()
+        return query
+
+    send(("a", 5), ("b", 1))
+    send(("a", 3), ("c", 2))  # late for a
+    last = send(("b", 4), ("b", 2))
+    got = {r.layer: (r.rev, r.writes) for r in updates.current_layers(spark, out).collect()}
+    assert got == {"a": ("r5", 2), "b": ("r4", 3), "c": ("r2", 1)}
+    assert last.lastProgress.stateOperators[0].numRowsTotal == 3  # one row for each layer
+
+
 def test_ledger_looks_ids_up_instead_of_reading_them(spark):
     """What a batch reads does not grow with what was applied before it."""
     out = new_folder(spark, "out")
