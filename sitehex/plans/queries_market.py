@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sitehex.cities import CITIES
 from sitehex.functions import geometry as geo
+from sitehex.functions.grid import CORNERS
 from sitehex.functions.text import place_name
 from sitehex.operators import affinity as aff
 from sitehex.operators import catchment as cat
@@ -337,7 +338,23 @@ def capacity_rows(spark, sf):
     return layers.capacity_rows(W.stored(spark, sf, "cell_capacity"))
 
 
-@query("capacity_features")
+def _outline(q: str, r: str) -> str:
+    """SQL text of a base cell's closed ring, corner by corner; needs the city's lon0, lat0 and mx."""
+    points = []
+    for dq, dr in (*CORNERS, CORNERS[0]):
+        qf, rf = f"({q}+{d(dq / 3.0)})", f"({r}+{d(dr / 3.0)})"
+        lon = f"lon0+{d(531.0)}*({d(1.7320508075688772)}*{qf}+{d(0.8660254037844386)}*{rf})/mx"
+        lat = f"lat0+{d(531.0)}*{d(1.5)}*{rf}/{d(111194.9)}"
+        points.append(f"'['||round_even({lon},5)||','||round_even({lat},5)||']'")
+    return "'[['||" + "||','||".join(points) + "||']]'"
+
+
+@query("capacity_features",
+       "select city, cell, '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Polygon\",\"coordinates\":'||"
+       f"{_outline('q', 'r')}"
+       "||'},\"properties\":{\"floor\":'||floor||',\"buildings\":'||buildings||'}}' as feature from "
+       "(select t.city, t.h3_8 as cell, cast(round_even(floor_area_m2,0) as bigint) as floor, buildings, c.lon0, c.lat0, c.mx, "
+       f"{q_of('h3_8')} as q, {r_of('h3_8')} as r from cell_capacity t join cities c on c.city=t.city)")
 def capacity_features(spark, sf):
     return layers.capacity_layer(W.stored(spark, sf, "cell_capacity"))
 
