@@ -201,7 +201,8 @@ def check_score_identity(spark, sf):
     return qc.score_identity(_surface(spark, sf))
 
 
-@query("check_display_rounding")
+@query("check_display_rounding",
+       _sql("display rounding", "select city, max(abs(floor(gap*10+0.5)/10-round_even(gap,1))) as diff from scored_food group by city", "diff", "diff<=0.1+1e-9"))
 def check_display_rounding(spark, sf):
     return qc.display_identity(_surface(spark, sf))
 
@@ -268,7 +269,15 @@ def check_same_request_same_rows(spark, sf):
     return qc.same_rows(first, second)
 
 
-@query("check_refused_when_shifted")
+_mlon, _mlat = centre("(oq+5)", "orr", 9, "")
+_MOVED = f"(select *, {geo_distance('mlon', 'mlat', 'rlon', 'rlat')} as dist from (select *, {_rlon} as rlon, {_rlat} as rlat, {_mlon} as mlon, {_mlat} as mlat from reach))"
+
+
+@query("check_refused_when_shifted",
+       _sql("origin lies in its own 15-minute reach",
+            f"select city, count(*) filter (where not own) as bad from (select city, origin_h3_9, bool_or(origin_h3_9+5*{1 << 26}=reachable_h3_9) as own from reach where minutes=15 group by 1,2) group by city", "bad", "bad=0")
+       + " union all " + _sql("no reach beyond the hard ceiling",
+            f"select city, count(*) filter (where dist > case minutes when 5 then 800 when 10 then 1600 else 2400 end) as bad from {_MOVED} group by city", "bad", "bad=0"))
 def check_refused_when_shifted(spark, sf):
     """The same checks on a load whose origins are moved: they must report failures."""
     from sitehex.functions import grid as G
