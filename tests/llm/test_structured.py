@@ -1,8 +1,10 @@
 """HTML extraction, decontamination, packing, sharding, chat formatting, the Jaccard join and the pipeline."""
 
 import html
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -72,6 +74,63 @@ def test_site_tree_without_article(spark):
     assert [r.text for r in got] == [f"Title {i}\n\nText {i}\n\nMore {i}\n\nitem {i}" for i in range(12)]
 
 
+def test_site_tree_has_no_least_number_of_pages(spark):
+    """The more pages share a branch, the less it is believed in; nothing turns at a count of its own."""
+    rows = [(h * 100 + i, f"http://h{h}.example/{i}", BARE.format(n=i)) for h in range(2, 9) for i in range(h)]
+    tree = html_text.site_tree(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    shared = tree.groupBy("site").agg(F.min("belief").alias("b"), F.min("importance").alias("i")).orderBy("site").collect()
+    assert [round(r.b, 9) for r in shared] == [round(1.5 / (h + 1.5), 9) for h in range(2, 9)]
+    assert all(abs(r.i) < 1e-12 for r in shared)
+
+
+def test_site_tree_against_brute_force(spark, sf):
+    """Entropies, shrinkage and the branches' maxima again, page by page in plain Python."""
+    rows = [(r.url, r.html) for r in read(spark, sf, "pages").collect() if r.html]
+    rows += [(f"http://bare.example/{i}", BARE.format(n=i // 2)) for i in range(9)] + [("http://one.example", PAGE.format(n=1))]
+    seen, kinds = {}, {}
+    for url, source in rows:
+        for path, shape, text, kind in html_text.Page(source).nodes():
+            key = (html_text.host_of(url), path)
+            seen.setdefault(key, []).append((shape, text))
+            kinds[key] = kind
+    beliefs, ends = {}, {}
+    for (site, path), found in seen.items():
+        m = len(found)
+        log_m = max(math.log(m), 1e-9)
+        shapes, said = Counter(x for x, _ in found), Counter(x for _, x in found if x)
+        look = 1 - sum(k * math.log(k) for k in shapes.values()) / (m * log_m)
+        content = 1 - sum(math.log(k) for k in said.values()) / len(said) / log_m if said else 0
+        own = (m * max(look, content) + 1.5 * (kinds[site, path] != html_text.DOUBTFUL)) / (m + 1.5)
+        ends[site, path[-1]] = m, kinds[site, path]
+        for node in path:
+            beliefs[site, node] = max(own, beliefs.get((site, node), -1))
+    tree = html_text.site_tree(spark.createDataFrame(rows, "url string, html string")).collect()
+    assert {(r.site, r.node): (r.pages, r.kind, round(r.belief, 9)) for r in tree} == {
+        k: (*ends[k], round(b, 9)) for k, b in beliefs.items()
+    }
+
+
+NAMED = """<div class="page has-sidebar" id="content-and-comments"><article><div class="post-header"><h1>Title {n}</h1></div>
+<div class="header"><p>By author {n}</p></div><div class="masthead">The Daily</div><p title="the hidden gem">Gem {n}</p>
+<p data-id="ad-7" data-role="alert">Data {n}</p><p class="social-history">Social {n}</p><div class="ad-box-2">Buy {n}</div>
+<p hidden>No {n}</p><section class="comment-list"><p>Nice {n}</p></section></article><div class="site-footer">Foot {n}</div></div>"""
+
+
+@pytest.mark.parametrize("count", [1, 12])
+def test_names_are_read_whole_and_doubtful_ones_left_to_entropy(spark, count):
+    got = html_text.main_text(page_rows(spark, [NAMED.format(n=i) for i in range(count)])).orderBy("page_id").collect()
+    for i, r in enumerate(got):
+        blocks = [f"Title {i}", f"By author {i}", "The Daily", f"Gem {i}", f"Data {i}", f"Social {i}"]
+        assert r.text == "\n\n".join(b for b in blocks if count == 1 or b != "The Daily")
+
+
+@pytest.mark.parametrize("part", ['<p title="', "<b>x</i>", "<b><h1>", "<!", "<a", "<p><button><h1>", "<i><div><b>x</i>"])
+def test_broken_markup_is_read_in_linear_time(part):
+    start = time.process_time()
+    html_text.Page(part * (400_000 // len(part))).nodes()
+    assert time.process_time() - start < 15
+
+
 def test_pages_awkward_rows(spark):
     sources = [None, "", "just text", "<p>open <b>never closed", "<article>a<article>b", "<", "<a href='", "x<!--", "<script>x", "</p></div>t"]
     sources += ["<div>" * 2000 + "deep" + "</div>" * 2000, "<p>" + LONG + "</p>"]
@@ -336,6 +395,17 @@ def test_groups_awkward_rows(spark):
     assert {r.row_id for r in kept.collect()} == {"own row_id"}
 
 
+def test_one_row_of_every_group_stays(spark):
+    other = PROSE + " and the dog"
+    texts = [(7, PROSE, "en", "a", 1)] * 50 + [(7, other, "en", "b", 2)] * 3 + [(9, PROSE, "en", "c", 3)]
+    no_id = " ".join(f"plain{i}" for i in range(60))
+    texts += [(None, no_id + x, None, None, 4) for x in ("", "", " more", " less")] + [(3, "", "en", None, 0)] * 2
+    kept = ngram_join.keep_one_per_group(with_clashes(documents(spark, texts))).collect()
+    assert Counter(r.doc_id for r in kept) == {7: 1, None: 1, 3: 2}
+    assert all(r.row_id == "own row_id" for r in kept)
+    assert ngram_join.keep_one_per_group(documents(spark, [])).collect() == []
+
+
 def test_bitmaps_bound_the_difference():
     r = np.random.default_rng(5)
     for n, m, common in ((50, 60, 40), (500, 300, 250), (9000, 8000, 7000), (3, 90, 1)):
