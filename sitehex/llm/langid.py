@@ -3,6 +3,8 @@
 A word seen in training is scored by its log frequency in each language. An unseen word falls back
 to the longest n-grams of it that training knows. The evidence of all words of a text is added up.
 
+Labelled rows and words are bounded language by language, so that a language is known however rare it is beside others.
+
 Cases: null text, empty text and text without a letter get ``und`` and score 0. Rows without a
 language are never learned from. With nothing to learn from every text is ``und``. Repeated rows
 are scored alike. The text is read whole, whatever its length. Extra input columns are ignored.
@@ -11,21 +13,22 @@ are scored alike. The text is read whole, whatever its length. Extra input colum
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitehex.llm.common import Ids, batch, hash_share, texts
+from sitehex.llm.common import Ids, batch, texts
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters alone: fractions, circled digits and Roman numeral signs are none.
+WORD = regex.compile(r"\p{L}+")
 
-#: Bound on the labelled rows a model is fitted on, on its words and on the n-grams of one length.
+#: Bound on the labelled rows a model is fitted on, on its words and on the n-grams of one length, shared among languages.
 SAMPLE_ROWS = 20_000
 MAX_WORDS = 60_000
 MAX_GRAMS = 40_000
@@ -80,8 +83,13 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _table(counts: dict[str, dict[int, float]], languages: int, most: int) -> tuple[list[str], np.ndarray]:
-    """The most frequent terms, and their log frequency in each language less the mean over languages."""
-    kept = sorted(counts.items(), key=lambda kv: (-sum(kv[1].values()), kv[0]))[:most]
+    """The terms that rank highest in any language, and their log frequency in each language less the mean over languages."""
+    rank: dict[str, int] = {}
+    for i in range(languages):
+        own = sorted(((-by[i], term) for term, by in counts.items() if i in by))
+        for k, (_, term) in enumerate(own[:most]):
+            rank[term] = min(k, rank.get(term, k))
+    kept = [(term, counts[term]) for term in sorted(rank, key=lambda t: (rank[t], t))[:most]]
     n = np.zeros((len(kept), languages))
     for k, (_, by) in enumerate(kept):
         for i, c in by.items():
@@ -94,6 +102,27 @@ def _table(counts: dict[str, dict[int, float]], languages: int, most: int) -> tu
     return [term for term, _ in kept], (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
+def _quotas(rows: dict[str, int], most: int) -> dict[str, int]:
+    """Rows to take of every language, ``most`` together: equal shares, and what small languages leave goes to the others."""
+    out, left = {}, most
+    for k, (lang, n) in enumerate(sorted(rows.items(), key=lambda kv: (kv[1], kv[0]))):
+        out[lang] = min(n, max(1, left // (len(rows) - k)))
+        left -= out[lang]
+    return out
+
+
+def _sample(known: DataFrame, rows: dict[str, int], most: int) -> DataFrame:
+    """About ``_quotas`` rows of every language by a hash of the id; of a language that has no more, all."""
+    shares = {lang: n / rows[lang] for lang, n in _quotas(rows, most).items()}
+    if all(s == 1 for s in shares.values()):
+        return known
+    scale = 1 << 30
+    # Four standard deviations more than wanted, so that a quota of a few rows isn't missed by chance.
+    bound = {lang: int(min(1.0, s + 4 * math.sqrt(s / rows[lang])) * scale) for lang, s in shares.items()}
+    limits = F.create_map(*[F.lit(x) for pair in bound.items() for x in pair])
+    return known.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(scale)) < limits[F.col("lang")])
+
+
 def train(
     labelled: DataFrame,
     sample_rows: int = SAMPLE_ROWS,
@@ -103,15 +132,18 @@ def train(
 ) -> LanguageModel:
     """Fit on a hash-picked sample of about ``sample_rows`` rows of ``labelled`` (doc_id, text, lang).
 
-    Counting is a Spark aggregate. Only the most frequent ``max_words`` words of all languages reach
-    the driver; n-gram counts come from those words and their counts.
+    Counting is a Spark aggregate. Of every language only its share of twice ``max_words`` words reaches the driver, the
+    most frequent ones; n-gram counts come from those words and their counts.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sample = hash_share(known, ["doc_id"], sample_rows, known.count(), seed=11).select("text", "lang")
+    labels = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sample = _sample(known, labels, sample_rows).select("text", "lang")
+    each = max(1, 2 * max_words // max(1, len(labels)))
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     counted = (
         sample.mapInArrow(_count_words, "lang string, word string, n bigint")
         .groupBy("word", "lang").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "word", "lang").limit(2 * max_words).collect()
+        .withColumn("place", F.row_number().over(best)).where(F.col("place") <= each).collect()
     )
     languages = sorted({r.lang for r in counted})
     at = {lang: i for i, lang in enumerate(languages)}

@@ -33,6 +33,32 @@ def test_language_backs_off_to_shorter_grams():
     assert np.allclose(model.evidence(["maison", "ö"]), [[-1, 1], [0, 0]])
 
 
+def test_rare_language_beside_a_common_one(spark):
+    """A language whose words are all seen once keeps its place in the sample and in the vocabulary."""
+    r = random.Random(3)
+    word = lambda letters: "".join(r.choices(letters, k=6))
+    common = [word("abcdefgh") for _ in range(300)]
+    texts = [(i, " ".join(r.choices(common, k=30)), "aa", None, 0) for i in range(3980)]
+    texts += [(5000 + i, " ".join(word("zyxwvuts") for _ in range(30)), "zz", None, 0) for i in range(20)]
+    docs = documents(spark, texts)
+    for bounds in ({}, {"sample_rows": 200, "max_words": 100, "max_grams": 60}):
+        model = langid.train(docs, **bounds)
+        assert model.languages == ["aa", "zz"]
+        assert len(model.rows[0]) <= bounds.get("max_words", 60_000)
+        assert all(p.lang_pred == ("aa" if p.doc_id < 5000 else "zz") for p in langid.predict(docs, model).collect())
+
+
+def test_language_quotas():
+    assert langid._quotas({"a": 10**9, "b": 3, "c": 50}, 100) == {"b": 3, "c": 48, "a": 49}
+    assert langid._quotas({"a": 5, "b": 3}, 100) == {"a": 5, "b": 3}
+
+
+def test_signs_that_are_no_letters(spark):
+    docs = documents(spark, [(1, PROSE, "en", None, 0), (2, "½ ① ² Ⅷ 12 _", None, None, 0)])
+    got = {p.doc_id: p.lang_pred for p in langid.predict(docs, langid.train(docs)).collect()}
+    assert got == {1: "en", 2: "und"}
+
+
 def test_language_awkward_rows(spark):
     docs = with_clashes(documents(spark))
     model = langid.train(docs)
