@@ -374,7 +374,7 @@ def _across(holders: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def jaccard_groups(documents: DataFrame, above: int = FREQUENT, most: int = MAX_FREQUENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of the group), text_hash of every row of ``documents`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id (smallest doc_id of the group), text_hash, component of every row of ``documents`` (doc_id, text)."""
     with small_batches(documents.sparkSession):
         return _grouped(documents, above, most)
 
@@ -419,28 +419,41 @@ def _grouped(documents: DataFrame, above: int, most: int) -> DataFrame:
         members = staged(_members(links), "jaccard-members")
     owned = classes.select("sid", "rep").join(members, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     smallest = owned.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = owned.where(F.col("component") != F.col("sid")).join(smallest, "component").select("sid", "component_id")
-    alone = owned.where(F.col("component") == F.col("sid")).join(smallest, "component").select("sid", "component_id")
+    named = owned.where(F.col("component") != F.col("sid")).join(smallest, "component").select("sid", "component_id", "component")
+    alone = owned.where(F.col("component") == F.col("sid")).join(smallest, "component").select("sid", "component_id", "component")
     ids = staged(named.union(alone), "jaccard-groups")
     # What follows is read from tables written above; nothing of it runs in Python.
     told = sets.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
     return told.join(ids, "sid", "left").select(
         "doc_id", "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash",
+        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash", "component",
     )
 
 
 def keep_one_per_group(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` whose id is the smallest of their group, with all their columns.
+    """One row of every group of ``documents``, with all its columns; rows without words are linked with nothing and stay.
 
-    Rows with equal ids and texts stay or go together, and so do those of a group in which no row has an id.
+    It has the smallest id of the group (any id goes before none). Of several texts with that id the one with the
+    smallest hash stays, and of rows that repeat id and text one, whatever their number.
     """
     own = lambda: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
     id_name, hash_name = free_name(documents, "row_id"), free_name(documents, "row_hash")
-    groups = jaccard_groups(documents).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    dropped = staged(groups.select(own().alias(id_name), F.col("text_hash").alias(hash_name)).distinct(), "jaccard-dropped")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    groups = jaccard_groups(documents).select(own().alias(id_name), F.col("text_hash").alias(hash_name), "component", first.alias("first"))
+    counted = staged(groups.groupBy(id_name, hash_name, "component", "first").agg(F.count("*").alias("rows")), "jaccard-counted")
+    firsts = counted.where(F.col("first") & F.col("component").isNotNull())
+    chosen = firsts.groupBy("component").agg(F.min(hash_name).alias("chosen"))
+    others = firsts.join(chosen, "component").where(F.col(hash_name) != F.col("chosen"))
+    key = [id_name, hash_name]
+    dropped = staged(counted.where(~F.col("first")).select(*key).union(others.select(*key)).distinct(), "jaccard-dropped")
+    repeated = staged(firsts.where("rows > 1").select(*key).join(dropped, key, "left_anti"), "jaccard-repeated")
     keyed = documents.withColumns({id_name: own(), hash_name: F.xxhash64("text")})
-    return keyed.join(dropped, [id_name, hash_name], "left_anti").select(*documents.columns)
+    kept = keyed.join(dropped.union(repeated), key, "left_anti").select(*documents.columns)
+    if repeated.isEmpty():
+        return kept
+    row = F.struct(*[F.col(c) for c in documents.columns])
+    once = keyed.join(repeated, key, "left_semi").groupBy(*key).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row"))
+    return kept.unionByName(once.select("row.*"))
 
 
 def _members(links: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_ngram_jaccard_join", ngram_join.JACCARD_SQL)
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_groups(read(spark, sf_dir, "documents")).drop("text_hash")
+    return ngram_join.jaccard_groups(read(spark, sf_dir, "documents")).drop("text_hash", "component")
 
 
 @query("op3_html_extraction")
