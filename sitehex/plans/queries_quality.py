@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitehex.cities import CITIES
+from sitehex.operators import digest
 from sitehex.operators import quality as qc
 from sitehex.operators import ranking, scoring
 from sitehex.plans import surrogates as S
@@ -284,3 +285,59 @@ def check_refused_when_shifted(spark, sf):
 
     moved = _reach(spark, sf).withColumn("origin_h3_9", F.col("origin_h3_9") + 5 * G.Q_UNIT)
     return qc.origin_in_own_reach(moved).unionAll(qc.reach_ceiling(moved))
+
+
+# ---- digests --------------------------------------------------------------------------------
+
+
+def _hash_sql(*texts: str) -> str:
+    parts = "||".join(f"coalesce(length({t})||':'||{t}, chr(0))" for t in texts)
+    return f"cast('0x'||substr(md5({parts}),1,15) as bigint)"
+
+
+def _whole_population(df):
+    return df.select("country", F.col("h3_8").alias("cell"), F.col("population").cast("bigint").alias("population"))
+
+
+_POP_TEXTS = ("country", "cast(cell as varchar)", "cast(cast(population as bigint) as varchar)")
+_DIGESTS = (
+    f"select bucket, count(*) as row_count, cast(sum(h) as varchar) as hash_sum, bit_xor(h) as hash_xor "
+    f"from (select {_hash_sql(*_POP_TEXTS[:2])} % 64 as bucket, {_hash_sql(*_POP_TEXTS)} as h from digested) group by bucket"
+)
+
+
+@query("population_digests", f"with digested as (select country, {pack('idx', 8, 'q', 'r')} as cell, population from population) {_DIGESTS}")
+def population_digests(spark, sf):
+    """The stored population as 64 digests that do not depend on the order of its rows."""
+    stored = _whole_population(W.stored(spark, sf, "population"))
+    found = digest.table_digest(stored, ["country", "cell"], ["population"], 64)
+    return found.withColumn("hash_sum", F.col("hash_sum").cast("string"))
+
+
+@query("check_load_by_digests",
+       f"with digested as (select country, {pack('idx', 8, 'q', 'r')} as cell, population from population) "
+       "select 'buckets of stored rows equal ingested rows' as \"check\", 'population' as scope, "
+       f"cast(count(distinct {_hash_sql(*_POP_TEXTS[:2])} % 64) as double) as value, true as passed from digested")
+def check_load_by_digests(spark, sf):
+    """How many buckets of the stored population equal those of a fresh ingest, and whether all do."""
+    sides = [_whole_population(df) for df in (W.stored(spark, sf, "population"), S.population(spark, sf))]
+    left, right = (digest.table_digest(df, ["country", "cell"], ["population"], 64) for df in sides)
+    differs = digest.differing_buckets(left, right).select("bucket", F.lit(1).alias("differs"))
+    both = left.select("bucket").join(differs, "bucket", "full")
+    value = (F.count("*") - F.count("differs")).cast("double")
+    return both.agg(value.alias("value"), (F.count("differs") == 0).alias("passed")).select(
+        F.lit("buckets of stored rows equal ingested rows").alias("check"), F.lit("population").alias("scope"), "value", "passed"
+    )
+
+
+@query("changed_population_rows",
+       f"with p as (select country, {pack('idx', 8, 'q', 'r')} as cell, cast(population as bigint) as population from population), "
+       "both_sides as (select *, 1 as l, 0 as r from p union all "
+       "select country, cell, population + case when population % 97 = 0 then 1 else 0 end, 0, 1 from p where population % 89 <> 0) "
+       "select country, cell, population, sum(l) as left_rows, sum(r) as right_rows from both_sides group by 1, 2, 3 having sum(l) <> sum(r)")
+def changed_population_rows(spark, sf):
+    """What tells the stored population from a later state in which some cells gained a resident and others are gone."""
+    before = _whole_population(W.stored(spark, sf, "population"))
+    gained = F.col("population") + F.when(F.col("population") % 97 == 0, 1).otherwise(0)
+    after = before.where(F.col("population") % 89 != 0).withColumn("population", gained)
+    return digest.changed_rows(before, after, ["country", "cell"], ["population"])
