@@ -36,8 +36,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two length, one a sequence, with their token ids."""
-    return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
+    """Pieces of power-of-two length, one a sequence, with their token ids.
+
+    Executors that ran the stages before have little memory left, so tasks hold less text and fewer chunks at a time.
+    """
+    return packing.pack(docs, bytes_at_once=1_000_000, remembered=100_000).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

@@ -27,6 +27,8 @@ from sitehex.llm.common import batch
 LONGEST = 4096
 END_ID = 2
 BYTES_AT_ONCE = 6_000_000
+#: Chunks of text whose ids a task remembers.
+REMEMBERED = 400_000
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary"
 
 
@@ -49,10 +51,10 @@ def cut(tokens: int, longest: int) -> list[tuple[int, int]]:
     return out
 
 
-def slices(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows of about ``BYTES_AT_ONCE`` of text together; a longer text stands alone."""
+def slices(rows: pa.RecordBatch, bytes_at_once: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``bytes_at_once`` of text together; a longer text stands alone."""
     sizes = np.nan_to_num(pc.binary_length(rows.column(1)).cast(pa.float64()).to_numpy(zero_copy_only=False))
-    part = np.cumsum(sizes) // BYTES_AT_ONCE
+    part = np.cumsum(sizes) // bytes_at_once
     bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), rows.num_rows]
     for begin, end in zip(bounds, bounds[1:]):
         if begin < end:
@@ -73,13 +75,13 @@ class Chunks(dict):
     take most of the time; whether that gives the tokenizer's own ids is tried on ``PROBES`` first.
     """
 
-    BOUND = 400_000
     LATIN = "".join(chr(i) for r in ((65, 90), (97, 122), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0xFF)) for i in range(r[0], r[1] + 1))
     SIGNS = "".join(chr(i) for r in ((33, 47), (58, 64), (91, 96), (123, 126)) for i in range(r[0], r[1] + 1))
     PROBES = ("a", "I", "then", "Then,", "zebra.", "qqxyzv", "STONE###", "Über", "éêre,", "ñbo$$$", "STÖß&&&.", "anonthreingtion,", "ÿç.")
 
-    def __init__(self, tokenizer: str | None) -> None:
+    def __init__(self, tokenizer: str | None, bound: int = REMEMBERED) -> None:
         super().__init__()
+        self.bound = bound
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer or default_tokenizer())
@@ -105,12 +107,12 @@ class Chunks(dict):
 
     def learn(self, chunks: set[str]) -> None:
         """Encode unknown chunks together, which is faster than one by one."""
-        if len(self) > self.BOUND // 2:
+        if len(self) > self.bound // 2:
             self.older = dict(self)
             self.clear()
-        if len(self.words) > self.BOUND // 4:
+        if len(self.words) > self.bound // 4:
             self.older_words, self.words = self.words, {}
-        if len(self.marks) > self.BOUND // 8:
+        if len(self.marks) > self.bound // 8:
             self.marks.clear()
         older, words, older_words, marks = self.older, self.words, self.older_words, self.marks
         model, table, latin, signs = self.tokenizer.model, self.table, self.LATIN, self.SIGNS
@@ -148,9 +150,18 @@ class Chunks(dict):
         return self.encode_words(split(text))
 
 
-def pack(documents: DataFrame, longest: int = LONGEST, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
+def pack(
+    documents: DataFrame,
+    longest: int = LONGEST,
+    end_id: int = END_ID,
+    tokenizer: str | None = None,
+    bytes_at_once: int = BYTES_AT_ONCE,
+    remembered: int = REMEMBERED,
+) -> DataFrame:
     """One row per piece of ``documents`` (doc_id, text), without a shuffle.
 
+    ``bytes_at_once`` and ``remembered`` trade memory of a task for time; the pieces are the same.
+
     Columns: doc_id, start, length, doc_tokens, ids (the piece as little-endian unsigned 32-bit numbers),
     bucket (the binary logarithm of length), sequence_id and offset, always 0. Written with
     ``partitionBy("bucket")`` the result is one folder of equally long sequences per bucket.
@@ -159,10 +170,10 @@ def pack(documents: DataFrame, longest: int = LONGEST, end_id: int = END_ID, tok
         raise ValueError("longest must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(tokenizer)
+        chunks = Chunks(tokenizer, remembered)
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, bytes_at_once):
                 several = [split(t or "") for t in b.column(1).to_pylist()]
                 chunks.learn(set().union(*several))
                 rows = []
