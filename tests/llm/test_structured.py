@@ -157,7 +157,9 @@ def test_alignment_against_the_full_table():
     for _ in range(60):
         a = np.array(r.choices(range(6), k=r.randint(1, 14)), np.uint64)
         b = np.array(r.choices(range(6), k=r.randint(1, 30)), np.uint64)
-        assert decontamination.align(a, b) == slow_align(a, b)
+        best = slow_align(a, b)
+        assert decontamination.align(a, b) == decontamination.align(a, b, need=best) == best
+        assert decontamination.align(a, b, need=best + 1) <= best <= 2 * decontamination.common_words(a, b)
 
 
 def test_leaks_against_alignment_of_everything(spark, sf):
@@ -209,6 +211,40 @@ def test_equal_edits_are_found_however_many(spark, copies):
     assert decontamination.keep_clean(docs, items).count() == 0
 
 
+def leaks_of(texts, items, rare=decontamination.RARE):
+    matcher = decontamination.Matcher(decontamination.seeds_of_items(items, rare), 0.5)
+    return [matcher.matches(decontamination.word_hashes(t, decontamination.Words())) for t in texts]
+
+
+def test_phrases_of_many_items_are_read_on():
+    """Each seed is held by few items or as long as a seed may be, and the items are told apart all the same."""
+    phrase = "which of the following statements is right about"
+    items = [(i, f"{phrase} " + " ".join(f"thing{i}of{j}" for j in range(24))) for i in range(60)]
+    seeds = decontamination.seeds_of_items(items)
+    held = [len(set(seeds.item[np.searchsorted(seeds.bounds, seeds.places[a:b], side="right") - 1]))
+            for a, b in zip(seeds.first, seeds.first[1:])]
+    short = decontamination.grams_of(decontamination.word_hashes(phrase, decontamination.Words()))
+    assert seeds.open[np.searchsorted(seeds.grams, decontamination.mix(short))].all()
+    assert sum(h > decontamination.RARE for h in held) == 1  # the whole phrase, a quarter of the item
+    edited = " ".join("other" if i % 5 == 4 else w for i, w in enumerate(items[7][1].split()))
+    found = leaks_of([f"{PROSE} {items[3][1]}", f"{PROSE} {edited}", f"{PROSE} {phrase} nothing {PROSE}"], items)
+    assert [[m[0] for m in f] for f in found] == [[3], [7], []]
+
+
+def test_passages_of_long_items_and_long_texts():
+    words = [f"w{i}" for i in range(256)]
+    items = [(1, " ".join(words)), (2, " ".join(f"v{i}" for i in range(1000)))]
+    filler = " ".join(f"f{i % 83}" for i in range(9000))
+    part, short = " ".join(words[90:190]), " ".join(words[90:135])
+    straddling = " ".join(f"v{i}" for i in range(206, 306))
+    found = leaks_of([f"{filler} {part} {filler}", f"{filler} {short} {filler}", f"{filler} {straddling} {filler}"], items)
+    assert [[m[0] for m in f] for f in found] == [[0], [], [1]]
+    assert found[0][0][1] == pytest.approx(100 / 256)
+    for at in range(3500, 5000, 113):  # wherever the stretches of a long text meet
+        text = filler.split()[:at] + words + filler.split()
+        assert leaks_of([" ".join(text)], items)[0][0][:2] == (0, 1.0)
+
+
 def test_decontamination_awkward_rows(spark, sf):
     items = spark.createDataFrame(
         [(1, None), (2, ""), (3, "two words"), (4, PROSE), (5, PROSE), (None, PROSE), (6, LONG)], "item_id bigint, text string"
