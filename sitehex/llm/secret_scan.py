@@ -2,7 +2,8 @@
 
 One model describes random strings, the other ordinary identifiers. Both are bigram models over the
 characters of secrets, fitted on labelled samples: strings that the fixed patterns find in the corpus
-and seeded random strings on one side, ordinary words and identifiers of the corpus on the other. A
+and seeded random strings on one side, on the other ordinary words and identifiers of the corpus and seeded
+ones of common shapes (UUIDs, times, dates, versions, paths, alphabets) made of the corpus's words. A
 long token that the random model explains better by more than a threshold per character is a span of
 kind ``markov``. The threshold is set so that at most one in ``ONE_FALSE_IN`` ordinary tokens passes.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +36,10 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # whole runs of 20 and more characters
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Words of letters joined by _ or -, with up to three digits at the end, standing alone.
-IDENTIFIER = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,}(?:[_-][A-Za-z]{2,})*[0-9]{0,3}(?![A-Za-z0-9+/_=-])")
+#: Words of letters joined by _, - or /, to numbers too, with up to three digits at the end, standing alone.
+IDENTIFIER = re.compile(
+    r"(?<![A-Za-z0-9+/_=-])/?[A-Za-z]{2,}(?:[_/-](?:[A-Za-z]{2,}|[0-9]{1,8}(?![A-Za-z0-9])))*[0-9]{0,3}(?![A-Za-z0-9+/_=-])"
+)
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 #: Bounds of the fitted sample: documents read, and strings of either label.
@@ -106,6 +110,30 @@ def seeded_strings(count: int, seed: int = 5) -> list[str]:
     return ["".join(r.choices(kinds[i % len(kinds)], k=r.randint(16, 64))) for i in range(count)]
 
 
+def seeded_identifiers(words: list[str], count: int, seed: int = 6) -> list[str]:
+    """Ordinary identifiers of common shapes, with the given words in them."""
+    r = random.Random(seed)
+    words = words or ["file"]
+
+    def day(sep: str) -> str:
+        return f"{r.randint(1990, 2039)}{sep}{r.randint(1, 12):02}{sep}{r.randint(1, 28):02}"
+
+    def clock(sep: str) -> str:
+        return sep.join(f"{r.randrange(60):02}" for _ in range(3))
+
+    letters = ALPHABET[26:52]
+    shapes = (
+        lambda: str(uuid.UUID(int=r.getrandbits(128), version=4)),
+        lambda: f"{day('')}T{clock('')}Z-{r.choice(words)}",
+        lambda: f"{r.choice(words)}-{day('-')}T{clock('-')}",
+        lambda: f"{r.choice(words)}_{day(r.choice(('', '-', '_')))}_v{r.randrange(100)}",
+        lambda: "/".join(r.choices(words, k=r.randint(2, 5))) + f"/{r.randrange(10_000)}",
+        lambda: f"/{r.choice(words)}/{day('/')}/{r.choice(words)}",
+        lambda: (r.choice((letters, letters.upper(), letters + letters.upper(), letters + "0123456789")) * 2)[r.randrange(4) :][:26],
+    )
+    return [shapes[i % len(shapes)]() for i in range(count)]
+
+
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found: set[tuple[int, str]] = set()
@@ -134,7 +162,8 @@ def train(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_strings:
                 .limit(sample_strings).collect()]
         for label in (0, 1)
     }
-    return fit_pair(picked[1] + seeded_strings(sample_strings // 4), picked[0])
+    ordinary = picked[0] + seeded_identifiers(picked[0], sample_strings // 4)
+    return fit_pair(picked[1] + seeded_strings(sample_strings // 4), ordinary)
 
 
 def markov_spans(text: str, model: MarkovPair, taken: list[Span]) -> list[Span]:
