@@ -36,9 +36,9 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 SUBSTITUTED = re.compile(r"[0134578@$!](?=[^\W\d_])|(?<=[^\W\d_])[01345780](?![\d.])")
 WORD = re.compile(r"[^\W\d_]+")
 
-#: Bounds: labelled rows learned from, entries weighed and kept, and the counts an entry needs.
+#: Bounds: labelled rows learned from, entries weighed at a time and kept, and the counts an entry needs.
 SAMPLE_ROWS = 20_000
-MAX_CANDIDATES = 200_000
+CANDIDATES_AT_ONCE = 200_000
 MAX_ENTRIES = 20_000
 LEAST_DOCS = 3
 LEAST_WEIGHT = math.log(4)
@@ -167,10 +167,15 @@ def train(
         rows = sample.where(F.col("toxic") == toxic).select("text").repartition(12)
         return rows.mapInArrow(_entry_counts(wanted), "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n"))
 
-    toxic_in = counted(1, None).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "entry").limit(MAX_CANDIDATES)
-    n1 = {r.entry: r.n for r in toxic_in.collect()}
-    n0 = {r.entry: r.n for r in counted(0, frozenset(n1)).collect()}
-    kept = strongest(n1, n0, bad, good, max_entries)
+    toxic_in = staged(counted(1, None).where(F.col("n") >= LEAST_DOCS), "toxic-entries")
+    parts = max(1, -(-toxic_in.count() // CANDIDATES_AT_ONCE))
+    scored: list[tuple[float, str, float]] = []
+    for k in range(parts):  # every candidate is weighed before the surest are kept
+        mine = toxic_in.where(F.pmod(F.xxhash64("entry"), F.lit(parts)) == k)
+        n1 = {r.entry: r.n for r in mine.collect()}
+        n0 = {r.entry: r.n for r in counted(0, frozenset(n1)).collect()}
+        scored = sorted(scored + weighed(n1, n0, bad, good))[:max_entries]
+    kept = {entry: weight for _, entry, weight in scored}
     weights = simplify(kept)
     weights |= exceptions(sample, weights, bad, good, max_entries)
 
@@ -185,8 +190,8 @@ def train(
     return ToxicityModel(weights, fit_logistic(rows[["x0", "x1", "x2", "x3"]].to_numpy(), rows["toxic"].to_numpy()))
 
 
-def strongest(n1: dict[str, int], n0: dict[str, int], bad: int, good: int, most: int) -> dict[str, float]:
-    """Weights of the entries that toxic texts hold far more often than others, the surest ``most`` of them."""
+def weighed(n1: dict[str, int], n0: dict[str, int], bad: int, good: int) -> list[tuple[float, str, float]]:
+    """(-z, entry, weight) of the entries that toxic texts hold far more often than others."""
     scored = []
     for entry, a in n1.items():
         b = n0.get(entry, 0)
@@ -195,7 +200,7 @@ def strongest(n1: dict[str, int], n0: dict[str, int], bad: int, good: int, most:
         z = (a / bad - b / good) / math.sqrt(mean * (1 - mean) * (1 / bad + 1 / good) + 1e-12)
         if z >= LEAST_Z and weight >= LEAST_WEIGHT:
             scored.append((-z, entry, weight))
-    return {entry: weight for _, entry, weight in sorted(scored)[:most]}
+    return scored
 
 
 def simplify(kept: dict[str, float]) -> dict[str, float]:
@@ -239,15 +244,12 @@ def exceptions(sample: DataFrame, weights: dict[str, float], bad: int, good: int
         .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1"),
              F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n0"))
         .where(F.col("n0") >= LEAST_DOCS)
-        .orderBy(F.desc("n0"), "entry").limit(most).collect()
+        .select("entry", (F.log((F.col("n1") + 0.5) / (bad + 1)) - F.log((F.col("n0") + 0.5) / (good + 1))).alias("weight"))
+        # half of a longer innocent phrase is no exception
+        .where(F.col("weight") < F.when(F.col("entry").contains("  "), -LEAST_WEIGHT / 2).otherwise(LEAST_WEIGHT / 2))
+        .orderBy("weight", "entry").limit(most).collect()
     )
-    out = {}
-    for r in found:
-        w = math.log((r.n1 + 0.5) / (bad + 1)) - math.log((r.n0 + 0.5) / (good + 1))
-        pair = "  " in r.entry
-        if w < (-LEAST_WEIGHT / 2 if pair else LEAST_WEIGHT / 2):  # half of a longer innocent phrase is no exception
-            out[r.entry] = min(0.0, w)
-    return out
+    return {r.entry: min(0.0, r.weight) for r in found}
 
 
 def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -176,6 +176,16 @@ def test_keys_of_letters_alone(spark, sf):
         assert secret_scan.scan_text(f"the {word} of", model)[1] == []
 
 
+def test_ordinary_identifiers_are_no_secrets(spark, sf):
+    """UUIDs, times, dates, paths, versions and alphabets, made of words that the corpus need not hold."""
+    model = secret_scan.train(read(spark, sf, "documents"))
+    ids = secret_scan.seeded_identifiers(["house", "river", "edition", "backup"], 2100, seed=99)
+    ids += ["20240131T235959Z-backup", secret_scan.ALPHABET[:26], secret_scan.ALPHABET[26:52]]
+    assert np.mean([secret_scan.scan_text(f"see {x} there", model)[1] == [] for x in ids]) > 0.98
+    text = f"see {ids[0]} and {ids[1]} there"
+    assert secret_scan.redact_text(text, secret_scan.scan_text(text, model)[1]) == text
+
+
 def test_secrets_awkward_rows(spark):
     docs = with_clashes(documents(spark))
     model = secret_scan.train(docs)
@@ -215,6 +225,32 @@ def test_toxicity_learns_entries_and_exceptions(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i in range(400) if i % 8}
 
 
+def test_toxicity_weighs_every_candidate(spark, monkeypatch):
+    """The lexicon is the same however many candidates are weighed at a time."""
+    docs, labels = toxic_corpus(spark)
+    whole = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "CANDIDATES_AT_ONCE", 40)
+    parts = toxicity.train(docs, labels)
+    assert parts.weights == pytest.approx(whole.weights) and " grubnik soup " not in {e for e, w in parts.weights.items() if w > 0}
+    assert np.allclose(parts.coefficients, whole.coefficients)
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    """At every place the longest entry counts; the sums become a probability."""
+    docs, labels = toxic_corpus(spark)
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for r in docs.collect():
+        text, words, found, at = toxicity.padded(toxicity.fold(r.text)), len(toxicity.fold(r.text)), [], 0
+        while at < len(text):
+            here = max((e for e in model.weights if text.startswith(e, at)), key=len, default=None)
+            found += [model.weights[here]] if here else []
+            at += len(here) if here else 1
+        total, strong = max(0.0, sum(found)), sum(w > 0 for w in found)
+        x = [1, np.log1p(total), total / (words + 20), np.log1p(strong) - np.log1p(words / 100)]
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-np.dot(x, model.coefficients))))
+
+
 def test_toxicity_held_out(spark, sf):
     sf = sf.replace("sf0.001", "sf0.1")  # enough toxic texts in every language
     docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
