@@ -27,12 +27,28 @@ def stream_table(spark, sf: str, table: str):
     )
 
 
+BATCHES = 3
+
+
+def stream_files(spark, root: str, schema, batches: int = BATCHES):
+    """The files of a folder as a stream of so many batches, however many files there are."""
+    files = len(spark.read.parquet(root).inputFiles())
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(root)
+
+
 def stream_folder(spark, sf: str, name: str):
-    """A stored table as a file stream, several files per run so there are several batches."""
-    stored = W.stored(spark, sf, name)
+    """A table as a file stream of several batches.
+
+    The tasks that make the rows write them, so a file holds what one task scans. Only rows that fill fewer files than there
+    are batches are dealt over as many.
+    """
     root = new_folder(spark, "incoming")
-    stored.repartition(3).write.parquet(root)
-    return spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    W.rows_of(spark, sf, name).write.parquet(root)
+    written = spark.read.parquet(root)
+    if len(written.inputFiles()) < BATCHES:
+        root = new_folder(spark, "incoming")
+        written.repartition(BATCHES).write.parquet(root)
+    return stream_files(spark, root, written.schema)
 
 
 @query("stream_capacity_rollup", "select city, h3_8, floor_area_m2, buildings from cell_capacity")

@@ -57,13 +57,27 @@ _LOCK = Lock()
 _LOADING: dict[str, Lock] = {}
 
 
+def _path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _ROOTS:
+        _ROOTS[key] = new_folder(spark, "warehouse")
+    return f"{_ROOTS[key]}/{name}"
+
+
+def rows_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The rows of one table for a single pass: the stored ones if it is loaded already, else as they are made.
+
+    A table that is read once as a whole is not worth a range split and a copy on disk.
+    """
+    with _LOCK:
+        loaded = _OPENED.get(_path(spark, sf_dir, name))
+    return BUILDERS[name](spark, sf_dir) if loaded is None else loaded
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One stored table, loading it on first use."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     with _LOCK:
-        if key not in _ROOTS:
-            _ROOTS[key] = new_folder(spark, "warehouse")
-        path = f"{_ROOTS[key]}/{name}"
+        path = _path(spark, sf_dir, name)
         loading = _LOADING.setdefault(path, Lock())
     with loading:
         if path in _OPENED:
