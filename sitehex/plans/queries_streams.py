@@ -36,6 +36,12 @@ def stream_files(spark, root: str, schema, batches: int = BATCHES):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(root)
 
 
+def deal(df, root: str, at_least: int, *by: str) -> None:
+    """Rows by hash into as many files as the session shuffles into, so that a task's share does not grow with the table."""
+    files = max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    df.repartition(files, *by).write.parquet(root)
+
+
 def stream_folder(spark, sf: str, name: str):
     """A table as a file stream of several batches.
 
@@ -121,9 +127,8 @@ def stream_layer_updates(spark, sf):
     """The same layer id replaces its content, over several batches in which older writes follow newer ones."""
     inbox, out, ck = new_folder(spark, "incoming"), new_folder(spark, "layers"), new_folder(spark, "progress")
     writes = _writes(S.read(spark, sf, "events"))
-    writes.repartition(3, "seq").write.parquet(inbox)
-    stream = spark.readStream.schema(writes.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    updates.maintain_layers(stream, out, ck).awaitTermination()
+    deal(writes, inbox, BATCHES, "seq")
+    updates.maintain_layers(stream_files(spark, inbox, writes.schema), out, ck).awaitTermination()
     return updates.current_layers(spark, out).drop("writes")
 
 
@@ -147,8 +152,8 @@ def stream_commands_once(spark, sf):
     )
     twice = events.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
     for sent, folder in ((twice.where(F.col("action") < "m"), inbox), (twice, again)):
-        sent.repartition(4, "command_id", "delivery").write.parquet(folder)
-        stream = spark.readStream.schema(twice.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+        deal(sent, folder, 4, "command_id", "delivery")
+        stream = stream_files(spark, folder, twice.schema, 2)
         updates.apply_commands_once(stream, out, new_folder(spark, "progress")).awaitTermination()
     return spark.read.parquet(out).groupBy("action").agg(F.count("*").alias("applied"))
 

@@ -61,3 +61,17 @@ def test_replayed_footprints_fill_as_many_files_as_tasks_made_them(spark, parted
 def test_rows_of_one_task_still_come_in_several_batches(spark, sf, monkeypatch):
     files, ids = streamed(spark, sf, monkeypatch, "stream_capacity_replay")
     assert files == 3 and ids == {0, 1, 2}
+
+
+def test_rolled_up_footprints_fill_as_many_files_as_tasks_made_them(spark, parted, split, monkeypatch):
+    files, ids = streamed(spark, parted, monkeypatch, "stream_capacity_rollup")
+    assert files == 7 and ids == {0, 1, 2}
+
+
+@pytest.mark.parametrize("query", ["stream_layer_updates", "stream_commands_once"])
+def test_events_are_dealt_over_as_many_files_as_the_session_shuffles_into(spark, sf, monkeypatch, query):
+    made = new_folders(monkeypatch)
+    registry.QUERIES[query](spark, sf).collect()
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for inbox in (f for f in made if "/incoming-" in f):
+        assert len(spark.read.parquet(inbox).inputFiles()) == max(width, 4)
