@@ -30,6 +30,11 @@ def _from(name: str, then: Callable[..., DataFrame]) -> Builder:
     return lambda spark, sf_dir: then(stored(spark, sf_dir, name))
 
 
+def _unstored(name: str, then: Callable[..., DataFrame]) -> Builder:
+    """A rollup of a table that need not be stored for it."""
+    return lambda spark, sf_dir: then(rows_of(spark, sf_dir, name))
+
+
 def _reach(build: Callable[..., DataFrame]) -> Builder:
     return lambda spark, sf_dir: build(spark, sf_dir, stored(spark, sf_dir, "population"))
 
@@ -39,7 +44,7 @@ BUILDERS: dict[str, Builder] = {
     "places": S.places,
     "population": S.population,
     "buildings": S.buildings,
-    "cell_capacity": _from("buildings", capacity_rollup),
+    "cell_capacity": _unstored("buildings", capacity_rollup),
     "addr_density": S.addr_density,
     "isochrone_cells": _reach(S.isochrone_cells),
     "isochrones": _reach(S.isochrones),

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from sitehex.plans import queries_streams as QS
 from sitehex.plans import registry
@@ -75,3 +76,15 @@ def test_events_are_dealt_over_as_many_files_as_the_session_shuffles_into(spark,
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for inbox in (f for f in made if "/incoming-" in f):
         assert len(spark.read.parquet(inbox).inputFiles()) == max(width, 4)
+
+
+@pytest.mark.parametrize("query", [
+    "check_access_includes_home",
+])
+def test_footprints_are_not_stored_for_their_rollup(spark, parted, query):
+    assert registry.QUERIES[query](spark, parted).count()
+    assert {"buildings", "cell_capacity"} & {p.rsplit("/", 1)[1] for p in W._OPENED if p.startswith(W._path(spark, parted, ""))} == {"cell_capacity"}
+    got = W.stored(spark, parted, "cell_capacity")
+    want = W.rows_of(spark, parted, "buildings").groupBy("city", "h3_8").agg(F.count("*").alias("n"))
+    both = got.join(want, ["city", "h3_8"], "full")
+    assert both.where(~F.equal_null("buildings", "n")).count() == 0
