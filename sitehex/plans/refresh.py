@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sitehex.cities import CITIES, City
 from sitehex.operators import quality as qc
+from sitehex.operators.atscale import new_folder
 from sitehex.operators.catchment import candidate_origins, derive_reach_cells
 from sitehex.operators.districts import district_resolution
 from sitehex.operators.trend import momentum_rollup
@@ -22,6 +23,7 @@ from sitehex.sources.divisions import ingest_divisions
 from sitehex.sources.history import ingest_history
 from sitehex.sources.places import ingest_places
 from sitehex.sources.population import ingest_population
+from sitehex.sources.publish import Check, CheckFailed, delete_path, failing
 from sitehex.sources.reach import ingest_contours, ingest_edges
 from sitehex.sources.versions import Load, discard, is_published, open_table, stage, staged_table, switch
 
@@ -99,13 +101,21 @@ def refresh(
         if ground_truth:
             checks.append(lambda staged: qc.ground_truth_names(staged, ground_truth))
         show(stage_city(district_resolution(people, ingest_divisions(raw.divisions, cities), cities), "districts", *checks))
-    if buildings is None and raw.buildings is not None:
-        buildings = ingest_buildings(raw.buildings, cities)
     if buildings is not None:
-        footprints = stage_city(buildings, "buildings", floor("buildings", "city", names))
-        # Sums are not idempotent, so the rollup is rebuilt from the table it must agree with.
-        stored = staged_table(spark, root, footprints)
-        show(footprints, stage_city(capacity_rollup(stored), "cell_capacity", lambda staged: qc.rollup_matches_raw(stored, staged)))
+        show(*_stage_buildings(spark, buildings, root, names, floor("buildings", "city", names)))
+    elif raw.buildings is not None:
+        # Areas are costly and a range split reads its rows twice, so they are written as they come first. A load below its
+        # floors is refused there, before it is split and sorted.
+        read, ingested = ingest_buildings(raw.buildings, cities), new_folder(spark, "ingested")
+        try:
+            read.write.parquet(ingested)
+            rows = spark.read.schema(read.schema).parquet(ingested)
+            bad = failing([floor("buildings", "city", names)], rows)
+            if bad:
+                raise CheckFailed(bad)
+            show(*_stage_buildings(spark, rows, root, names, floor("buildings", "city", names)))
+        finally:
+            delete_path(spark, ingested)
     for table, source, density in (
         ("addr_density", raw.addresses, address_density), ("road_density", raw.segments, road_density),
     ):
@@ -133,6 +143,14 @@ def refresh(
     return done
 
 
+def _stage_buildings(spark: SparkSession, buildings: DataFrame, root: str, names: Sequence[str], floor: Check) -> list[Load]:
+    """Footprints and their rollup. Sums are not idempotent, so it is rebuilt from the table it must agree with."""
+    footprints = stage(buildings, root, "buildings", names, [floor])
+    stored = staged_table(spark, root, footprints)
+    agrees = lambda staged: qc.rollup_matches_raw(stored, staged)
+    return [footprints, stage(capacity_rollup(stored), root, "cell_capacity", names, [agrees])]
+
+
 def _stage_reach(
     spark: SparkSession,
     contours: DataFrame,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitehex.plans import queries_streams as QS
 from sitehex.plans import registry
 from sitehex.plans import warehouse as W
+from sitehex.sources import versions
 
 registry.load()
 
@@ -88,3 +89,18 @@ def test_footprints_are_not_stored_for_their_rollup(spark, parted, query):
     want = W.rows_of(spark, parted, "buildings").groupBy("city", "h3_8").agg(F.count("*").alias("n"))
     both = got.join(want, ["city", "h3_8"], "full")
     assert both.where(~F.equal_null("buildings", "n")).count() == 0
+
+
+def test_raw_footprints_are_ingested_once_for_each_load_and_split_only_if_they_pass(spark, sf, monkeypatch):
+    split, real = [], versions.laid_out
+
+    def laid_out(df, layout, *args):
+        if "area_m2" in df.columns:
+            split.append(df.inputFiles())
+        return real(df, layout, *args)
+
+    monkeypatch.setattr(versions, "laid_out", laid_out)
+    got = {(r.table_name, r.part): r.rows for r in registry.QUERIES["refresh_raw"](spark, sf).collect()}
+    assert len(split) == 1 and all("/ingested-" in file for file in split[0])
+    refused = {part: n for (table, part), n in got.items() if table == "refused"}
+    assert refused and refused == {part: n for (table, part), n in got.items() if table == "buildings"}
