@@ -85,6 +85,7 @@ def test_events_are_dealt_over_as_many_files_as_the_session_shuffles_into(spark,
     "catchment_sub_web",
     "save_ranked_pick",
     "check_score_identity",
+    "capacity_ramp",
 ])
 def test_footprints_are_not_stored_for_their_rollup(spark, parted, query):
     assert registry.QUERIES[query](spark, parted).count()
