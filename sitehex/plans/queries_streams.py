@@ -172,7 +172,7 @@ def refresh_chain(spark, sf):
         places=S.raw_places(spark, sf), population=S.raw_population(spark, sf), divisions=S.raw_divisions(spark, sf),
         addresses=S.raw_addresses(spark, sf), segments=S.raw_segments(spark, sf),
     )
-    RF.refresh(spark, raw, root, floors=RF.NO_FLOORS, buildings=W.stored(spark, sf, "buildings"))
+    RF.refresh(spark, raw, root, floors=RF.NO_FLOORS, buildings=W.rows_of(spark, sf, "buildings"))
     parts = [
         versions.open_table(spark, root, t).groupBy(F.col(by).alias("part")).agg(F.count("*").alias("rows")).select(
             F.lit(t).alias("table_name"), "part", "rows"

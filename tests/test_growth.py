@@ -109,3 +109,8 @@ def test_raw_footprints_are_ingested_once_for_each_load_and_split_only_if_they_p
     assert len(split) == 1 and all("/ingested-" in file for file in split[0])
     refused = {part: n for (table, part), n in got.items() if table == "refused"}
     assert refused and refused == {part: n for (table, part), n in got.items() if table == "buildings"}
+
+
+def test_chain_does_not_store_footprints_before_it_loads_them(spark, parted):
+    assert registry.QUERIES["refresh_chain"](spark, parted).where("table_name = 'buildings'").count() == 3
+    assert W._path(spark, parted, "buildings") not in W._OPENED
