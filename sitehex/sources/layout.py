@@ -52,12 +52,18 @@ LAYOUTS: dict[str, Layout] = {
 
 
 def laid_out(df: DataFrame, layout: Layout, partitions: int | None = None) -> DataFrame:
-    """``df`` split and sorted by its layout. A large key is spread over many tasks, small ones share one."""
-    keys = ([F.col(layout.by)] if layout.by else []) + layout.keys()
+    """``df`` split and sorted by its layout. A large key is spread over many tasks, small ones share one.
+
+    A sort works its keys out anew for every pair of rows that it compares, so computed keys become columns first.
+    """
     if not layout.order:
         return df
-    split = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
-    return split.sortWithinPartitions(*keys)
+    made = {f"_key{i}": k() for i, k in enumerate(layout.order) if not isinstance(k, str)}
+    keys = [layout.by] if layout.by else []
+    keys += [k if isinstance(k, str) else f"_key{i}" for i, k in enumerate(layout.order)]
+    keyed = df.withColumns(made) if made else df
+    split = keyed.repartitionByRange(partitions, *keys) if partitions else keyed.repartitionByRange(*keys)
+    return split.sortWithinPartitions(*keys).drop(*made)
 
 
 def writer(df: DataFrame, layout: Layout, row_group_bytes: int | None = None) -> DataFrameWriter:

@@ -1,14 +1,17 @@
 """What one task or one query takes must not grow faster than its input."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from sitehex.operators.atscale import new_folder
 from sitehex.plans import queries_streams as QS
 from sitehex.plans import registry
 from sitehex.plans import warehouse as W
 from sitehex.sources import versions
+from sitehex.sources.layout import LAYOUTS, laid_out, writer
 
 registry.load()
 
@@ -114,3 +117,28 @@ def test_raw_footprints_are_ingested_once_for_each_load_and_split_only_if_they_p
 def test_chain_does_not_store_footprints_before_it_loads_them(spark, parted):
     assert registry.QUERIES["refresh_chain"](spark, parted).where("table_name = 'buildings'").count() == 3
     assert W._path(spark, parted, "buildings") not in W._OPENED
+
+
+@pytest.mark.parametrize("partitions", [None, 5])
+def test_sorts_of_a_layout_compare_columns_and_nothing_computed(spark, parted, partitions):
+    layout = LAYOUTS["places"]
+    places = W.rows_of(spark, parted, "places")
+    ranges = laid_out(places, layout, partitions)
+    plan = ranges._jdf.queryExecution().optimizedPlan().toString()
+    sorts = [line for line in plan.splitlines() if re.search(r"\bSort \[", line)]
+    assert len(sorts) == 1 and not re.search(r"\b(LN|LOG|TAN|FLOOR|shiftleft|shiftright)\(", sorts[0], re.I), sorts
+    assert ranges.columns == places.columns
+    # The order in every task is still that of the key, and the writer finds it so.
+    keys = [F.col("city"), *layout.keys()]
+    here = ranges.select(F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at"), F.struct(*keys).alias("key"))
+    rows = here.orderBy("at").collect()
+    assert len(rows) == places.count() > 0
+    assert all(a.key <= b.key for a, b in zip(rows, rows[1:]) if a.task == b.task)
+    root = new_folder(spark, "places")
+    writer(ranges, layout).parquet(root)
+    written = spark.read.parquet(root).select(
+        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.struct(*keys).alias("key")
+    )
+    rows = written.orderBy("at").collect()
+    assert len(rows) == places.count()
+    assert all(a.key <= b.key for a, b in zip(rows, rows[1:]) if a.file == b.file)
