@@ -211,7 +211,7 @@ def check_display_rounding(spark, sf):
 @query("check_rollup_matches_raw",
        _sql("rollup count equals raw count", "select b.city, b.n, c.n as m from (select city, count(*) as n from buildings group by city) b join (select city, sum(buildings) as n from cell_capacity group by city) c on c.city=b.city", "m-n", "m=n"))
 def check_rollup_matches_raw(spark, sf):
-    return qc.rollup_matches_raw(W.stored(spark, sf, "buildings"), W.stored(spark, sf, "cell_capacity"))
+    return qc.rollup_matches_raw(W.rows_of(spark, sf, "buildings"), W.stored(spark, sf, "cell_capacity"))
 
 
 @query("check_row_floors",

@@ -142,3 +142,9 @@ def test_sorts_of_a_layout_compare_columns_and_nothing_computed(spark, parted, p
     rows = written.orderBy("at").collect()
     assert len(rows) == places.count()
     assert all(a.key <= b.key for a, b in zip(rows, rows[1:]) if a.file == b.file)
+
+
+def test_footprints_are_not_stored_to_be_counted(spark, parted):
+    checks = registry.QUERIES["check_rollup_matches_raw"](spark, parted).collect()
+    assert len(checks) == 3 and all(c.passed for c in checks)
+    assert W._path(spark, parted, "buildings") not in W._OPENED
